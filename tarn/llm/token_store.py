@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,19 +52,32 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = [none, none]  # sorted hashes and their entries: most of them, and the latest
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 where there is none."""
+        out = np.full(len(hashes), -1)
+        for have, entry in self.known:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, hashes), len(have) - 1)
+                out = np.where(have[at] == hashes, entry[at], out)
+        return out
+
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         got = [x.ids for at in range(0, len(pieces), 8192) for x in self.tokenizer.encode_batch(pieces[at : at + 8192], add_special_tokens=False)]
         size = np.array([len(x) for x in got], np.int32)
         flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
+        entry = np.arange(len(self.begin), len(self.begin) + len(size))
         self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
         self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
-        hashes = np.append(self.hashes, hashes)
-        at = np.argsort(hashes, kind="stable")
-        self.order = np.append(self.order, np.arange(len(self.order), len(hashes)))[at]
-        self.hashes = hashes[at]
+        late = (np.append(self.known[1][0], hashes), np.append(self.known[1][1], entry))
+        self.known[1] = tuple(x[np.argsort(late[0])] for x in late)
+        if len(late[0]) > len(self.known[0][0]) // 4:  # merge now and then, not each time
+            both = [np.append(a, b) for a, b in zip(*self.known)]
+            order = np.argsort(both[0])
+            self.known = [tuple(x[order] for x in both), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
     def encode_rows(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each row, and the number of ids of each row."""
@@ -80,17 +94,14 @@ class PieceEncoder:
         back, distinct = pd.factorize(span_hash(prefix_hash(data), start, end))
         first = np.empty(len(distinct), np.int64)
         first[back[::-1]] = np.arange(len(back))[::-1]
-        if len(self.hashes) + len(distinct) > CACHE:
+        if len(self.begin) + len(distinct) > CACHE:
             self._forget()
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        entry = self._find(distinct)
+        new = entry < 0
         if new.any():
             raw = data.tobytes()
             self._learn(distinct[new], [raw[start[i] : end[i]].decode() for i in first[new]])
-            at = np.searchsorted(self.hashes, distinct)
-        entry = self.order[at] if len(distinct) else np.zeros(0, np.int64)
+            entry[new] = np.arange(len(self.begin) - int(new.sum()), len(self.begin))
         size, begin = self.size[entry][back].astype(np.int64), self.begin[entry][back]
         # the end id is a piece of one id after each row's pieces
         per_row = np.bincount(row, weights=size, minlength=n).astype(np.int64)
@@ -111,6 +122,12 @@ class PieceEncoder:
         return out, per_row + 1
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker, so that pieces stay known from task to task."""
+    return PieceEncoder(path)
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the pieces: a run of letters, digits or other signs with the blank before
     it; of a run of white space before one, all but the last character, and that character
@@ -148,7 +165,7 @@ def write_tokens(
     rows = rows.sortWithinPartitions(*keys).withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for part in sub_batches(batch):
                 flat, sizes = encoder.encode_rows(part.column("text"), end_id)
