@@ -1,4 +1,6 @@
 """All registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import chunks, project, search
+
+QUERIES = search.QUERIES | chunks.QUERIES | project.QUERIES
+ORACLES = search.ORACLES | chunks.ORACLES | project.ORACLES
