@@ -213,7 +213,7 @@ ORACLES = {
     "timeline_filter": f"""WITH t AS (SELECT event_id AS id, event_type, {_IMPORTANCE} AS importance, ts AS created_at FROM events WHERE user_id % 4 = 1 ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT * FROM t WHERE importance <> 'low'""",
     "importance": f"SELECT {_IMPORTANCE} AS importance, count(*) AS n_events FROM events GROUP BY 1",
     "changelog_range": f"WITH {_TAGS} SELECT tag, date FROM l WHERE tag >= 'v1' AND tag <= 'v20'",
-    "changelog_range_semver": f"WITH {_TAGS} SELECT tag, date FROM l WHERE [k // 500, (k // 10) % 50, k % 10] >= [2, 0, 0]::BIGINT[] AND [k // 500, (k // 10) % 50, k % 10] <= [20, 10, 0]::BIGINT[]",
+    "changelog_range_semver": f"WITH {_TAGS} SELECT tag, date FROM l WHERE (k // 500) * 1000000 + ((k // 10) % 50) * 1000 + k % 10 BETWEEN 2000000 AND 20010000",
     "sync_dedup": f"""WITH t AS (SELECT event_id AS id, event_type, 'b' || (user_id % 4) AS from_ref, {_IMPORTANCE} AS importance, ts FROM events),
         k AS (SELECT DISTINCT event_type, from_ref, 1 AS known FROM t WHERE id % 2 = 0 AND event_type IN ('view', 'click')),
         f AS (SELECT t.*, known IS NULL AND importance <> 'low' AS ok FROM t LEFT JOIN k USING (event_type, from_ref) WHERE id % 2 = 1),
