@@ -3,7 +3,7 @@
 Base spans are leftmost non-overlapping matches of the four patterns (:data:`KINDS`), each
 kept only if its test holds.  The field labels tokens O or one of the kinds.  Token
 potentials come from surface features, chain potentials from neighbours, and skip
-potentials tie distant tokens that are repeated or similar (same digits, same address),
+potentials tie distant tokens that are repeated or similar (same last seven digits, same address),
 so loopy sum-product message passing makes labels agree across a document.  Tokens that
 lie in base spans are observed; others decoded as an entity with a marginal of at least
 ``min_marginal`` become added spans.  Base spans always stay.
@@ -124,7 +124,7 @@ def lattice(text: str, base: list[tuple[int, int, int]]) -> Lattice | None:
         if i and tokens[i - 1][1] + 1 == a:
             chain.append((i - 1, i))
         key = digits if len(digits) >= 7 else (core.lower() if len(core) >= 5 else None)
-        keys = {key} if key else set()
+        keys = {key, digits[-7:]} if len(digits) >= 7 else {key} if key else set()  # a number is similar to one with a longer prefix
         if "@" in core:
             keys.add(core.lower().partition("@")[0])
         for key in keys:
