@@ -120,7 +120,7 @@ def find_contamination(
     filed = filed.select("item_id", "n", "ifp", F.col("e.b").alias("b"), F.explode("e.vs").alias("v"))
     asked = w_fp.select("wid", "n", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("e"))
     asked = asked.select("wid", "n", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
-    found = asked.join(filed, ["n", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
+    found = asked.join(filed.hint("merge"), ["n", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     found = found.select("wid", "item_id", "n").distinct()
 
     # exact similarity of the pairs found
