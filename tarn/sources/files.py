@@ -116,7 +116,7 @@ def detect_languages(root_files: DataFrame, name: str = "name") -> DataFrame:
     rows = [(lang, m, LEAST_CONFIDENCE.get(m, 0.0), i, len(ms.split())) for lang, ms in MARKERS.items() for i, m in enumerate(ms.split())]
     markers = spark.createDataFrame(rows, "language string, marker string, least double, pos int, total int")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(F.col("marker"), F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
-    hits = root_files.select(F.col(name).alias("_name")).join(F.broadcast(markers), F.expr("true") & F.col("_name").rlike(pattern))
+    hits = root_files.select(F.col(name).alias("_name")).join(F.broadcast(markers), F.rlike("_name", pattern))
     found = hits.groupBy("language", "total").agg(F.countDistinct("marker").alias("n"), F.max("least").alias("least"), F.array_sort(F.collect_set(F.struct("pos", "_name"))).alias("e"))
     share = F.greatest(F.least(F.lit(1.0), F.col("n") / F.col("total")), F.col("least"))
     return found.select("language", share.alias("confidence"), F.slice(F.col("e._name"), 1, 5).alias("evidence")).orderBy(F.desc("confidence"), "language")
