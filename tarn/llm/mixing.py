@@ -112,7 +112,8 @@ def mix(
     )
     inside = F.least("b", (F.col("block") + 1) * block_words) - F.greatest("a", F.col("block") * block_words)
     same = parts["source"].eqNullSafe(picked["source"]) & (parts["shard"] == picked["shard"]) & (parts["block"] == picked["block"])
-    extra = parts.withColumn("inside", inside).join(picked, same).groupBy("row").agg(F.sum("inside").alias("extra"))
+    extra = parts.withColumn("inside", inside).join(picked.hint("merge"), same)  # as many blocks as words allow, never broadcast
+    extra = extra.groupBy("row").agg(F.sum("inside").alias("extra"))
     out = lines.join(extra, "row", "left")
     r = turns.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "rounds")
     out = out.join(r, out["source"].eqNullSafe(r["_source"]) & (out["shard"] == r["_shard"]), "left")
