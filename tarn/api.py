@@ -28,7 +28,7 @@ class Project:
 
     # ------------------------------------------------------------ tables
     def table(self, name: str) -> DataFrame:
-        schema = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": "term string, chunk_id long, field string, pos int", "lengths": "chunk_id long, dl int", "entities": code.ENTITIES, **MEMORY}[name]
+        schema = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": "term string, chunk_id long, field string, pos int, dl int", "lengths": "chunk_id long, dl int", "entities": code.ENTITIES, **MEMORY}[name]
         return memory.load_snapshot(self.spark, f"{self.root}/{name}", schema)
 
     def _save(self, name: str, df: DataFrame) -> None:

@@ -1,6 +1,6 @@
 """Full-text index and BM25 search with phrases and prefixes.
 
-The index is ordinary tables: ``postings(term, chunk_id, field, pos)``, one row per token,
+The index is ordinary tables: ``postings(term, chunk_id, field, pos, dl)``, one row per token,
 and ``lengths(chunk_id, dl)``.  Searches are joins and grouped sums, for any number of
 queries at once; phrase positions line up by grouping on the phrase's start.
 """
@@ -19,27 +19,31 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class TextIndex:
+    """Tables of an index.  ``terms`` (distinct terms) is there for saved indexes; without it queries'
+    tokens are compared with the postings themselves in their one scan."""
+
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Postings are range-partitioned and sorted by term, so scans for few terms skip files and row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id", "field", "pos").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
+        self.postings.sparkSession.read.parquet(f"{path}/postings").select("term").distinct().write.parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return TextIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")))
 
 
 def build_index(chunks: DataFrame, fields: tuple[str, ...] = ("symbol", "code"), chunk_id: str = "chunk_id") -> TextIndex:
-    lists = chunks.select(F.col(chunk_id).alias("chunk_id"), *[tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
-    postings = None
-    for i, f in enumerate(fields):
-        part = lists.select("chunk_id", F.lit(f).alias("field"), F.posexplode(f"t{i}").alias("pos", "term"))
-        postings = part if postings is None else postings.unionAll(part)
-    length = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0))
-    return TextIndex(postings.select("term", "chunk_id", "field", "pos"), lists.select("chunk_id", length.alias("dl")))
+    """Postings carry their chunk's length, so that scoring needs no join with the lengths."""
+    lists = chunks.select(F.col(chunk_id).alias("chunk_id"), F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields]).alias("fields"))
+    lists = lists.withColumn("dl", F.aggregate("fields", F.lit(0), lambda n, x: n + F.size(x["terms"])))
+    rows = lists.select("chunk_id", "dl", F.explode("fields").alias("x"))
+    postings = rows.select("chunk_id", "dl", F.col("x.field").alias("field"), F.posexplode("x.terms").alias("pos", "term"))
+    return TextIndex(postings.select("term", "chunk_id", "field", "pos", "dl"), lists.select("chunk_id", "dl"))
 
 
 def phrases(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -50,19 +54,24 @@ def phrases(queries: DataFrame, query: str = "query") -> DataFrame:
     return rows.withColumn("prefix", F.col("i") == F.col("m") - 1)
 
 
-def _expand(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct indexed terms that a token stands for.  The queries' tokens are broadcast
-    (20 terms a query); the distinct terms stay distributed."""
-    terms = postings.select("term").distinct()
-    match = F.when(F.col("prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
-    return terms.join(F.broadcast(wanted.select("token", "prefix").distinct()), match)
+def _matches() -> Column:
+    return F.when(F.col("prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
+
+
+def _hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """Postings of the terms that the queries' tokens stand for.  The queries' tokens are broadcast (20 terms a
+    query); with a table of distinct terms they are expanded there and joined by equality."""
+    if index.terms is None:
+        return index.postings.join(F.broadcast(wanted), _matches())
+    expanded = index.terms.join(F.broadcast(wanted.select("token", "prefix").distinct()), _matches())
+    return index.postings.join(expanded, "term").join(F.broadcast(wanted), ["token", "prefix"])
 
 
 def occurrences(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """``query_id, phrase, chunk_id, f``: how often each phrase occurs in a chunk, within a field."""
-    hits = index.postings.join(_expand(index.postings, wanted), "term").join(wanted, ["token", "prefix"])
-    starts = hits.groupBy("query_id", "phrase", "m", "chunk_id", "field", (F.col("pos") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("got"))
-    return starts.filter("got = m").groupBy("query_id", "phrase", "chunk_id").agg(F.count(F.lit(1)).alias("f"))
+    """``query_id, phrase, chunk_id, dl, f``: how often each phrase occurs in a chunk, within a field."""
+    keys = ["query_id", "phrase", "m", "chunk_id", "dl", "field"]
+    starts = _hits(index, wanted).groupBy(*keys, (F.col("pos") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("got"))
+    return starts.filter("got = m").groupBy("query_id", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("f"))
 
 
 def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
@@ -72,7 +81,7 @@ def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
     df = f.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n_hit"))
     idf = F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
     df = df.crossJoin(F.broadcast(corpus)).select("query_id", "phrase", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    rows = f.join(df, ["query_id", "phrase"]).join(index.lengths, "chunk_id")
+    rows = f.join(F.broadcast(df), ["query_id", "phrase"])
     score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("bm25"))
 
@@ -85,9 +94,14 @@ def search_lexical(index: TextIndex, queries: DataFrame, k: int = 10, query: str
 
 
 def search_one(index: TextIndex, text: str, k: int = 10) -> DataFrame:
-    """One query: ``chunk_id, score``, a plain top-k."""
-    queries = index.lengths.sparkSession.createDataFrame([(0, text)], "query_id int, query string")
-    scored = bm25(index, phrases(queries)).select("chunk_id", (F.col("bm25") / 100).alias("score"))
+    """One query: ``chunk_id, score``, a plain top-k.  Its tokens filter the postings where they are scanned."""
+    spark = index.lengths.sparkSession
+    wanted = phrases(spark.createDataFrame([(0, text)], "query_id int, query string")).collect()  # 20 terms at most
+    rows = spark.createDataFrame([(r.query_id, r.phrase, r.m, r.i, r.token, r.prefix) for r in wanted], "query_id int, phrase int, m int, i int, token string, prefix boolean")
+    near = F.lit(False)
+    for t in sorted({(r.token, r.prefix) for r in wanted}):
+        near = near | (F.col("term").startswith(t[0]) if t[1] else F.col("term") == t[0])
+    scored = bm25(TextIndex(index.postings.filter(near), index.lengths), rows).select("chunk_id", (F.col("bm25") / 100).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

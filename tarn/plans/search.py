@@ -65,7 +65,7 @@ def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 10).select("chunk_id", "sem_rank", "lex_rank", F.round("score", 9).alias("score"))
+    return _fused(spark, sf_dir, 10).select("chunk_id", F.coalesce("sem_rank", F.lit(-1)).alias("sem_rank"), F.coalesce("lex_rank", F.lit(-1)).alias("lex_rank"), F.round("score", 9).alias("score"))
 
 
 def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ ORACLES = {
         sem AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS sem_rank FROM embeddings ORDER BY sem_rank LIMIT 30),
         lex AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS lex_rank FROM sc ORDER BY lex_rank LIMIT 30),
         j AS (SELECT chunk_id, sem_rank, lex_rank, coalesce(0.7 / (60 + sem_rank), 0) + coalesce((1 - 0.7::DOUBLE) / (60 + lex_rank), 0) AS score FROM sem FULL JOIN lex USING (chunk_id))
-        SELECT chunk_id, CAST(sem_rank AS INTEGER) AS sem_rank, CAST(lex_rank AS INTEGER) AS lex_rank, round(score, 9) AS score FROM j
+        SELECT chunk_id, CAST(coalesce(sem_rank, -1) AS INTEGER) AS sem_rank, CAST(coalesce(lex_rank, -1) AS INTEGER) AS lex_rank, round(score, 9) AS score FROM j
         ORDER BY j.score DESC, j.sem_rank NULLS LAST, j.lex_rank NULLS LAST, chunk_id LIMIT 10""",
     "file_agg_sum": f"{_phrases(QUERY)} SELECT source AS file_path, round(sum(score), 9) AS score FROM sc JOIN documents USING (doc_id) GROUP BY source ORDER BY sum(sc.score) DESC, source LIMIT 10",
     "file_agg_max": f"{_phrases(QUERY)} SELECT source AS file_path, round(max(score), 9) AS score FROM sc JOIN documents USING (doc_id) GROUP BY source ORDER BY max(sc.score) DESC, source LIMIT 10",
