@@ -380,3 +380,55 @@ def test_pipeline_keeps_its_stages(spark, sf, docs, texts):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     last = corpus_pipeline.STAGES[-1][1](spark, table, sf)
     assert last.agg(F.sum("n_tokens")).first()[0] == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in table.select("text").collect())
+
+
+def test_near_copies_without_their_original(spark):
+    """Variants of a text that is not there: leaders link few of them, the blocks find the rest."""
+    rng, rows = random.Random(5), []
+    for g in range(3):
+        base = [f"w{g}_{rng.randint(0, 9999)}" for _ in range(150)]
+        for _ in range(50):
+            words = list(base)
+            for i in rng.sample(range(150), rng.randint(1, 5)):
+                words[i] = f"x{rng.randint(0, 10**6)}"
+            if rng.random() < 0.2:
+                words += words[:6]  # some shingles twice
+            rows.append((len(rows), " ".join(words)))
+    sets = {i: shingled(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a].keys() & sets[b].keys() and exact_jp(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 3
+
+
+def test_links_between_blocks_equal_pairwise():
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(14):
+        words = list(base)
+        words[rng.randint(0, 59)] = "x"
+        texts.append(" ".join(words + words[:5] * rng.randint(0, 2)))
+    xs = [{"text": t, "comp": i, "block": 0} for i, t in enumerate(texts)]
+    every = np.arange(len(xs))
+    edges = near_dup._links_between(xs, every, every, every, 0.8)
+    groups = near_dup._Forest()
+    for a in range(14):
+        for b in range(a):
+            if exact_jp(shingled(texts[a]), shingled(texts[b])) >= 0.8:
+                groups.join(a, b)
+    mine = near_dup._Forest()
+    for a, b in edges:
+        mine.join(a, b)
+    tops = [[f.top(i) for i in range(14)] for f in (groups, mine)]
+    assert [[t.index(x) for x in t] for t in tops][0] == [[t.index(x) for x in t] for t in tops][1]
