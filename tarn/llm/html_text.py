@@ -36,9 +36,10 @@ APART = frozenset("nav footer aside form button select dialog menu label fieldse
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navigations menu menus breadcrumb breadcrumbs "
     "sidebar sidebars footer foot comment comments respond disqus replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login "
-    "share sharing social related recommended widget toolbar masthead search pagination pager complementary contentinfo alert skip".split()
+    "share sharing social related recommended widget toolbar search pagination pager complementary contentinfo alert skip".split()
 )
 CENTRE_WORDS = frozenset("article content main post entry story".split())
+HEADER_WORDS = frozenset("header topbar masthead".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -49,12 +50,16 @@ FEATURES = ("words", "link_density", "words_before", "density_before", "words_af
 
 
 @lru_cache(8192)
-def _kind(tag: str, attributes: str) -> tuple[int, int]:
-    """Whether an element stands apart, and whether it is the article or its like."""
+def _kind(tag: str, attributes: str) -> tuple[int, int, int]:
+    """Whether an element stands apart; how surely it is the page's centre (3 article, 2 main, 1 by its
+    names); and whether it is a header, which stands apart unless it is inside the centre."""
     names = {w for m in _NAMED.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())} if "=" in attributes else set()
-    centre = int(tag in ("article", "main"))
-    apart = int(tag in APART or (bool(names & APART_WORDS) and tag not in ("article", "main", "body", "html")))
-    return apart, int(centre or (bool(names & CENTRE_WORDS) and not apart))
+    if tag in ("body", "html"):
+        return 0, 0, 0
+    apart = int(tag in APART or (bool(names & APART_WORDS) and tag not in ("article", "main")))
+    head = int(tag == "header" or bool(names & HEADER_WORDS))
+    level = 0 if apart or head else 3 if tag == "article" else 2 if tag == "main" else int(bool(names & CENTRE_WORDS))
+    return apart, level, head
 
 
 class Block:
@@ -118,23 +123,23 @@ def flat_blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        apart, centre = _kind(tag, m[3])
+        apart, centre, head = _kind(tag, m[3])
         if stack:
-            centre = centre or stack[-1][2]
+            centre = max(centre, stack[-1][2])
             apart = apart or stack[-1][1]
-        if tag == "header" and not centre:  # an article's own header holds its title
+        if head and not centre:  # an article's own header holds its title
             apart = 1
         if tag == "a":
             links += 1
         stack.append((tag, apart, centre))
     rows = []
-    any_centre = float(any(b.centre for b in blocks))
+    centre = max((b.centre for b in blocks if not b.apart), default=0)  # the surest kind that the page has
     for b in blocks:
         text = " ".join(html.unescape("".join(b.parts)).split())
         if text:
             n = text.count(" ") + 1
-            linked = len(html.unescape("".join(b.linked)).split()) / n if b.linked else 0.0
-            rows.append((text, [float(n), min(1.0, linked), 0.0, 0.0, 0.0, 0.0, b.apart, b.centre, b.heading, b.item, any_centre]))
+            linked = len(html.unescape(" ".join(b.linked)).split()) / n if b.linked else 0.0
+            rows.append((text, [float(n), min(1.0, linked), 0.0, 0.0, 0.0, 0.0, b.apart, int(0 < centre <= b.centre), b.heading, b.item, int(centre > 0)]))
     for (_, x), (_, y) in zip(rows, rows[1:]):
         x[4:6], y[2:4] = y[:2], x[:2]
     return rows
@@ -169,6 +174,12 @@ LABELLED = [
     # links at the start or after text of a page without an article
     (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0, 0), (3, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
     (4, 1.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 100, 0.0, 0, 0, 0, 0, 0, 0), (30, 0.1, 2, 1.0, 60, 0.0, 0, 0, 0, 0, 0, 1),
+    # prose of pages without an article, and what stands between links there
+    (25, 0.0, 2, 0.0, 19, 0.0, 0, 0, 0, 0, 0, 1), (19, 0.0, 25, 0.0, 3, 0.33, 0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 1),
+    (10, 0.0, 12, 0.0, 9, 0.0, 0, 0, 0, 0, 0, 1), (15, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1), (14, 0.1, 11, 0.0, 20, 0.2, 0, 0, 0, 0, 0, 1),
+    (4, 0.0, 16, 0.0, 22, 0.0, 0, 0, 0, 1, 0, 1), (12, 0.0, 3, 1.0, 14, 0.0, 0, 0, 0, 0, 0, 1), (28, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 0), (4, 1.0, 19, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
+    (5, 0.8, 30, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 0), (9, 0.7, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), (3, 0.67, 19, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0),
     # the article's short blocks between short ones, its first and its last
     (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 0, 1, 1), (2, 0.0, 2, 0.0, 0, 0.0, 0, 1, 0, 0, 1, 1), (5, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0, 1, 1),
     (12, 0.0, 5, 0.0, 17, 0.0, 0, 1, 0, 0, 1, 1), (30, 1.0, 2, 0.0, 3, 0.0, 0, 1, 0, 1, 1, 1), (8, 0.0, 9, 0.0, 18, 0.1, 0, 1, 0, 0, 1, 1),
