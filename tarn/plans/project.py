@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import render, text
 from ..operators import evaluate, graph, memory
 from ..streaming.watch import debounced
 
@@ -146,6 +146,18 @@ def merge_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("p_partkey", a.alias("from_branch"), b.alias("to_branch"))
 
 
+def render_changelogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("message")
+    at = F.lit("2024-03-05 10:00:00").cast("timestamp_ntz")
+    page = render.changelog_markdown(F.concat(F.lit("v"), "p_partkey"), at, F.col("merge"), text.breaking_changes(m), text.feature_lines(m), text.fix_lines(m))
+    return _messages(spark, sf_dir).select("p_partkey", page.alias("page"))
+
+
+def render_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = render.timeline_line(F.col("event_type"), F.col("from_ref"), F.col("to_ref"), F.col("importance"), F.col("created_at"))
+    return _timeline(spark, sf_dir).select("id", line.alias("line"))
+
+
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("root"), F.col("event_type").alias("file_path"))
     return debounced(e, "30 minutes").select("root", "start", "n_events", F.array_join("paths", ",").alias("paths"))
@@ -227,6 +239,12 @@ ORACLES = {
     "commit_classify": f"""WITH {_MESSAGES} SELECT p_partkey, coalesce(string_agg(trim(line), '|' ORDER BY i) FILTER (regexp_matches(line, '(?i)breaking|^!:')), '') AS breaking,
         coalesce(string_agg(trim(line), '|' ORDER BY i) FILTER (regexp_matches(line, '(?i)^(feat|feature|add):')), '') AS features, coalesce(string_agg(trim(line), '|' ORDER BY i) FILTER (regexp_matches(line, '(?i)^(fix|bug):')), '') AS fixes FROM m GROUP BY p_partkey""",
     "merge_branches": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'user/' || p_partkey END AS from_branch, CASE WHEN p_size % 3 = 0 THEN 'main' END AS to_branch FROM part",
+    "render_changelogs": f"""WITH {_MESSAGES}, x AS (SELECT p_partkey, string_agg('- ' || trim(line), chr(10) ORDER BY i) FILTER (regexp_matches(line, '(?i)breaking|^!:')) AS b,
+            string_agg('- ' || trim(line), chr(10) ORDER BY i) FILTER (regexp_matches(line, '(?i)^(feat|feature|add):')) AS f, string_agg('- ' || trim(line), chr(10) ORDER BY i) FILTER (regexp_matches(line, '(?i)^(fix|bug):')) AS x FROM m GROUP BY p_partkey)
+        SELECT p_partkey, '## v' || p_partkey || ' (2024-03-05)' || chr(10) || chr(10) || CASE p_size % 3 WHEN 0 THEN 'Merge branch ' || chr(39) || p_brand || chr(39) || ' into ' || chr(39) || 'main' || chr(39) WHEN 1 THEN 'Merge pull request #7 from user/' || p_partkey ELSE p_name END
+            || coalesce(chr(10) || chr(10) || '### Breaking Changes' || chr(10) || b, '') || coalesce(chr(10) || chr(10) || '### Features' || chr(10) || f, '') || coalesce(chr(10) || chr(10) || '### Fixes' || chr(10) || x, '') AS page
+        FROM part JOIN x USING (p_partkey)""",
+    "render_timeline": f"SELECT event_id AS id, '[' || strftime(ts, '%Y-%m-%d') || '] ' || event_type || ': b' || (user_id % 4) || ' → main (' || {_IMPORTANCE} || ')' AS line FROM events",
     "debounce_sessions": """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
         SELECT user_id AS root, min(ts) AS start, count(*) AS n_events, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM s GROUP BY user_id, n""",
@@ -236,5 +254,5 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     recall_precision_hit, ndcg, mrr, compare_systems_delta, weighted_mean, latency_percentile, match_metrics, pending_fifo_100, oldest_pending, approve_reject, timeline_filter, importance, changelog_range,
-    changelog_range_semver, sync_dedup, import_insert_if_absent, import_newest_wins, commit_classify, merge_branches, debounce_sessions, call_graph, entry_points, multi_hop_frontier,
+    changelog_range_semver, sync_dedup, import_insert_if_absent, import_newest_wins, commit_classify, merge_branches, render_changelogs, render_timeline, debounce_sessions, call_graph, entry_points, multi_hop_frontier,
 )}

@@ -157,3 +157,22 @@ def load_queries(spark: SparkSession, path: str, *, repository: str | None = Non
     if repository:
         out = out.filter(F.col("repository") == repository)
     return out.limit(most) if most else out
+
+
+def load_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (``id, query_text``) and relevant documents (``query_id, item``) of a retrieval set in one JSON document."""
+    schema = "queries array<struct<id:string,query_text:string,relevant_docs:array<string>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("queries").alias("q"))
+    return rows.select("q.id", "q.query_text"), rows.select(F.col("q.id").alias("query_id"), F.explode("q.relevant_docs").alias("item"))
+
+
+def classify_script_packages(packages: DataFrame) -> DataFrame:
+    """Typed script packages among ``name, entries, manifest`` (the package file as JSON text): those under ``@types``, with a
+    declaration file named index or like the package, or that name their types in the manifest."""
+    bare = F.element_at(F.split("name", "/"), -1)
+    typed = F.coalesce(F.get_json_object("manifest", "$.types"), F.get_json_object("manifest", "$.typings"))
+    kind = (
+        F.when(F.col("name").startswith("@types/"), "types").when(F.array_contains("entries", "index.d.ts"), "index")
+        .when(F.array_contains("entries", F.concat(bare, F.lit(".d.ts"))), "named").when(typed.isNotNull(), "manifest")
+    )
+    return packages.withColumn("kind", kind).filter("kind is not null").select("name", "kind", F.get_json_object("manifest", "$.version").alias("version"))

@@ -192,3 +192,27 @@ def test_streamed_debounce(spark, tmp_path):
     assert [r.paths for r in sorted(got, key=lambda r: r.start)] == [["f0", "f1"], ["f5"]]
     table = spark.read.schema("root string, file_path string, ts timestamp").json(str(tmp_path / "in"))
     assert debounced(table).count() == 3
+
+
+def test_loaders(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"queries": [{"id": "1", "query_text": "q", "relevant_docs": ["a", "b"]}]}')
+    queries, relevant = files.load_benchmark(spark, str(tmp_path / "b.json"))
+    assert queries.count() == 1 and {r.item for r in relevant.collect()} == {"a", "b"}
+    (tmp_path / "t.jsonl").write_text('{"prompt": "' + "x" * 600 + '", "metadata": {"task_id": "repo/1"}}\n')
+    task = files.load_queries(spark, str(tmp_path / "t.jsonl"), repository="repo").first()
+    assert len(task["query"]) == 500
+    rows = spark.createDataFrame([("@types/a", [], "{}"), ("b", ["b.d.ts"], "{}"), ("c", [], '{"types": "x.d.ts", "version": "1.0"}'), ("d", [], "{}")], "name string, entries array<string>, manifest string")
+    assert {r.name: r.kind for r in files.classify_script_packages(rows).collect()} == {"@types/a": "types", "b": "named", "c": "manifest"}
+    stubs = spark.createDataFrame([("types_x", []), ("y-stubs", []), ("z", ["py.typed"]), ("w", [])], "name string, entries array<string>")
+    versions = spark.createDataFrame([("x", "2.0"), ("y-stubs", "1.0")], "package string, version string")
+    assert {r.name: r.version for r in files.classify_stubs(stubs, versions).collect()} == {"types_x": "2.0", "y-stubs": "1.0", "z": None}
+
+
+def test_line_search_and_links(spark):
+    rows = spark.createDataFrame([("a", "x\nfoo one\ny"), ("b", "foo\nfoo\nfoo\nfoo")], "file_path string, text string")
+    assert {r.file_path: r.n_matches for r in files.matching_lines(rows, ["foo"]).collect()} == {"a": 1, "b": 3}
+    docs = spark.createDataFrame([("docs/api/load.md", ["load_config"]), ("README.md", [])], "doc_path string, symbols array<string>")
+    sources = spark.createDataFrame([("src/api/load.py",), ("main.py",), ("lib/x.py",)], "file_path string")
+    symbols = spark.createDataFrame([("lib/x.py", "load_config")], "file_path string, symbol string")
+    links = {(r.doc_path, r.file_path, r.kind) for r in graph.document_links(docs, sources, symbols).collect()}
+    assert links == {("docs/api/load.md", "lib/x.py", "symbol"), ("docs/api/load.md", "src/api/load.py", "hierarchy"), ("README.md", "main.py", "proximity"), ("README.md", "lib/x.py", "proximity")}
