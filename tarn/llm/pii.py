@@ -168,8 +168,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_r
     """Piecewise training on at most ``sample_rows`` documents that hold an ``@``, a ``+`` or three
     digits in a row, with base labels as truth: token weights by multinomial logistic
     regression, chain and skip potentials from label counts, all smoothed."""
-    some = docs.filter(F.col(text).rlike("[@+]|[0-9]{3}")).select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("_h"))
-    texts = [r.text for r in some.orderBy("_h").limit(sample_rows).collect()]
+    some = docs.filter(F.col(text).rlike("[@+]|[0-9]{3}")).select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("_h"))
+    chosen = some.select("_h").orderBy("_h").limit(sample_rows)  # hashes first, so that tasks send no texts that are not used
+    texts = sorted(r.text for r in some.join(F.broadcast(chosen.distinct()), "_h").dropDuplicates(["_h"]).collect())
     xs, ys, chain, same = [], [], np.full((LABELS, LABELS), 1.0), np.array([1.0, 1.0])
     for t in texts:
         g = lattice(t, base_spans(t))
