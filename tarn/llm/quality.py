@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """Fit on at most ``sample_rows`` labelled rows, the only rows that reach the driver (as features)."""
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(good).cast("int").alias("_good"), F.coalesce(F.col(toxic).cast("int"), F.lit(0)).alias("_toxic"))
     marks = marks.filter("_id is not null and _good is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    chosen = marks.join(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id").select(F.col("_id").cast("string").alias("_row"), "text", "_good", "_toxic")
+    chosen = F.broadcast(marks).join(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id").select(F.col("_id").cast("string").alias("_row"), "text", "_good", "_toxic")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
