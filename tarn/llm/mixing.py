@@ -75,11 +75,16 @@ def sainte_lague(rows: DataFrame, seats: Column, claim: str, by: list[str], orde
     return out.select(*[rows[c] for c in keep], (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Per row: ``doc_id, size, source, source_size, target, taken`` (words taken, repeats counted)."""
+    return _taken(docs, **options).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def _taken(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3),
     ceiling: int = 3, block_words: int = 64, shard_words: int = 400_000, seed: str = "mix-1",
 ) -> DataFrame:
-    """Per row: ``doc_id, size, source, source_size, target, taken`` (words taken, repeats counted)."""
+    """What :func:`mix` gives, and each row's ``shard``."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"))
     sizes = materialize(sizes, "mix-sizes")
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
@@ -118,7 +123,7 @@ def mix(
     r = turns.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "rounds")
     out = out.join(r, out["source"].eqNullSafe(r["_source"]) & (out["shard"] == r["_shard"]), "left")
     taken = F.coalesce("rounds", F.lit(0)) * F.col("size") + F.coalesce("extra", F.lit(0))
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", lines["source"], "source_size", "target", lines["shard"], taken.cast("long").alias("taken"))
 
 
 def _with_goals(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -126,11 +131,28 @@ def _with_goals(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return rows.join(g, rows["source"].eqNullSafe(g["_source"])).drop("_source")
 
 
+def _copies(plan: DataFrame, seed: str) -> DataFrame:
+    """Adds ``copies``: taken / size whole copies, the remainders rounded without bias.
+
+    Along a shard's documents by size the remainders add up from a seeded start in [0, 1),
+    and a document whose sum passes a whole number gets one copy more: each with the
+    chance of its remainder, whatever its length.  As neighbours in this line are of like
+    size, a shard's words differ from those taken by less than its longest document.
+    Remainders are whole billionths, so their sums do not depend on the order of adding."""
+    unit = 10**9
+    line = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(seed), F.lit("copy"), "doc_id"), "doc_id", "taken")
+    part = F.round((F.col("taken") % F.col("size")) * F.lit(float(unit)) / F.col("size")).cast("long")
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "source", "shard"), F.lit(unit))
+    rows = plan.filter("size > 0").withColumn("_part", part)
+    rows = rows.withColumn("_to", start + F.sum("_part").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    more = F.floor(F.col("_to") / unit) - F.floor((F.col("_to") - F.col("_part")) / unit)
+    return rows.withColumn("copies", (F.floor(F.col("taken") / F.col("size")) + more).cast("int")).drop("_part", "_to")
+
+
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document whole, as often as the words taken from it make
-    it up (rounded; a document with no words taken is left out).  Keeps all columns."""
-    plan = mix(docs, **options)
-    copies = plan.filter("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    """The mixed corpus: each document whole, as often as the words taken from it make it
+    up, by :func:`_copies` (no words taken: left out).  Keeps all columns."""
+    copies = _copies(_taken(docs, **options), options.get("seed", "mix-1")).select("doc_id", "copies")
     copies = copies.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "_mix_id")
     out = docs.join(copies, F.col(options.get("doc_id", "doc_id")) == F.col("_mix_id"))
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

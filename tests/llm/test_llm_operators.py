@@ -432,3 +432,49 @@ def test_links_between_blocks_equal_pairwise():
         mine.join(a, b)
     tops = [[f.top(i) for i in range(14)] for f in (groups, mine)]
     assert [[t.index(x) for x in t] for t in tops][0] == [[t.index(x) for x in t] for t in tops][1]
+
+
+def words_by_source(rows):
+    out = collections.Counter()
+    for r in rows:
+        out[r.source] += len(WORD.findall(r.text))
+    return out
+
+
+def test_mixed_rows_meet_targets_whatever_their_length(spark):
+    """Long documents of a thinned source are kept as often as short ones, and each source's words are its target."""
+    rng, rows = random.Random(3), []
+    for s, n, lengths in (("a", 240, (20, 900)), ("b", 30, (300, 600)), ("c", 60, (20, 900)), ("d", 90, (400, 700))):
+        rows += [(len(rows) + i, " ".join(["w"] * rng.randint(*lengths)), s) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs, shard_words=30_000).collect()
+    got = mixing.mix_rows(docs, shard_words=30_000).collect()
+    words, size, target, taken, longest = words_by_source(got), {}, {}, collections.Counter(), collections.Counter()
+    for r in plan:
+        size[r.source], target[r.source] = r.source_size, r.target
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+    times = collections.Counter(r.doc_id for r in got)
+    assert all(r.taken // r.size <= times[r.doc_id] <= -(-r.taken // r.size) for r in plan)
+    for s in size:
+        shards = -(-size[s] // 30_000)
+        assert abs(words[s] - taken[s]) < shards * longest[s], s
+        assert abs(words[s] - target[s]) < shards * (longest[s] + 64), s
+    assert target["a"] < 0.5 * size["a"]
+    long = [r for r in plan if r.source == "a" and r.size >= 300]
+    assert abs(sum(times[r.doc_id] for r in long) / len(long) - target["a"] / size["a"]) < 0.08
+
+
+def test_pipeline_words_per_source_are_the_targets(spark, sf, docs):
+    import corpus_pipeline
+
+    table = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = corpus_pipeline.materialize(stage(spark, table, sf), "test-words")
+    before, got = words_by_source(table.collect()), words_by_source(corpus_pipeline.mix_sources(spark, table, sf).collect())
+    longest = collections.Counter()
+    for r in table.collect():
+        longest[r.source] = max(longest[r.source], len(WORD.findall(r.text)))
+    sizes = spark.createDataFrame(list(before.items()), "source string, source_size long")
+    for r in mixing.targets(sizes).collect():
+        assert abs(got[r.source] - r.target) < longest[r.source] + 64, r.source
