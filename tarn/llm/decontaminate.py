@@ -2,7 +2,7 @@
 
 A window of a document, as many words long as a benchmark item, is contaminated when its
 weighted five-word-shingle similarity to the item (sum of minimum over sum of maximum
-counts) reaches ``threshold``.
+counts) reaches ``threshold``.  A document shorter than the item is one window, whole.
 
 1. Items give the hashes of their shingles.  A window at the threshold shares at least
    one shingle with its item, so only document positions that hold an item's shingle are
@@ -14,6 +14,10 @@ counts) reaches ``threshold``.
    RADIUS // BLOCKS bits of some block, so every item is filed under all block values
    within that distance and every window looks up its own six block values.  This finds
    all pairs within the radius; others are dropped by their bit count.
+   A window shorter than its item is not sought by bits, as the words it lacks move it
+   further: it needs threshold times the item's shingles, so of its own shingles, taken by the
+   number of items that hold them, one of the first (its count less that need, plus one)
+   is the item's; it is paired with the items that hold any of those.  That is exact.
 3. The similarity of the pairs found is computed exactly.
 
 Words are lower-cased runs of non-white-space.  Items of fewer than five words use one
@@ -23,7 +27,7 @@ Repeated items keep their own ids; rows of documents that share an id count as o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -97,42 +101,53 @@ def find_contamination(
 
     hashed = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), to_hash(text).alias("dh"))
     hashed = hashed.withColumn("len", F.size("dh"))
-    opened = None
+    opened, zero = None, F.lit(0)
     for k in sizes:
         at = hashed.filter(F.col("len") >= k).select("doc_id", "dh", "len", F.posexplode(F.slice("dh", F.lit(1), F.col("len") - k + 1)).alias("_i", "_h"))
         at = at.select("doc_id", "dh", "len", "_i", _shingle("dh", "_i", k).alias("s")).join(keys.filter(F.col("k") == k), "s")
         first, last = F.greatest(F.lit(0), F.col("_i") - F.col("n") + k), F.least(F.col("_i"), F.col("len") - F.col("n"))
+        # a shorter document is one window; with fewer shingles than this it cannot reach the threshold
+        enough = F.col("len") - k + 1 >= threshold * (F.col("n") - k + 1) - 1e-9
+        short = at.filter(F.col("len") < F.col("n")).filter(enough).select("doc_id", "n", "k", zero.alias("a"), zero.alias("z"), F.col("dh").alias("part"))
         # what a hit keeps of its document: the words that windows around it can reach
         cut = at.filter("len >= n").select("doc_id", "n", "k", first.alias("a"), last.alias("z"), F.slice("dh", first + 1, last - first + F.col("n")).alias("part"))
+        cut = cut.unionAll(short)
         opened = cut if opened is None else opened.unionAll(cut)
     windows = opened.filter("a <= z").select("doc_id", "n", "k", "a", "part", F.explode(F.sequence("a", "z")).alias("start"))
     windows = windows.select("doc_id", "n", "k", "start", F.slice("part", F.col("start") - F.col("a") + 1, F.col("n")).alias("wh"))
     # the same window is opened by each shingle in it; equal texts have equal windows
     windows = windows.groupBy("doc_id", "n", "k", "start").agg(F.first("wh").alias("wh"))
     windows = materialize(windows.withColumn("wid", F.xxhash64("n", "wh")), "windows")
-    texts = windows.groupBy("wid", "n", "k").agg(F.first("wh").alias("wh"))
+    texts = windows.groupBy("wid", "n", "k").agg(F.first("wh").alias("wh")).withColumn("m", F.size("wh"))  # m = n but for short documents
     texts = materialize(texts, "window-texts")
 
-    zero = F.lit(0)
-    w_fp = _fingerprint(_features(texts.withColumn("z", zero), ["wid", "n"], "wh", "z", "n"), ["wid", "n"])
+    w_fp = _fingerprint(_features(texts.filter("m = n").withColumn("z", zero), ["wid", "n"], "wh", "z", "n"), ["wid", "n"])
     i_fp = _fingerprint(_features(items.withColumn("z", zero), ["item_id", "n"], "ih", "z", "n"), ["item_id", "n"])
     filed = i_fp.select("item_id", "n", F.col("fp").alias("ifp"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _near_values(F.col("fp"), b).alias("vs")) for b in range(BLOCKS)])).alias("e"))
     filed = filed.select("item_id", "n", "ifp", F.col("e.b").alias("b"), F.explode("e.vs").alias("v"))
     asked = w_fp.select("wid", "n", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("e"))
     asked = asked.select("wid", "n", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
     found = asked.join(filed.hint("merge"), ["n", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    found = found.select("wid", "item_id", "n").distinct()
 
-    # exact similarity of the pairs found
     w_sh = None
     for k in sizes:
-        part = texts.filter(F.col("k") == k).select("wid", "wh", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("_i")).select("wid", _shingle("wh", "_i", k).alias("s"))
+        part = texts.filter(F.col("k") == k).select("wid", "n", "k", "m", "wh", F.explode(F.sequence(F.lit(0), F.col("m") - k)).alias("_i")).select("wid", "n", "k", "m", _shingle("wh", "_i", k).alias("s"))
         w_sh = part if w_sh is None else w_sh.unionAll(part)
-    w_sh = w_sh.groupBy("wid", "s").agg(F.count(F.lit(1)).alias("cw"))
-    both = found.join(w_sh, "wid").join(item_shingles.select("item_id", "s", "c"), ["item_id", "s"])
-    common = both.groupBy("wid", "item_id", "n").agg(F.sum(F.least("c", "cw")).alias("common"))
-    total = items.select("item_id", (2 * (F.col("n") - F.col("k") + 1)).alias("total"))  # window and item have as many shingles
-    scored = common.join(total, "item_id").withColumn("similarity", F.col("common") / (F.col("total") - F.col("common")))
+    w_sh = w_sh.groupBy("wid", "n", "k", "m", "s").agg(F.count(F.lit(1)).alias("cw"))
+
+    # short documents: the shingles that fewest items hold, as many as must hold one of the item's
+    rare = item_shingles.groupBy("n", "k", "s").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("wid", "n").orderBy(F.coalesce("held", zero), "s").rowsBetween(Window.unboundedPreceding, -1)
+    first = w_sh.filter("m < n").join(rare, ["n", "k", "s"], "left").withColumn("before", F.coalesce(F.sum("cw").over(order), zero))
+    need = F.ceil(F.lit(threshold) * (F.col("n") - F.col("k") + 1) - 1e-9)
+    first = first.filter(F.col("before") <= F.col("m") - F.col("k") + 1 - need).select("wid", "n", "k", "s")
+    found = found.select("wid", "item_id", "n").unionAll(first.join(item_shingles, ["n", "k", "s"]).select("wid", "item_id", "n")).distinct()
+
+    # exact similarity of the pairs found
+    both = found.join(w_sh.select("wid", "n", "m", "s", "cw"), ["wid", "n"]).join(item_shingles, ["item_id", "n", "s"])
+    common = both.groupBy("wid", "item_id", "n", "k", "m").agg(F.sum(F.least("c", "cw")).alias("common"))
+    scored = common.withColumn("total", F.col("n") + F.col("m") - 2 * F.col("k") + 2)  # shingles of window and item
+    scored = scored.withColumn("similarity", F.col("common") / (F.col("total") - F.col("common")))
     hits = windows.select("doc_id", "wid", "start").join(scored.filter(F.col("similarity") >= threshold), "wid")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("m"))).alias("best")
     out = hits.groupBy("doc_id", "item_id").agg(best)

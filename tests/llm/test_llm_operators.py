@@ -478,3 +478,33 @@ def test_pipeline_words_per_source_are_the_targets(spark, sf, docs):
     sizes = spark.createDataFrame(list(before.items()), "source string, source_size long")
     for r in mixing.targets(sizes).collect():
         assert abs(got[r.source] - r.target) < longest[r.source] + 64, r.source
+
+
+def test_documents_shorter_than_an_item_equal_brute_force(spark, sf):
+    """Documents that are an item without its ends, with repeated words, or with other words at an end."""
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    items += [(900, "one two three four five six"), (901, " ".join(["again and again"] * 8)), (902, "just four words here")]
+    token, grams = (lambda t: WORD.findall(t.lower())), (lambda w, k: collections.Counter(zip(*(w[i:] for i in range(k)))))
+    rows = []
+    for _, text in items:
+        w = token(text)
+        for cut in range(1, min(16, len(w))):
+            front = rng.randint(0, cut)
+            rows += [w[:-cut], w[cut:], w[front : len(w) - cut + front], w[: -cut - 1] + ["other"]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    truth = {}
+    for item, text in items:
+        iw = token(text)
+        k = min(5, len(iw))
+        for i, t in rows:
+            w = token(t)
+            for s in range(max(1, len(w) - len(iw) + 1)):
+                a, b = grams(w[s : s + len(iw)], k), grams(iw, k)
+                if a & b and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    truth[i, item] = max(truth.get((i, item), 0), sum((a & b).values()) / sum((a | b).values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == pytest.approx(truth) and len(truth) > 100
+    assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - len({i for i, _ in truth})
