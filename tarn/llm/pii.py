@@ -10,7 +10,8 @@ lie in base spans are observed; others decoded as an entity with a marginal of a
 
 Only tokens that carry a digit, ``@`` or ``+`` or repeat a part of a base address can be
 entities; all others are observed O and enter as their neighbours' chain potentials.
-Repeats are linked in a row, so links grow with the tokens, not with their square.
+All tokens of a key are linked to one hub, so links grow with the tokens, not with their
+square, and any two repeats are as near as if they were linked themselves.
 Parameters are trained piecewise on a bounded sample (``fit``); inference covers whole texts.
 
 Null text is empty.  Positions are code points, end exclusive.  Repeated rows give
@@ -87,7 +88,8 @@ class Lattice:
     features: np.ndarray
     known: np.ndarray  # base label, -1 where it is open
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    skip: list[tuple[int, int]]  # each repeat and the one before, for training
+    hubs: list[tuple[int, int]]  # (hub, token) of every key with repeats
 
 
 def lattice(text: str, base: list[tuple[int, int, int]]) -> Lattice | None:
@@ -105,7 +107,7 @@ def lattice(text: str, base: list[tuple[int, int, int]]) -> Lattice | None:
         return None
     n = len(tokens)
     x, known = np.zeros((n, N_TOKEN_FEATURES)), np.full(n, -1)
-    chain, skip, last = [], [], {}
+    chain, skip, last, holders = [], [], {}, {}
     marks = sorted((a, b, k + 1) for k, a, b in base)
     at = 0
     for i, (a, b, t) in enumerate(tokens):
@@ -131,24 +133,37 @@ def lattice(text: str, base: list[tuple[int, int, int]]) -> Lattice | None:
             if key in last:
                 skip.append((last[key], i))
             last[key] = i
-    return Lattice([(a, b) for a, b, _ in tokens], x, known, chain, skip)
-
-
-def marginals(g: Lattice, f: Field, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Label marginals by damped loopy sum-product over chain and skip links."""
-    unary = g.features @ f.token
-    seen = g.known >= 0
+            holders.setdefault(key, []).append(i)
+    repeated = [held for held in holders.values() if len(held) > 1]
+    hubs = [(h, i) for h, held in enumerate(repeated) for i in held]
+    return Lattice([(a, b) for a, b, _ in tokens], x, known, chain, skip, hubs)
+
+
+def hub_bonus(skip: float) -> float:
+    """Bonus of a link to a hub: two such links in a row are one link with the bonus ``skip``."""
+    e = np.exp(skip)
+    r = np.sqrt(max(e - 1, 0) / (e - 1 + LABELS))
+    return float(np.log((1 + (LABELS - 1) * r) / (1 - r)))
+
+
+def marginals(g: Lattice, f: Field, damping: float = 0.3) -> np.ndarray:
+    """Label marginals by damped loopy sum-product over chain and hub links, until messages
+    stand still; the bound on rounds grows with the graph, as a label moves one link a round."""
+    n = len(g.features)
+    unary = np.zeros((n + (g.hubs[-1][0] + 1 if g.hubs else 0), LABELS))  # hubs come after the tokens
+    unary[:n] = g.features @ f.token
+    seen = np.flatnonzero(g.known >= 0)
     unary[seen] = -30.0
     unary[seen, g.known[seen]] = 0.0
-    pairs = g.chain + g.skip
+    pairs = g.chain + [(n + h, i) for h, i in g.hubs]
     if pairs:
         edges = np.array(pairs)
-        agree = f.skip * np.eye(LABELS)
-        table = np.stack([f.chain] * len(g.chain) + [agree] * len(g.skip))
+        agree = hub_bonus(f.skip) * np.eye(LABELS)
+        table = np.stack([f.chain] * len(g.chain) + [agree] * len(g.hubs))
         source, sink = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         m, back = np.zeros((len(source), LABELS)), np.r_[len(edges) : 2 * len(edges), 0 : len(edges)]
-        for _ in range(rounds):
+        for _ in range(24 + 4 * len(unary)):
             belief = unary.copy()
             np.add.at(belief, sink, m)
             out = (belief[source] - m[back])[:, :, None] + table
@@ -160,6 +175,7 @@ def marginals(g: Lattice, f: Field, rounds: int = 12, damping: float = 0.3) -> n
             if change < 1e-3:
                 break
         np.add.at(unary, sink, m)
+    unary = unary[:n]
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

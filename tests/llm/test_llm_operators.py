@@ -508,3 +508,21 @@ def test_documents_shorter_than_an_item_equal_brute_force(spark, sf):
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_contamination(docs, bench).collect()}
     assert got == pytest.approx(truth) and len(truth) > 100
     assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - len({i for i, _ in truth})
+
+
+def test_a_label_reaches_all_repeats():
+    """Fifty repeats: by two keys (long number), by one (seven digits, user name of an address)."""
+    field = pii.Field(np.zeros((pii.N_TOKEN_FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 4.0)
+    for first, again, kind in (("+1 (555) 123-4567", "15551234567", 3), ("+1-555-123-4567", "1234567", 3), ("someone@mail.example.com", "someone", 0)):
+        text = f"call {first} now" + f" , {again}" * 50
+        added = pii.added_spans(text, pii.base_spans(text), field, 0.9)
+        assert [(k, text[a:b]) for k, a, b in added] == [(kind, again)] * 50
+    assert 1 / (1 + 4 * np.exp(-4.0)) == pytest.approx(pii.marginals(pii.Lattice([], np.zeros((2, pii.N_TOKEN_FEATURES)), np.array([4, -1]), [], [], [(0, 0), (0, 1)]), field)[1, 4], abs=1e-3)
+
+
+def test_labels_cross_a_long_chain():
+    """Messages go on until the last of 60 neighbours has heard of the first."""
+    n = 60
+    field = pii.Field(np.zeros((pii.N_TOKEN_FEATURES, pii.LABELS)), 9.0 * np.eye(pii.LABELS), 0.0)
+    g = pii.Lattice([], np.zeros((n, pii.N_TOKEN_FEATURES)), np.array([2] + [-1] * (n - 1)), [(i, i + 1) for i in range(n - 1)], [], [])
+    assert pii.marginals(g, field)[-1, 2] > 0.9
