@@ -6,7 +6,8 @@ mono PCM): the bytes, then bytes 255 up to a positive multiple of ``BLOCK``, are
 samples.  ``features`` reads WAV bytes back, resamples by ``UP / DOWN`` with a windowed-sinc
 polyphase filter, takes overlapped frames through a mel filterbank, and segments by
 energy with hysteresis (a segment opens above the upper level and closes below the lower
-one).  ``tensor`` is an Arrow IPC stream with one row per patch: start and end in seconds
+one).  Frames go on until one starts in the last ``HOP`` samples, over zeros beyond the
+end, so that every sample weighs in; spans end with the audio.  ``tensor`` is an Arrow IPC stream with one row per patch: start and end in seconds
 and an ``arrow.fixed_shape_tensor`` of ``PATCH`` frames by ``MELS`` bands; the last patch is
 padded with the floor value.  Work goes in blocks of fixed size counted from a row's
 start, so memory is bounded and equal inputs give equal bytes.
@@ -93,12 +94,12 @@ def _bank() -> tuple[np.ndarray, np.ndarray]:
     return np.hanning(FRAME).astype(np.float32), np.maximum(0, np.minimum(rise, fall)).T.astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies and mean frame energies; input shorter than a frame is padded to one."""
+def log_mel(x: np.ndarray, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel energies and mean frame energies of the frames that start in the first ``length``
+    samples (default: all); the last ones are padded with zeros."""
     window, bank = _bank()
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    n = 1 + (len(x) - FRAME) // HOP
+    n = max(1, -(-(len(x) if length is None else length) // HOP))
+    x = np.pad(x, (0, max(0, (n - 1) * HOP + FRAME - len(x))))
     mel, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     for at in range(0, n, CHUNK // HOP):
         to = min(n, at + CHUNK // HOP)
@@ -119,13 +120,14 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _tensor(mel: np.ndarray) -> bytes:
+def _tensor(mel: np.ndarray, length: float) -> bytes:
+    """``length`` in seconds."""
     n = -(-len(mel) // PATCH)
     whole = np.full((n * PATCH, MELS), FLOOR, np.float16)
     whole[: len(mel)] = mel
     seconds = HOP * DOWN / UP / RATE
     starts = np.arange(n) * PATCH * seconds
-    ends = np.minimum(np.arange(1, n + 1) * PATCH, len(mel)) * seconds
+    ends = np.minimum(np.minimum(np.arange(1, n + 1) * PATCH, len(mel)) * seconds, length)
     patches = pa.FixedShapeTensorArray.from_numpy_ndarray(whole.reshape(n, PATCH, MELS))
     batch = pa.RecordBatch.from_arrays([pa.array(starts), pa.array(ends), patches], ["start_s", "end_s", "log_mel"])
     sink = pa.BufferOutputStream()
@@ -172,9 +174,11 @@ def features(media: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "n_bytes"))
                     stored = stored.as_py()
                     payload = samples(stored)
                     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-                    mel, energy = log_mel(resample(x))
-                    found = [{"start_s": a * seconds, "end_s": b * seconds} for a, b in segments(energy)]
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), found, _tensor(mel)))
+                    length = len(x) / RATE
+                    # zeros behind let the filter, which looks back, run out over the last samples
+                    mel, energy = log_mel(resample(np.pad(x, (0, TAPS * DOWN))), -(-len(x) * UP // DOWN))
+                    found = [{"start_s": a * seconds, "end_s": min(b * seconds, length)} for a, b in segments(energy)]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), found, _tensor(mel, length)))
                 span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
                 names = [f.split()[0] for f in FEATURES.split(", ")]

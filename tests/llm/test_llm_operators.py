@@ -526,3 +526,25 @@ def test_labels_cross_a_long_chain():
     field = pii.Field(np.zeros((pii.N_TOKEN_FEATURES, pii.LABELS)), 9.0 * np.eye(pii.LABELS), 0.0)
     g = pii.Lattice([], np.zeros((n, pii.N_TOKEN_FEATURES)), np.array([2] + [-1] * (n - 1)), [(i, i + 1) for i in range(n - 1)], [], [])
     assert pii.marginals(g, field)[-1, 2] > 0.9
+
+
+def test_the_last_bytes_are_in_the_features(spark):
+    """Texts of all lengths modulo the hop that differ at their end only, down to the last byte."""
+    rows = []
+    for blocks in (1, 2, 3, 4, 5, 8, 9, 16, 17):
+        text = ("many words " * 1000)[: blocks * media.BLOCK]
+        rows += [text, text[:-40] + "~" * 40, text[:-1] + "\x01"]
+    got = media.store_and_describe(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    for i in range(0, len(rows), 3):
+        assert len({bytes(by[j].tensor) for j in (i, i + 1, i + 2)}) == 3, len(rows[i])
+    for r in got:
+        table = media.read_tensor(bytes(r.tensor))
+        assert table["end_s"][-1].as_py() == pytest.approx(r.payload_bytes / media.RATE) and all(s.end_s <= r.payload_bytes / media.RATE for s in r.segments)
+
+
+def test_sound_at_the_end_opens_a_segment():
+    x = np.zeros(2 * media.FRAME + media.HOP - 1, np.float32)
+    x[-100:] = 1
+    mel, energy = media.log_mel(x)
+    assert media.segments(energy)[-1][1] == len(mel)
