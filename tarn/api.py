@@ -100,20 +100,25 @@ class Project:
     def _vector(self, query: str) -> list[float]:
         return self.spark.range(1).select(embed.hashed(F.lit(query), self.dimensions).alias("v")).first().v
 
-    def _weigh(self, hits: DataFrame, k: int, include_deps: bool, boosts: dict[str, float] | None) -> DataFrame:
+    def _weigh(self, hits: DataFrame, k: int, include_deps: bool, boosts: dict[str, float] | None, strict: bool, where: Column | None) -> DataFrame:
+        if strict:  # any number of hits: joined as they are, filtered and weighed before the cut
+            rows = self.table("chunks").join(hits, "chunk_id")
+            rows = rows if where is None else rows.filter(where)
+            return retrieve.weigh_tiers(rows.select("chunk_id", "tier", "score"), k, include_deps=include_deps, boosts=boosts)
         tiers = self.table("chunks").select("chunk_id", "tier")
         return retrieve.weigh_tiers(tiers.join(F.broadcast(hits), "chunk_id"), k, include_deps=include_deps, boosts=boosts)
 
     def search(self, query: str, k: int = 10, *, mode: str = "hybrid", vector_weight: float = 0.7, include_deps: bool = True, boosts: dict[str, float] | None = None, strict: bool = False, where: Column | None = None) -> DataFrame:
         """Best chunks with their rows, by ``hybrid``, ``lexical`` or ``semantic`` search.  Legs are cut to k
-        before tiers are weighed unless ``strict``; ``where`` filters the results' chunks."""
+        before tiers are weighed and ``where`` filters the results' chunks; with ``strict`` all that score are
+        filtered (``score`` being the leg's) and weighed first."""
         legs = {
-            "lexical": lambda n: self._weigh(lexical.search_one(self._index(), query, n * (10 if strict else 1)), n, include_deps, boosts),
-            "semantic": lambda n: self._weigh(retrieve.search_semantic(self.table("vectors"), self._vector(query), n * (10 if strict else 1)), n, include_deps, boosts),
+            "lexical": lambda n: self._weigh(lexical.search_one(self._index(), query, None if strict else n), n, include_deps, boosts, strict, where),
+            "semantic": lambda n: self._weigh(retrieve.search_semantic(self.table("vectors"), self._vector(query), None if strict else n), n, include_deps, boosts, strict, where),
         }
         hits = retrieve.fuse(legs["semantic"](3 * k), legs["lexical"](3 * k), k, vector_weight) if mode == "hybrid" else legs[mode](k)
         rows = retrieve.with_chunks(hits.select("chunk_id", "score"), self.table("chunks"))
-        return rows if where is None else rows.filter(where)
+        return rows if where is None or strict else rows.filter(where)
 
     def search_files(self, query: str, k: int = 10, how: str = "sum") -> DataFrame:
         return retrieve.by_file(self.search(query, 5 * k), k, how)

@@ -93,8 +93,8 @@ def search_lexical(index: TextIndex, queries: DataFrame, k: int = 10, query: str
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def search_one(index: TextIndex, text: str, k: int = 10) -> DataFrame:
-    """One query: ``chunk_id, score``, a plain top-k.  Its tokens filter the postings where they are scanned."""
+def search_one(index: TextIndex, text: str, k: int | None = 10) -> DataFrame:
+    """One query: ``chunk_id, score``, a plain top-k; without k all that score, in no order.  Its tokens filter the postings where they are scanned."""
     spark = index.lengths.sparkSession
     wanted = phrases(spark.createDataFrame([(0, text)], "query_id int, query string")).collect()  # 20 terms at most
     rows = spark.createDataFrame([(r.query_id, r.phrase, r.m, r.i, r.token, r.prefix) for r in wanted], "query_id int, phrase int, m int, i int, token string, prefix boolean")
@@ -102,7 +102,7 @@ def search_one(index: TextIndex, text: str, k: int = 10) -> DataFrame:
     for t in sorted({(r.token, r.prefix) for r in wanted}):
         near = near | (F.col("term").startswith(t[0]) if t[1] else F.col("term") == t[0])
     scored = bm25(TextIndex(index.postings.filter(near), index.lengths), rows).select("chunk_id", (F.col("bm25") / 100).alias("score"))
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
+    return scored if k is None else scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def memory_like(rows: DataFrame, text: str, columns: list[str], order: list[Column], k: int) -> DataFrame:

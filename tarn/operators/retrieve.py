@@ -12,15 +12,17 @@ from ..functions.vectors import cosine, l2
 RRF = 60
 
 
-def search_semantic(vectors: DataFrame, query: list[float], k: int, *, ref: str = "chunk_id", embedding: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
+def search_semantic(vectors: DataFrame, query: list[float], k: int | None, *, ref: str = "chunk_id", embedding: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """Exact nearest neighbours, ``ref, score`` with score = 1 - distance; vectors of another
-    length are skipped.  A scan and a distributed top-k: nothing is shuffled but k rows a task."""
+    length are skipped.  A scan and a distributed top-k: nothing is shuffled but k rows a task.
+    Without k all are given, in no order."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors.filter(F.size(embedding) == len(query))
     if where is not None:
         rows = rows.filter(where)
     score = cosine(F.col(embedding), q) if metric == "cosine" else 1 - l2(F.col(embedding), q)
-    return rows.select(F.col(ref), score.alias("score")).orderBy(F.desc("score"), ref).limit(k)
+    scored = rows.select(F.col(ref), score.alias("score"))
+    return scored if k is None else scored.orderBy(F.desc("score"), ref).limit(k)
 
 
 def search_semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, *, ref: str = "chunk_id", embedding: str = "embedding") -> DataFrame:

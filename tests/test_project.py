@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from tarn import cli
+from tarn import api, cli
 from tarn.api import Project
+from tarn.operators import maintain
 
 
 @pytest.fixture
@@ -50,3 +52,18 @@ def test_decisions(spark, tmp_path):
         project.decide(a, "again")
     project.export(str(tmp_path / "out"))
     assert '"version":"1.0"' in spark.read.text(str(tmp_path / "out")).first().value
+
+
+def test_strict_search_finds_what_lies_below_dependencies(spark, tmp_path):
+    project = Project(spark, str(tmp_path / "index"))
+    rows = [(None, f"u{i}", f"s{i}", "function", f"{'own' if i >= 40 else 'deps'}/{i}.py", 1, 2, "python", "target " * 4 if i < 40 else "target and many other words that make it score less", {}, "project" if i >= 40 else "dependency", None) for i in range(43)]
+    rows += [(None, f"v{i}", f"t{i}", "function", f"other/{i}.py", 1, 2, "python", f"something else {i}", {}, "stdlib", None) for i in range(60)]
+    project._save("chunks", maintain.upsert(project.table("chunks"), spark.createDataFrame(rows, api.CHUNKS)))
+    manifest = [("all", "h", 0.0, 0, [r[1] for r in rows], [])]
+    project._save("manifest", spark.createDataFrame(manifest, api.MANIFEST))
+    project._derive(project.table("chunks").select("chunk_id"))
+    for mode in ("lexical", "semantic", "hybrid"):
+        got = project.search("target", 2, mode=mode, include_deps=False, strict=True)
+        assert [r.tier for r in got.collect()] == ["project"] * 2, mode
+        assert project.search("target", 3, mode=mode, strict=True, where=F.col("file_path").startswith("own")).count() == 3, mode
+    assert project.search("target", 1, mode="lexical", strict=True, boosts={"project": 50.0}).first().tier == "project"
