@@ -70,6 +70,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before, digest = digest, _digest(pairs)
         if digest == before:
             break
+    else:
+        if digest[0]:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
     tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(tops)
 

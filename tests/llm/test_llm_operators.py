@@ -548,3 +548,9 @@ def test_sound_at_the_end_opens_a_segment():
     x[-100:] = 1
     mel, energy = media.log_mel(x)
     assert media.segments(energy)[-1][1] == len(mel)
+
+
+def test_unfinished_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, max_rounds=1)
