@@ -3,8 +3,10 @@ numpy kernels that shingle whole Arrow batches at once."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ------------------------------------------------------------------ storage
 def scratch_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; one of our
-    own is set only where that is unset (single-machine tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a local
+    master gets one of its own (tests); on a cluster it is an error, as executors would not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tarn-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -38,6 +42,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# ------------------------------------------------------------ Python workers
+ARROW_BYTES = 4 << 20  # of an Arrow batch, so that rows of any length cost a worker and its JVM a few times this
+_held: dict[str, object] = {}  # what this worker keeps from task to task, by name
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """The object ``name`` of this worker, made once; it lasts until another kernel starts here."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def _begin(keeps: str | None) -> None:
+    for name in [n for n in _held if n != keeps]:
+        del _held[name]
+
+
+def _end() -> None:
+    """Freed memory goes back to the system, so that idle workers are small."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def map_arrow(rows: DataFrame, work: Callable, schema, keeps: str | None = None) -> DataFrame:
+    """``rows.mapInArrow`` in batches of at most ARROW_BYTES (a session setting; a row is never cut).  A task first
+    drops what other kernels left in its worker, but for ``keeps``, and gives freed memory back at its end."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keeps)
+        try:
+            yield from work(batches)
+        finally:
+            _end()
+
+    return rows.mapInArrow(kernel, schema)
+
+
+# -------------------------------------------------------------------- graphs
 def _digest(pairs: DataFrame) -> tuple:
     """Count and order-free hash of distinct rows, to tell two sets apart in one scan."""
     h = F.xxhash64("u", "v")
@@ -126,11 +173,41 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end], independent of the position."""
+    """64-bit hash of data[start:end], independent of the position; long structured strings may collide (:func:`word_hash`)."""
     raw = (h[end] - h[start]) * _power("i", _P_INV, len(h))[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_PRIME, _P31 = np.uint64((1 << 31) - 1), 0x3C6EF372  # a Mersenne prime, and a base below it
+_P31_INV = pow(_P31, -1, int(_PRIME))
+
+
+def _mod_prime(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_power(kind: str, base: int, n: int) -> np.ndarray:
+    have = _powers.get(kind)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _mod_prime(have * np.uint64(pow(base, len(have), int(_PRIME))))])
+        _powers[kind] = have
+    return have[:n]
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] from sums modulo 2**64 and modulo a prime: structured strings that
+    collide in the first (whatever its base) do not in the second."""
+    h = np.empty(len(data) + 1, np.uint64)
+    h[0] = 0
+    np.cumsum(_mod_prime((data.astype(np.uint64) + np.uint64(1)) * _prime_power("q", _P31, len(data))), out=h[1:])
+    other = _mod_prime(_mod_prime(h[end] - h[start]) * _prime_power("r", _P31_INV, len(h))[start])
+    return mix(span_hash(prefix_hash(data), start, end) ^ (other * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def gram_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of every ``width`` bytes in a row from the prefix hash, by slices only."""
     raw = h[width:] - h[:-width]
@@ -163,7 +240,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     start, end, row = words(data, offsets)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    w = span_hash(prefix_hash(data), start, end)
+    w = word_hash(data, start, end)
     n = np.bincount(row, minlength=len(offsets) - 1)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     take = np.arange(len(w))

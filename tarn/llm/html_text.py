@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import map_arrow, sub_batches
 
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html "
@@ -234,4 +234,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", sou
                 )
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return rows.mapInArrow(work, schema)
+    return map_arrow(rows, work, schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize, sub_batches
 
 BLOCK, RATE = 576, 16_000
-UP, DOWN, TAPS = 1, 2, 12  # 16 kHz to 8 kHz; taps of each phase
+UP, DOWN, TAPS = 3, 4, 12  # 16 kHz to 12 kHz; taps of each phase
 FRAME, HOP, MELS, PATCH = 512, 256, 16, 32
-CHUNK = 1 << 18  # output samples worked on at once
+CHUNK = 1023 * HOP  # output samples worked on at once: whole frames, and whole turns of the phases
 FLOOR = -12.0
 OPEN_DB, CLOSE_DB = 3.0, 1.0  # above the row's mean frame energy
 
@@ -67,11 +67,21 @@ def _phases() -> np.ndarray:
     return h.reshape(TAPS, UP).T[:, ::-1].astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """``x`` at UP / DOWN of its rate; sample m is phase (m * DOWN) mod UP of the filter at m * DOWN // UP."""
+def _part(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """x[a:b] with zeros before the start and after the end; unsigned 8-bit samples become floats."""
+    x, behind = x[max(0, a) : max(0, b)], max(0, b - max(a, len(x)))
+    if x.dtype == np.uint8:
+        x = (x.astype(np.float32) - 128) / 128
+    return np.pad(x, (max(0, -a), behind))
+
+
+def resample(x: np.ndarray, start: int = 0, count: int | None = None) -> np.ndarray:
+    """Samples ``start`` (a multiple of UP) and on of ``x`` at UP / DOWN of its rate; sample m is phase
+    (m * DOWN) mod UP of the filter at m * DOWN // UP.  It runs out over zeros behind the end."""
     taps = _phases()
-    count = len(x) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x])
+    count = len(x) * UP // DOWN - start if count is None else count
+    low = start // UP * DOWN
+    padded = _part(x, low - TAPS + 1, low + -(-count // UP) * DOWN + DOWN)
     out = np.empty(count, np.float32)
     for r in range(UP):  # outputs r, r + UP, ...: one phase, and inputs DOWN apart
         phase, base = r * DOWN % UP, r * DOWN // UP
@@ -94,16 +104,15 @@ def _bank() -> tuple[np.ndarray, np.ndarray]:
     return np.hanning(FRAME).astype(np.float32), np.maximum(0, np.minimum(rise, fall)).T.astype(np.float32)
 
 
-def log_mel(x: np.ndarray, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies and mean frame energies of the frames that start in the first ``length``
-    samples (default: all); the last ones are padded with zeros."""
+def log_mel(take: Callable[[int, int], np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel energies and mean frame energies of the frames that start in the first ``length`` samples;
+    ``take(a, b)`` gives samples a to b (zeros beyond the end) and is asked for one chunk at a time."""
     window, bank = _bank()
-    n = max(1, -(-(len(x) if length is None else length) // HOP))
-    x = np.pad(x, (0, max(0, (n - 1) * HOP + FRAME - len(x))))
+    n = max(1, -(-length // HOP))
     mel, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     for at in range(0, n, CHUNK // HOP):
         to = min(n, at + CHUNK // HOP)
-        frames = np.lib.stride_tricks.sliding_window_view(x[at * HOP : (to - 1) * HOP + FRAME], FRAME)[::HOP] * window
+        frames = np.lib.stride_tricks.sliding_window_view(take(at * HOP, (to - 1) * HOP + FRAME), FRAME)[::HOP] * window
         power = np.abs(np.fft.rfft(frames, axis=1).astype(np.complex64)) ** 2 / FRAME
         mel[at:to] = np.log(np.maximum(power @ bank, np.float32(np.exp(FLOOR))))
         energy[at:to] = (frames * frames).mean(1)
@@ -147,13 +156,12 @@ def store_audio(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in sub_batches(batch, "raw"):
                 raws = part.column("raw").to_pylist()
                 media = [wav(r + b"\xff" * (max(BLOCK, -(-len(r) // BLOCK) * BLOCK) - len(r))) for r in raws]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return rows.mapInArrow(work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(rows, work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, media binary")
 
 
 FEATURES = (
@@ -168,15 +176,14 @@ def features(media: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "n_bytes"))
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seconds = HOP * DOWN / UP / RATE
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
+            for part in sub_batches(batch, "media"):
+                rows = []
                 for stored in part.column("media"):
                     stored = stored.as_py()
                     payload = samples(stored)
-                    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-                    length = len(x) / RATE
-                    # zeros behind let the filter, which looks back, run out over the last samples
-                    mel, energy = log_mel(resample(np.pad(x, (0, TAPS * DOWN))), -(-len(x) * UP // DOWN))
+                    x = np.frombuffer(payload, np.uint8)
+                    mel, energy = log_mel(lambda a, b: resample(x, a, b - a), -(-len(x) * UP // DOWN))
+                    length = len(payload) / RATE
                     found = [{"start_s": a * seconds, "end_s": min(b * seconds, length)} for a, b in segments(energy)]
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), found, _tensor(mel, length)))
                 span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
@@ -185,7 +192,7 @@ def features(media: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "n_bytes"))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*keys, *names])
 
     head = ", ".join(f"{k} {media.schema[k].dataType.simpleString()}" for k in keys)
-    return media.select(*keys, "media").mapInArrow(work, f"{head}, {FEATURES}")
+    return map_arrow(media.select(*keys, "media"), work, f"{head}, {FEATURES}")
 
 
 def store_and_describe(docs: DataFrame, **columns) -> DataFrame:

@@ -83,9 +83,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def _taken(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3),
     ceiling: int = 3, block_words: int = 64, shard_words: int = 400_000, seed: str = "mix-1",
+    row: str | None = None,
 ) -> DataFrame:
-    """What :func:`mix` gives, and each row's ``shard``."""
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"))
+    """What :func:`mix` gives, and each row's ``shard`` and ``row``, its number: that of the column ``row`` or a new one."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie"), number.alias("row"))
     sizes = materialize(sizes, "mix-sizes")
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
     total_seats = F.ceil(F.sum("source_size").over(Window.partitionBy()) / block_words)
@@ -99,7 +101,7 @@ def _taken(
     shards = sainte_lague(shards, F.col("source_quota"), "shard_size", ["source"], [F.col("source"), F.col("shard")])
     shards = materialize(shards.select("source", "shard", "shard_size", "quota"), "mix-shards")
 
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "doc_id"), "doc_id", "size", "tie")
     lines = lines.withColumn("line_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # blocks that get one more turn than the others: the quota's rest by seeded hash
     blocks = F.ceil(F.col("shard_size") / block_words)
@@ -110,7 +112,7 @@ def _taken(
     pick = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "source", "shard", "block"), "block")
     picked = listed.withColumn("r", F.row_number().over(pick)).filter("r <= rest").select("source", "shard", "block")
 
-    lines = materialize(lines.withColumn("row", F.monotonically_increasing_id()), "mix-lines")  # numbered once
+    lines = materialize(lines, "mix-lines")
     parts = lines.filter("size > 0").select(
         "row", "source", "shard", (F.col("line_end") - F.col("size")).alias("a"), F.col("line_end").alias("b"),
         F.explode(F.sequence(F.floor((F.col("line_end") - F.col("size")) / block_words), F.floor((F.col("line_end") - 1) / block_words))).alias("block"),
@@ -123,7 +125,7 @@ def _taken(
     r = turns.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "rounds")
     out = out.join(r, out["source"].eqNullSafe(r["_source"]) & (out["shard"] == r["_shard"]), "left")
     taken = F.coalesce("rounds", F.lit(0)) * F.col("size") + F.coalesce("extra", F.lit(0))
-    return out.select("doc_id", "size", lines["source"], "source_size", "target", lines["shard"], taken.cast("long").alias("taken"))
+    return out.select("row", "doc_id", "size", lines["source"], "source_size", "target", lines["shard"], "tie", taken.cast("long").alias("taken"))
 
 
 def _with_goals(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def _copies(plan: DataFrame, seed: str) -> DataFrame:
     size, a shard's words differ from those taken by less than its longest document.
     Remainders are whole billionths, so their sums do not depend on the order of adding."""
     unit = 10**9
-    line = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(seed), F.lit("copy"), "doc_id"), "doc_id", "taken")
+    line = Window.partitionBy("source", "shard").orderBy("size", F.xxhash64(F.lit(seed), F.lit("copy"), "doc_id"), "doc_id", "tie", "taken")
     part = F.round((F.col("taken") % F.col("size")) * F.lit(float(unit)) / F.col("size")).cast("long")
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "source", "shard"), F.lit(unit))
     rows = plan.filter("size > 0").withColumn("_part", part)
@@ -150,10 +152,13 @@ def _copies(plan: DataFrame, seed: str) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document whole, as often as the words taken from it make it
-    up, by :func:`_copies` (no words taken: left out).  Keeps all columns."""
-    copies = _copies(_taken(docs, **options), options.get("seed", "mix-1")).select("doc_id", "copies")
-    copies = copies.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "_mix_id")
-    out = docs.join(copies, F.col(options.get("doc_id", "doc_id")) == F.col("_mix_id"))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    """The mixed corpus: each row whole, as often as the words taken from it make it up, by
+    :func:`_copies` (no words taken: left out).  Keeps all columns; rows are numbered and written
+    first, so rows that share an id or have none are told apart and no join key repeats."""
+    number = "_mix_row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    copies = _copies(_taken(rows, row=number, **options), options.get("seed", "mix-1"))
+    copies = copies.filter("copies > 0").select(F.col("row").alias(number), F.array_repeat(F.lit(0), F.col("copies")).alias(number + "_copies"))
+    return rows.join(copies, number).select(*docs.columns, F.explode(number + "_copies").alias(number)).drop(number)

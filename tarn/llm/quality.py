@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, sub_batches, text_buffer, words
+from .common import ARROW_BYTES, map_arrow, materialize, sub_batches, text_buffer, word_hash, words
 
 N_FEATURES = 9
-BROADCAST_SITES = 200_000
+SALTS = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,7 +69,7 @@ def lexical(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     size = np.maximum(offsets[1:] - offsets[:-1], 1).astype(float)
     low = _LOWER[data]
     start, end, row = words(low, offsets, _WORD)
-    h = span_hash(prefix_hash(low), start, end)
+    h = word_hash(low, start, end)
     count = np.bincount(row, minlength=n).astype(float)
     order = np.lexsort((h, row))
     new = np.ones(len(h), bool)
@@ -115,17 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                     ["x", "words", "good", "toxic", "_row"],
                 )
 
-    seen = chosen.mapInArrow(describe, "x array<double>, words array<long>, good int, toxic int, _row string").persist()
-    try:
-        # words that toxic labelled documents hold and others all but never do
-        counted = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-        marked = counted.filter("t >= 3 and t >= 0.9 * n").select("w").toPandas()["w"].to_numpy(np.int64)
-        lexicon = np.sort(marked.view(np.uint64))
-        marks = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"w": marked}), "w long"))
-        toxic_hits = seen.select("_row", F.explode("words").alias("w")).join(marks, "w").groupBy("_row").agg(F.count(F.lit(1)).alias("hits"))
-        rows = seen.select("_row", "x", "good", "toxic").join(toxic_hits, "_row", "left").na.fill(0, ["hits"]).toPandas()
-    finally:
-        seen.unpersist()
+    seen = materialize(map_arrow(chosen, describe, "x array<double>, words array<long>, good int, toxic int, _row string"), "quality-sample")
+    # words that toxic labelled documents hold and others all but never do
+    counted = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    marked = counted.filter("t >= 3 and t >= 0.9 * n").select("w").toPandas()["w"].to_numpy(np.int64)
+    lexicon = np.sort(marked.view(np.uint64))
+    marks = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"w": marked}), "w long"))
+    toxic_hits = seen.select("_row", F.explode("words").alias("w")).join(marks, "w").groupBy("_row").agg(F.count(F.lit(1)).alias("hits"))
+    rows = seen.select("_row", "x", "good", "toxic").join(toxic_hits, "_row", "left").na.fill(0, ["hits"]).toPandas()
     if not len(rows):
         return Model()
     x = np.stack(rows["x"].to_numpy())
@@ -148,18 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "log_odds", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the model's log-odds as column ``name``."""
-    kept = list(docs.columns if keep is None else keep)
-    rows = docs.select(*kept, F.col(text).alias("_judged"))
+    """``docs`` (or its columns ``keep``) with the model's log-odds as column ``name``.  Only texts go to Python."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sub_batches(batch, "_judged"):
-                odds = model.log_odds(_features(part.column("_judged"), model.toxic))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), pa.array(odds)], [*kept, name])
+    def judge(col: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([col], ["text"])
+        parts = [model.log_odds(_features(p.column("text"), model.toxic)) for p in sub_batches(batch)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    schema = docs.select(*kept).schema
-    return rows.mapInArrow(judge, type(schema)([*schema.fields]).add(name, "double"))
+    kept = list(docs.columns if keep is None else keep)
+    return docs.select(*kept, F.arrow_udf(judge, "double")(F.coalesce(F.col(text), F.lit(""))).alias(name))
 
 
 def _strength(groups: DataFrame, n: str, rate: str, centre) -> float:
@@ -180,7 +175,7 @@ def site_posteriors(scored: DataFrame, *, host: str, path: str, odds: str = "log
     """``_host, _path, global_rate, host_rate, path_rate`` by grouped sums over all documents."""
     p = 1 / (1 + F.exp(-F.col(odds)))
     paths = scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good"))
-    paths = paths.persist()
+    paths = materialize(paths, "quality-sites")
     hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     rate = (total.good + 1) / (total.n + 2) if total.n else 0.5
@@ -200,14 +195,19 @@ def _logit(rate):
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", threshold: float = 0.5, columns: list[str] | None = None, **fitting) -> DataFrame:
-    """``docs`` (or its ``columns``) with ``log_odds, host_rate, path_rate, posterior, keep``."""
+    """``docs`` (or its ``columns``) with ``log_odds, host_rate, path_rate, posterior, keep``.
+
+    Texts are scored once, into a written table that the site counts and the result both read.  Sites are joined to it
+    by hash of host and path: a frequent site's rows are dealt over SALTS keys, so no task gets all of them."""
     model = fit(docs, labels, **fitting)
     names = list(docs.columns if columns is None else columns)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     keys = docs.withColumns({"_site": F.col(host), "_below": F.col(path)})
-    sites = site_posteriors(score(keys, model, keep=["_site", "_below"], name="_odds"), host="_site", path="_below", odds="_odds")
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    rows = score(keys, model, keep=[*names, "_site", "_below"], name="_odds")
-    rows = rows.join(sites, rows["_site"].eqNullSafe(sites["_host"]) & rows["_below"].eqNullSafe(sites["_path"]), "left")
+    scored = materialize(score(keys, model, keep=[*names, "_site", "_below"], name="_odds"), "quality-scored")
+    sites = site_posteriors(scored, host="_site", path="_below", odds="_odds")
+    sites = sites.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = scored.withColumn("_salt", salt)
+    rows = rows.join(sites, rows["_site"].eqNullSafe(sites["_host"]) & rows["_below"].eqNullSafe(sites["_path"]) & (rows["_salt"] == sites["_deal"]), "left")
     odds = F.col("_odds") - _logit(F.col("global_rate")) + _logit(F.col("path_rate"))
     posterior = 1 / (1 + F.exp(-F.coalesce(odds, F.col("_odds"))))
     out = rows.withColumn("_posterior", posterior)

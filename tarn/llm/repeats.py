@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, gram_hash, materialize, mix, prefix_hash, span_hash, sub_batches, text_buffer
+from .common import as_signed, gram_hash, map_arrow, materialize, mix, prefix_hash, span_hash, sub_batches, text_buffer
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -51,7 +51,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
-    """Value, row, start in the row, windows and content hash of every segment of a batch: the
+    """Value, row, start in the row, windows and content digest (cryptographic) of every segment of a batch: the
     runs of windows whose smallest gram (the leftmost of equals) is the same one.  Equal
     windows have the same value and, if they overlap, lie in different segments."""
     none = np.zeros(0, np.int64)
@@ -75,7 +75,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.n
     run = np.flatnonzero(begins)
     size = np.flatnonzero(stops) - run + 1
     row = np.searchsorted(offsets, run, side="right") - 1
-    return gram[least[run].astype(np.int64)], row, run - offsets[:-1][row], size, span_hash(h, run, run + size + LENGTH - 1)
+    raw, ends = data.tobytes(), (run + size + LENGTH - 1).tolist()
+    content = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(run.tolist(), ends))
+    return gram[least[run].astype(np.int64)], row, run - offsets[:-1][row], size, np.frombuffer(content, np.uint64)
 
 
 def _sorted(rank: np.ndarray, high: int) -> np.ndarray:
@@ -200,7 +202,7 @@ def _file(rows: DataFrame) -> DataFrame:
                     ["doc_id", "tag", "v", "start", "size", "content"],
                 )
 
-    return rows.mapInArrow(work, "doc_id long, tag long, v long, start int, size int, content long")
+    return map_arrow(rows, work, "doc_id long, tag long, v long, start int, size int, content long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -219,7 +221,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                         yield _refile(held, keys)
                     held, keys = [], []
 
-    return texts.mapInArrow(work, "f long, v long, content long, shift int, piece binary")
+    return map_arrow(texts, work, "f long, v long, content long, shift int, piece binary")
 
 
 def _refile(held: list[bytes], keys: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -261,7 +263,7 @@ def _merge_pieces(pieces: DataFrame) -> DataFrame:
         if ready:
             yield solve(ready)
 
-    return pieces.repartition("f").sortWithinPartitions("f").mapInArrow(work, "v long, content long, a int, b int")
+    return map_arrow(pieces.repartition("f").sortWithinPartitions("f"), work, "v long, content long, a int, b int")
 
 
 def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,7 +272,8 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     rows = rows.filter(F.octet_length("text") >= LENGTH)
     filed = materialize(_file(rows), "segments")
     values = filed.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    values = values.filter("n > 1").select("v", (F.col("low") == F.col("high")).alias("alike"))
+    # written, so that the join with it is a plain one, which adaptive execution splits where a value is frequent
+    values = materialize(values.filter("n > 1").select("v", (F.col("low") == F.col("high")).alias("alike")), "repeated-values")
     shared = materialize(filed.join(values, "v"), "shared-segments")
     mixed = shared.filter("not alike")
     copies = mixed.groupBy("v", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "start", "size")).alias("one"))
@@ -320,5 +323,5 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", *names])
 
-    out = joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string, kept binary")
+    out = map_arrow(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

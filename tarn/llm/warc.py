@@ -26,9 +26,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import map_arrow, materialize, scratch_path
 
 READ_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+SPLIT_BYTES = 16 << 20  # of an archive that one task reads
+SALTS = 16
 _HEAD = "WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uid}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
 
 
@@ -63,7 +65,11 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= revisit_bytes
     groups = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(groups.select("digest", "last"), "digest", "left")
+    # payloads that repeat very often are dealt over SALTS keys; payloads too small to refer to another have keys of their own
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    own = F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url")))
+    groups = groups.select(F.col("digest").alias("key"), "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumns({"key": F.when(large, F.col("digest")).otherwise(own), "salt": salt}).join(groups, ["key", "salt"], "left")
     again = large & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(again, F.col("last")).alias("refers"))
 
@@ -87,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
             out.close()  # before any index row leaves the task
         yield from held
 
-    return materialize(rows.mapInArrow(write, INDEX), "warc-index")
+    return materialize(map_arrow(rows, write, INDEX), "warc-index")
 
 
 def _parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -100,7 +106,10 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = True) -> Dat
     """``page_id, url, record_type, refers_to, digest, payload_bytes, payload`` of the records that ``index``
     (or any selection of its rows) names.  ``digest`` is recomputed from the bytes of responses
     and the header's for revisits, whose payload is null."""
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    names = ["file", "offset", "length"]
+    total = index.agg(F.sum("length")).first()[0] or 0
+    split = F.floor(F.col("offset") / SPLIT_BYTES)
+    ordered = index.select(*names).repartition(-(-total // SPLIT_BYTES) + 1, "file", split).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
@@ -127,7 +136,7 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = True) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
                 i = j
 
-    return ordered.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary")
+    return map_arrow(ordered, read, "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary")
 
 
 def archive_and_read(pages: DataFrame, **options) -> DataFrame:
@@ -136,6 +145,7 @@ def archive_and_read(pages: DataFrame, **options) -> DataFrame:
     folder = scratch_path(pages.sparkSession, "warc")
     index = write_archives(pages, folder, **options)
     back = materialize(read_records(index, folder, payloads=False).drop("payload", "url"), "warc-read")
-    full = back.filter("record_type = 'response'").groupBy("digest").agg(F.max("payload_bytes").alias("full_bytes"))
-    out = back.join(full, "digest", "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    named = ["page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    responses, revisits = back.filter("record_type = 'response'"), back.filter("record_type = 'revisit'")
+    full = responses.groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    return responses.select(*named).unionAll(revisits.drop("payload_bytes").join(full, "digest", "left").select(*named))

@@ -129,7 +129,7 @@ def test_audio_round_trip(spark, docs, texts):
 def test_resampling_keeps_a_tone():
     t = np.arange(16_000) / 16_000
     out = media.resample(np.sin(2 * np.pi * 440 * t).astype(np.float32))
-    assert len(out) == 8000 and np.abs(np.fft.rfft(out)).argmax() == 440
+    assert len(out) == 16_000 * media.UP // media.DOWN and np.abs(np.fft.rfft(out)).argmax() == 440
     assert media.segments(np.array([1, 1, 9, 9, 5, 1, 1, 1], np.float32)) == [(2, 5)]
 
 
@@ -517,14 +517,14 @@ def test_a_label_reaches_all_repeats():
         text = f"call {first} now" + f" , {again}" * 50
         added = pii.added_spans(text, pii.base_spans(text), field, 0.9)
         assert [(k, text[a:b]) for k, a, b in added] == [(kind, again)] * 50
-    assert 1 / (1 + 4 * np.exp(-4.0)) == pytest.approx(pii.marginals(pii.Lattice([], np.zeros((2, pii.N_TOKEN_FEATURES)), np.array([4, -1]), [], [], [(0, 0), (0, 1)]), field)[1, 4], abs=1e-3)
+    assert 1 / (1 + (pii.LABELS - 1) * np.exp(-4.0)) == pytest.approx(pii.marginals(pii.Lattice([], np.zeros((2, pii.N_TOKEN_FEATURES)), np.array([4, -1]), np.zeros((2, 2)), [], [], [(0, 0), (0, 1)]), field)[1, 4], abs=1e-3)
 
 
 def test_labels_cross_a_long_chain():
     """Messages go on until the last of 60 neighbours has heard of the first."""
     n = 60
     field = pii.Field(np.zeros((pii.N_TOKEN_FEATURES, pii.LABELS)), 9.0 * np.eye(pii.LABELS), 0.0)
-    g = pii.Lattice([], np.zeros((n, pii.N_TOKEN_FEATURES)), np.array([2] + [-1] * (n - 1)), [(i, i + 1) for i in range(n - 1)], [], [])
+    g = pii.Lattice([], np.zeros((n, pii.N_TOKEN_FEATURES)), np.array([2] + [-1] * (n - 1)), np.zeros((n, 2)), [(i, i + 1) for i in range(n - 1)], [], [])
     assert pii.marginals(g, field)[-1, 2] > 0.9
 
 
@@ -546,7 +546,7 @@ def test_the_last_bytes_are_in_the_features(spark):
 def test_sound_at_the_end_opens_a_segment():
     x = np.zeros(2 * media.FRAME + media.HOP - 1, np.float32)
     x[-100:] = 1
-    mel, energy = media.log_mel(x)
+    mel, energy = media.log_mel(lambda a, b: np.pad(x[a:b], (0, max(0, b - len(x)))), len(x))
     assert media.segments(energy)[-1][1] == len(mel)
 
 
