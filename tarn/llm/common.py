@@ -7,6 +7,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tarn-{name}-{uuid.uuid4().hex}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recording(made: list[str]) -> Iterator[list[str]]:
+    """Paths of the tables that are materialized meanwhile are added to ``made``."""
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not made]
+
+
+def discard(made: list[str], unless: DataFrame) -> None:
+    """Delete the tables ``made`` that ``unless`` does not read; those it reads stay in the list."""
+    read = {part for f in unless.inputFiles() for part in f.split("/")}
+    gone = [p for p in made if p.rsplit("/", 1)[-1] not in read]
+    made[:] = [p for p in made if p not in gone]
+    spark = unless.sparkSession
+    for p in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose intermediate tables are deleted as soon as it returns, but for those its result reads."""
+
+    @wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        with recording([]) as made:
+            out = operator(*args, **options)
+        discard(made, unless=out)
+        return out
+
+    return run
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that later
     jobs neither recompute it nor depend on any executor's disk."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in _recorders:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,16 +4,18 @@ A window of a document, as many words long as a benchmark item, is contaminated
 weighted five-word-shingle similarity to the item (sum of minimum over sum of maximum
 counts) reaches ``threshold``.  A document shorter than the item is one window, whole.
 
-1. Items give the hashes of their shingles.  A window at the threshold shares at least
-   one shingle with its item, so only document positions that hold an item's shingle are
-   looked at further: a hash join of all positions of all documents with the items'
-   shingles (broadcast only while their count is under ``BROADCAST_ROWS``).
-2. Each such position opens the windows that contain it.  Windows and items get 64-bit
-   SimHashes over words and word pairs.  Multi-index search: the fingerprint is cut into
-   ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` bits differ in at most
-   RADIUS // BLOCKS bits of some block, so every item is filed under all block values
-   within that distance and every window looks up its own six block values.  This finds
-   all pairs within the radius; others are dropped by their bit count.
+1. Which windows are worth a fingerprint: one at the threshold shares a shingle with its
+   item, so windows are opened around positions that hold the shingle of any item of their
+   size.  Which item that is plays no part.  The shingles of the items are broadcast while
+   there are ``broadcast_rows`` of them at most; beyond, positions alone (no words) are joined
+   with them by hash and the texts with hits are read again.
+2. Candidates.  Windows and items get 64-bit SimHashes over words and word pairs.  Multi-index
+   search: the fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` bits
+   differ in at most RADIUS // BLOCKS bits of some block, so every item is filed under all block
+   values within that distance and every window looks up its own six block values.  This finds
+   all pairs within the radius.  A word changed within a window of n words moves about 3 of its
+   2n - 1 features; the edits that 0.8 leaves room for turn 5 to 9 bits on average (spread 2 to
+   3), so a pair at 0.8 lies beyond 23 bits with a probability of about 1e-6.
    A window shorter than its item is not sought by bits, as the words it lacks move it
    further: it needs threshold times the item's shingles, so of its own shingles, taken by the
    number of items that hold them, one of the first (its count less that need, plus one)
@@ -22,7 +24,9 @@ counts) reaches ``threshold``.  A document shorter than the item is one window,
 
 Words are lower-cased runs of non-white-space.  Items of fewer than five words use one
 shingle of all their words; items without words match nothing.  Null texts are empty.
-Repeated items keep their own ids; rows of documents that share an id count as one.
+Repeated items keep their own ids.  Texts are told apart by a digest, so equal texts are searched
+once, and rows that share an id or have none are all judged; the result has one row for each
+id (or null) and item.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
-BLOCKS, RADIUS = 6, 16
+BLOCKS, RADIUS = 6, 23
 _EDGES = [0, 11, 22, 33, 44, 54, 64]  # five of the blocks could be one bit wider; the first four are
 BROADCAST_ROWS = 2_000_000
 
@@ -62,9 +66,11 @@ def _block(fp: Column, b: int) -> Column:
 
 
 def _near_values(fp: Column, b: int) -> Column:
-    """All values of block ``b`` within RADIUS // BLOCKS = 2 bits."""
-    width = _EDGES[b + 1] - _EDGES[b]
-    masks = [0] + [1 << i for i in range(width)] + [(1 << i) | (1 << j) for i in range(width) for j in range(i)]
+    """All values of block ``b`` within RADIUS // BLOCKS = 3 bits."""
+    bits = [1 << i for i in range(_EDGES[b + 1] - _EDGES[b])]
+    masks = [0]
+    for _ in range(RADIUS // BLOCKS):
+        masks = sorted({m | x for m in masks for x in [0, *bits]})
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: _block(fp, b).bitwiseXOR(m))
 
 
@@ -76,47 +82,71 @@ def _features(rows: DataFrame, keys: list[str], hashes: str, start: str, n: str)
     return rows.select(*keys, F.explode(F.when(last, F.array(single)).otherwise(F.array(single, pair))).alias("f"))
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", width: int = 5, threshold: float = 0.8,
-) -> DataFrame:
-    """``doc_id, item_id, similarity, start_word``: for each contaminated pair the best window (the first of equals)."""
-    to_hash = lambda c: F.transform(_words(F.col(c)), lambda w: F.xxhash64(w))
-    items = benchmark.select(F.col(item_id).alias("item_id"), to_hash(item_text).alias("ih")).withColumn("n", F.size("ih"))
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(_words(F.col(text)), lambda w: F.xxhash64(w))
+
+
+def _by_k(rows: DataFrame, sizes: list[int], part) -> DataFrame:
+    out = part(rows, sizes[0])
+    for k in sizes[1:]:
+        out = out.unionAll(part(rows, k))
+    return out
+
+
+def _opened(docs: DataFrame, keys: DataFrame, sizes: list[int], text: str, small: bool) -> DataFrame:
+    """``tid, dh, len, n, k, i``: the positions ``i`` of texts that hold a shingle of an item of ``n`` words."""
+    texts = docs.select(_digest(text).alias("tid"), F.col(text).alias("text"))
+    hashed = texts.select("tid", _hashes("text").alias("dh")).withColumn("len", F.size("dh"))
+
+    def positions(rows: DataFrame, k: int, *more: str) -> DataFrame:
+        at = rows.filter(F.col("len") >= k).select("tid", "dh", "len", F.posexplode(F.slice("dh", F.lit(1), F.col("len") - k + 1)).alias("i", "_h"))
+        return at.select("tid", *more, "len", F.lit(k).alias("k"), "i", _shingle("dh", "i", k).alias("s"))
+
+    if small:
+        return _by_k(hashed, sizes, lambda rows, k: positions(rows, k, "dh").join(F.broadcast(keys.filter(F.col("k") == k)), ["s", "k"]).select("tid", "dh", "len", "n", "k", "i"))
+    hits = _by_k(hashed, sizes, positions).join(keys, ["s", "k"]).select("tid", F.struct("n", "k", "i").alias("hit")).distinct()
+    hits = hits.groupBy("tid").agg(F.collect_list("hit").alias("hits"))  # at most a few for each word of one text
+    found = texts.join(hits, "tid").select("tid", "hits", _hashes("text").alias("dh"))
+    return found.select("tid", "dh", F.size("dh").alias("len"), F.explode("hits").alias("h")).select("tid", "dh", "len", "h.n", "h.k", "h.i")
+
+
+def _contaminated_texts(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame | None:
+    """``tid, item_id, similarity, start_word`` of contaminated texts by their digest; None without any item."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), _hashes(item_text).alias("ih")).withColumn("n", F.size("ih"))
     items = materialize(items.filter("n > 0").withColumn("k", F.least(F.lit(width), F.col("n"))), "items")
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to `width`: at most that many rows
-    kind = docs.schema[doc_id].dataType
     if not sizes:
-        return docs.select(F.col(doc_id).alias("doc_id")).limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"))
-
-    item_shingles = None
-    for k in sizes:
-        part = items.filter(F.col("k") == k).select("item_id", "n", "k", "ih", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("_i"))
-        part = part.select("item_id", "n", "k", _shingle("ih", "_i", k).alias("s"))
-        item_shingles = part if item_shingles is None else item_shingles.unionAll(part)
-    item_shingles = materialize(item_shingles.groupBy("item_id", "n", "k", "s").agg(F.count(F.lit(1)).alias("c")), "item-shingles")
-    keys = item_shingles.select("s", "n", "k").distinct()
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-
-    hashed = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), to_hash(text).alias("dh"))
-    hashed = hashed.withColumn("len", F.size("dh"))
-    opened, zero = None, F.lit(0)
-    for k in sizes:
-        at = hashed.filter(F.col("len") >= k).select("doc_id", "dh", "len", F.posexplode(F.slice("dh", F.lit(1), F.col("len") - k + 1)).alias("_i", "_h"))
-        at = at.select("doc_id", "dh", "len", "_i", _shingle("dh", "_i", k).alias("s")).join(keys.filter(F.col("k") == k), "s")
-        first, last = F.greatest(F.lit(0), F.col("_i") - F.col("n") + k), F.least(F.col("_i"), F.col("len") - F.col("n"))
-        # a shorter document is one window; with fewer shingles than this it cannot reach the threshold
-        enough = F.col("len") - k + 1 >= threshold * (F.col("n") - k + 1) - 1e-9
-        short = at.filter(F.col("len") < F.col("n")).filter(enough).select("doc_id", "n", "k", zero.alias("a"), zero.alias("z"), F.col("dh").alias("part"))
-        # what a hit keeps of its document: the words that windows around it can reach
-        cut = at.filter("len >= n").select("doc_id", "n", "k", first.alias("a"), last.alias("z"), F.slice("dh", first + 1, last - first + F.col("n")).alias("part"))
-        cut = cut.unionAll(short)
-        opened = cut if opened is None else opened.unionAll(cut)
-    windows = opened.filter("a <= z").select("doc_id", "n", "k", "a", "part", F.explode(F.sequence("a", "z")).alias("start"))
-    windows = windows.select("doc_id", "n", "k", "start", F.slice("part", F.col("start") - F.col("a") + 1, F.col("n")).alias("wh"))
-    # the same window is opened by each shingle in it; equal texts have equal windows
-    windows = windows.groupBy("doc_id", "n", "k", "start").agg(F.first("wh").alias("wh"))
+        return None
+    zero = F.lit(0)
+
+    def shingled(rows: DataFrame, k: int) -> DataFrame:
+        part = rows.filter(F.col("k") == k).select("item_id", "n", "k", "ih", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("_i"))
+        return part.select("item_id", "n", "k", _shingle("ih", "_i", k).alias("s"))
+
+    item_shingles = _by_k(items, sizes, shingled).groupBy("item_id", "n", "k", "s").agg(F.count(F.lit(1)).alias("c"))
+    item_shingles = materialize(item_shingles, "item-shingles")
+    keys = materialize(item_shingles.select("s", "n", "k").distinct(), "item-keys")
+
+    hit = _opened(docs, keys, sizes, text, keys.count() <= broadcast_rows)
+    first, last = F.greatest(zero, F.col("i") - F.col("n") + F.col("k")), F.least(F.col("i"), F.col("len") - F.col("n"))
+    # a shorter document is one window; with fewer shingles than this it cannot reach the threshold
+    short = F.col("len") < F.col("n")
+    enough = F.col("len") - F.col("k") + 1 >= threshold * (F.col("n") - F.col("k") + 1) - 1e-9
+    # what a hit keeps of its document: the words that windows around it can reach
+    a, z = F.when(short, 0).otherwise(first), F.when(short, 0).otherwise(last)
+    reach = F.when(short, F.col("len")).otherwise(last - first + F.col("n"))
+    opened = hit.filter(~short | enough).select("tid", "n", "k", a.alias("a"), z.alias("z"), F.slice("dh", a + 1, reach).alias("part"))
+    windows = opened.filter("a <= z").select("tid", "n", "k", "a", "part", F.explode(F.sequence("a", "z")).alias("start"))
+    windows = windows.select("tid", "n", "k", "start", F.slice("part", F.col("start") - F.col("a") + 1, F.col("n")).alias("wh"))
+    # the same window is opened by each shingle in it, and by equal texts
+    windows = windows.groupBy("tid", "n", "k", "start").agg(F.first("wh").alias("wh"))
     windows = materialize(windows.withColumn("wid", F.xxhash64("n", "wh")), "windows")
     texts = windows.groupBy("wid", "n", "k").agg(F.first("wh").alias("wh")).withColumn("m", F.size("wh"))  # m = n but for short documents
     texts = materialize(texts, "window-texts")
@@ -129,33 +159,49 @@ def find_contamination(
     asked = asked.select("wid", "n", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
     found = asked.join(filed.hint("merge"), ["n", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
 
-    w_sh = None
-    for k in sizes:
-        part = texts.filter(F.col("k") == k).select("wid", "n", "k", "m", "wh", F.explode(F.sequence(F.lit(0), F.col("m") - k)).alias("_i")).select("wid", "n", "k", "m", _shingle("wh", "_i", k).alias("s"))
-        w_sh = part if w_sh is None else w_sh.unionAll(part)
-    w_sh = w_sh.groupBy("wid", "n", "k", "m", "s").agg(F.count(F.lit(1)).alias("cw"))
+    def in_windows(rows: DataFrame, k: int) -> DataFrame:
+        part = rows.filter(F.col("k") == k).select("wid", "n", "k", "m", "wh", F.explode(F.sequence(zero, F.col("m") - k)).alias("_i"))
+        return part.select("wid", "n", "k", "m", _shingle("wh", "_i", k).alias("s"))
+
+    w_sh = _by_k(texts, sizes, in_windows).groupBy("wid", "n", "k", "m", "s").agg(F.count(F.lit(1)).alias("cw"))
 
     # short documents: the shingles that fewest items hold, as many as must hold one of the item's
     rare = item_shingles.groupBy("n", "k", "s").agg(F.count(F.lit(1)).alias("held"))
     order = Window.partitionBy("wid", "n").orderBy(F.coalesce("held", zero), "s").rowsBetween(Window.unboundedPreceding, -1)
-    first = w_sh.filter("m < n").join(rare, ["n", "k", "s"], "left").withColumn("before", F.coalesce(F.sum("cw").over(order), zero))
+    rarest = w_sh.filter("m < n").join(rare, ["n", "k", "s"], "left").withColumn("before", F.coalesce(F.sum("cw").over(order), zero))
     need = F.ceil(F.lit(threshold) * (F.col("n") - F.col("k") + 1) - 1e-9)
-    first = first.filter(F.col("before") <= F.col("m") - F.col("k") + 1 - need).select("wid", "n", "k", "s")
-    found = found.select("wid", "item_id", "n").unionAll(first.join(item_shingles, ["n", "k", "s"]).select("wid", "item_id", "n")).distinct()
+    rarest = rarest.filter(F.col("before") <= F.col("m") - F.col("k") + 1 - need).select("wid", "n", "k", "s")
+    found = found.select("wid", "item_id", "n").unionAll(rarest.join(item_shingles, ["n", "k", "s"]).select("wid", "item_id", "n")).distinct()
 
     # exact similarity of the pairs found
     both = found.join(w_sh.select("wid", "n", "m", "s", "cw"), ["wid", "n"]).join(item_shingles, ["item_id", "n", "s"])
     common = both.groupBy("wid", "item_id", "n", "k", "m").agg(F.sum(F.least("c", "cw")).alias("common"))
     scored = common.withColumn("total", F.col("n") + F.col("m") - 2 * F.col("k") + 2)  # shingles of window and item
     scored = scored.withColumn("similarity", F.col("common") / (F.col("total") - F.col("common")))
-    hits = windows.select("doc_id", "wid", "start").join(scored.filter(F.col("similarity") >= threshold), "wid")
+    hits = windows.select("tid", "wid", "start").join(scored.filter(F.col("similarity") >= threshold), "wid")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("m"))).alias("best")
-    out = hits.groupBy("doc_id", "item_id").agg(best)
-    return out.select(F.col("doc_id").cast(kind), "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).alias("start_word"))
+    out = hits.groupBy("tid", "item_id").agg(best)
+    return materialize(out.select("tid", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).alias("start_word")), "contaminated")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows of contaminated documents; a null id is never contaminated."""
-    key = options.get("doc_id", "doc_id")
-    bad = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+@tidied
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``doc_id, item_id, similarity, start_word``: for each contaminated pair the best window (the first of equals)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("tid"))
+    bad = _contaminated_texts(docs, benchmark, text=text, **options)
+    if bad is None:
+        return rows.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"))
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("m"))).alias("best")
+    out = rows.join(bad, "tid").groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).alias("start_word"))
+
+
+@tidied
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated, whatever their id."""
+    options.pop("doc_id", None)
+    bad = _contaminated_texts(docs, benchmark, text=text, **options)
+    if bad is None:
+        return docs
+    bad = bad.select("tid").distinct()
+    return docs.join(bad, _digest(text) == bad["tid"], "left_anti")

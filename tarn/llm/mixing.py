@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, tidied
 
 
 def n_words(text: str | Column) -> Column:
@@ -75,6 +75,7 @@ def sainte_lague(rows: DataFrame, seats: Column, claim: str, by: list[str], orde
     return out.select(*[rows[c] for c in keep], (F.col("_base") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
+@tidied
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Per row: ``doc_id, size, source, source_size, target, taken`` (words taken, repeats counted)."""
     return _taken(docs, **options).select("doc_id", "size", "source", "source_size", "target", "taken")
@@ -151,6 +152,7 @@ def _copies(plan: DataFrame, seed: str) -> DataFrame:
     return rows.withColumn("copies", (F.floor(F.col("taken") / F.col("size")) + more).cast("int")).drop("_part", "_to")
 
 
+@tidied
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row whole, as often as the words taken from it make it up, by
     :func:`_copies` (no words taken: left out).  Keeps all columns; rows are numbered and written

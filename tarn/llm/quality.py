@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, map_arrow, materialize, sub_batches, text_buffer, word_hash, words
+from .common import ARROW_BYTES, map_arrow, materialize, sub_batches, text_buffer, tidied, word_hash, words
 
 N_FEATURES = 9
-SALTS = 16
+SALTS, BROADCAST_SITES = 16, 10_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -194,18 +194,20 @@ def _logit(rate):
     return F.log(r / (1 - r))
 
 
+@tidied
 def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", threshold: float = 0.5, columns: list[str] | None = None, **fitting) -> DataFrame:
     """``docs`` (or its ``columns``) with ``log_odds, host_rate, path_rate, posterior, keep``.
 
-    Texts are scored once, into a written table that the site counts and the result both read.  Sites are joined to it
-    by hash of host and path: a frequent site's rows are dealt over SALTS keys, so no task gets all of them."""
+    Texts are scored once, into a written table that the site counts and the result both read.  Up to BROADCAST_SITES
+    sites are broadcast; more are joined by host and path, with a frequent site's rows dealt over SALTS keys."""
     model = fit(docs, labels, **fitting)
     names = list(docs.columns if columns is None else columns)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     keys = docs.withColumns({"_site": F.col(host), "_below": F.col(path)})
     scored = materialize(score(keys, model, keep=[*names, "_site", "_below"], name="_odds"), "quality-scored")
     sites = site_posteriors(scored, host="_site", path="_below", odds="_odds")
-    sites = sites.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sites = materialize(sites.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "quality-rates")
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES * SALTS else sites
     rows = scored.withColumn("_salt", salt)
     rows = rows.join(sites, rows["_site"].eqNullSafe(sites["_host"]) & rows["_below"].eqNullSafe(sites["_path"]) & (rows["_salt"] == sites["_deal"]), "left")
     odds = F.col("_odds") - _logit(F.col("global_rate")) + _logit(F.col("path_rate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_spread, read_table
 from . import decontaminate, html_text, media, mixing, near_dup, pii, quality, repeats, token_store, warc
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,7 +18,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, sf_dir, name) if name in ("documents", "pages") else read_table(spark, sf_dir, name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, gram_hash, map_arrow, materialize, mix, prefix_hash, span_hash, sub_batches, text_buffer
+from .common import as_signed, gram_hash, map_arrow, materialize, mix, prefix_hash, span_hash, sub_batches, text_buffer, tidied
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -295,6 +295,7 @@ def _by_row(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(o, rows["doc_id"].eqNullSafe(o["_doc"]) & (rows["tag"] == o["_tag"]), how).drop("_doc", "_tag")
 
 
+@tidied
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept`` (the bytes left) of every row."""
     found = find_repeats(docs, doc_id=doc_id, text=text)

@@ -82,7 +82,7 @@ def test_awkward_and_empty_tables(spark, awkward, empty, name):
             by[r.doc_id].add(r.class_id)
         assert by[1] == by[2] == {1} and by[3] == by[4] == by[5] == {3} and by[7] == by[8] == {7} and by[None] == {None} and by[10] == {10}
     if name == "decontaminate":
-        assert {(r.doc_id, r.item_id) for r in got} == {(1, 0), (2, 0), (7, 3), (8, 3)}
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 0), (2, 0), (None, 0), (7, 3), (8, 3)}
     if name == "keep_one":
         assert sorted(r.doc_id or -1 for r in got) == [-1, 1, 3, 6, 7, 9, 10]
     if name == "warc":
@@ -554,3 +554,248 @@ def test_unfinished_components_are_an_error(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)], "a long, b long")
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=1)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_starts_and_ids_of_rows_that_share_an_id(spark):
+    """Six texts under one id, two ids that are null, and words that collide in any polynomial hash modulo 2**64."""
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(1, f"text number {i} " + "more " * (i * i)) for i in range(6)] + [(None, "no id"), (None, "no id either"), (2, one), (3, other), (4, f"{one} {other}")]
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    from tarn.llm.common import scratch_path
+
+    folder = scratch_path(spark, "test-ties")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, path, shards=3)
+    stored = spark.read.parquet(folder).orderBy("shard", "offset").collect()
+    want, at = [], 0
+    for r in stored:
+        want.append((r.doc_id, at, len(r.tokens), zlib.crc32(np.array(r.tokens, "<u4").tobytes())))
+        at += len(r.tokens)
+    assert [r.doc_id for r in stored] == [None, None] + [1] * 6 + [2, 3, 4]
+    got = token_store.token_index(spark, folder).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+    ids = collections.Counter((i, tuple([*tokenizer.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows)
+    assert ids == collections.Counter((r.doc_id, tuple(r.tokens)) for r in stored)
+
+
+def test_structured_words_do_not_collide():
+    from tarn.llm.common import word_hash
+
+    text = f"{thue_morse(1024)} {thue_morse(1024, 'b', 'a')} {thue_morse(4096)} {thue_morse(4096, 'b', 'a')}".encode()
+    cuts = np.cumsum([0] + [len(w) + 1 for w in text.split()])
+    start, end = cuts[:-1], cuts[1:] - 1
+    assert len(set(word_hash(np.frombuffer(text, np.uint8), start, end).tolist())) == 4
+
+
+def test_contamination_under_shared_and_missing_ids(spark):
+    """Whatever row of an id holds the item is found, in both ways of meeting the items' shingles."""
+    item = " ".join(PROSE.split()[20:60])
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(1, "a quite different text that is as long as it needs to be for some windows " * 3), (1, f"before {item} after"), (None, f"null {item}"), (None, "clean"), (2, f"before {item} after"), (3, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"broadcast_rows": 0}):
+        got = [tuple(r) for r in decontaminate.find_contamination(docs, bench, **more).collect()]
+        assert sorted(got, key=str) == sorted([(1, 0, 1.0, 1), (2, 0, 1.0, 1), (None, 0, 1.0, 1)], key=str)
+        left = decontaminate.drop_contaminated(docs, bench, **more).collect()
+        assert sorted((r.doc_id or -1, r.text) for r in left) == sorted((i or -1, t) for i, t in rows if item not in t)
+
+
+def test_simhash_recall_near_the_threshold(spark, sf):
+    """Copies of items with words changed in all ways that leave a similarity from 0.8 to 0.85, as windows of item size."""
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    token, grams = (lambda t: WORD.findall(t.lower())), (lambda w: collections.Counter(zip(*(w[i:] for i in range(5)))))
+    truth, rows = set(), []
+    for item, text in items:
+        w = token(text)
+        for _ in range(60):
+            v = list(w)
+            for i in rng.sample(range(len(w)), rng.randint(1, 3)):
+                v[rng.choice([i, 0, len(w) - 1])] = f"x{rng.randint(0, 10**6)}"
+            a, b = grams(v), grams(w)
+            if 0.8 <= sum((a & b).values()) / sum((a | b).values()) <= 0.85:
+                rows.append((len(rows), " ".join(["lead"] * rng.randint(0, 40) + v + ["tail"] * 40)))
+                truth.add((len(rows) - 1, item))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = len(truth & got) / len(truth)
+    print(f"recall of {len(truth)} pairs: {recall}")
+    assert len(truth) > 150 and recall == 1.0
+
+
+def test_mixed_rows_with_shared_and_missing_ids(spark):
+    """Words by source are those that the plan takes, to less than a document, for rows without an id and rows that share one."""
+    rng, rows = random.Random(8), []
+    for s, n, ids in (("a", 200, lambda i: None), ("b", 30, lambda i: 7), ("c", 60, lambda i: 1000 + i // 2)):
+        rows += [(ids(i), " ".join([f"{s}{i}"] * rng.randint(20, 400)), s, 1, i) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, _mix_row int")
+    plan, got = mixing.mix(docs).collect(), mixing.mix_rows(docs).collect()
+    taken, copies = collections.Counter(), collections.Counter(r.text for r in got)
+    for r in plan:
+        taken[r.source] += r.taken
+    for s, words in words_by_source(got).items():
+        assert abs(words - taken[s]) < 400, s
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "row", "_mix_row"}
+    for (i, size), held in {k: [r for r in plan if (r.doc_id, r.size) == k] for k in {(r.doc_id, r.size) for r in plan}}.items():
+        texts = [t for d, t, *_ in rows if d == i and len(t.split()) == size]
+        assert sum(r.taken // r.size for r in held) <= sum(copies[t] for t in texts) <= sum(-(-r.taken // r.size) for r in held)
+
+
+def test_long_digit_runs_and_fitted_field(spark):
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.{zeros}.{zeros}1.{zeros}255") == [(1, 0, 20_007)] and pii.base_spans(f"1.2.3.{zeros}256") == []
+    # planted repeats: numbers written otherwise and user names of addresses; other numbers and words stay
+    rng, rows, truth = random.Random(6), [], {}
+    filler = "the quick brown fox jumps over a lazy dog while counting sheep".split()
+    for i in range(300):
+        words = [rng.choice(filler) for _ in range(40)]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(40)] = str(rng.choice([7, 2024, 19, 305]))
+        d, planted = "".join(rng.choice("23456789") for _ in range(10)), None
+        if i % 3 == 0:
+            words[3], words[30] = f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", (planted := f"1{d}")
+        elif i % 3 == 1:
+            words[3], words[30] = f"person{d[:4]}@mail.example.com", (planted := f"person{d[:4]}")
+        else:
+            words[3] = f"person{d[:4]}@mail.example.com and +1 ({d[:3]}) {d[3:6]}-{d[6:]} at 10.0.{i % 250}.7"
+        rows.append((i, " ".join(words)))
+        truth[i] = planted
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = wrong = 0
+    for r in pii.find_personal_data(docs).collect():
+        base, every = set(r.base.split(",")), set(r.spans.split(","))
+        text = rows[r.doc_id][1]
+        added = [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in every - base)]
+        assert r.n_added == len(added) and r.n_found == len(every)
+        hit += truth[r.doc_id] in added
+        wrong += len([x for x in added if x != truth[r.doc_id]])
+    planted = sum(t is not None for t in truth.values())
+    print(f"added spans: recall {hit / planted}, precision {hit / (hit + wrong)}")
+    assert hit >= 0.95 * planted and wrong <= 0.05 * hit
+
+
+def test_secrets_are_spans_of_their_own():
+    text = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" and a-long-hyphenated-word-without-any-number'
+    assert [(k, text[a:b]) for k, a, b in pii.secret_spans(text)] == [(4, "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde")]
+
+
+def prose(n, seed=0):
+    rng = random.Random(seed)
+    return " ".join(rng.choice("some plain words that stand in a row and say little of note today".split()) for _ in range(n))
+
+
+def test_html_pages_without_an_article_and_misleading_names():
+    tree, links = html_text.grow_tree(np.array(html_text.LABELLED, float)), "".join(f"<li><a href=/{i}>go {i}</a></li>" for i in range(6))
+    p, q, long = prose(70, 1), prose(45, 2), prose(130, 3)
+    cases = [
+        (f"<body><div><ul>{links}</ul></div><h1>A title</h1><div><p>{p}</p><p>{q}</p></div><div><ul>{links}</ul></div></body>", f"A title {p} {q}"),
+        (f"<body><div class='site-header'>Site name</div><div id=main><h2>A title</h2><p>{p}<p>{q}</div><div class='cookie-banner'>We use cookies here</div>", f"A title {p} {q}"),
+        (f"<div class='ad-free article'>{p}</div>", p),
+        (f"<article><p>{p}</p><div class='social-history'>{q}</div></article>", f"{p} {q}"),
+        (f"<body><ul>{links}</ul><div class='content search-results'>{prose(80, 4)}</div></body>", prose(80, 4)),
+        (f"<article><p>{p}</p><div class='promo'>{long}</div><p>{q}</p></article>", f"{p} {long} {q}"),
+        (f"<article><p>{p}</p><div class='ad-slot'>Buy now</div><p>{q}</p><div class='comments'><p>{prose(30, 5)}</p><p>{prose(140, 6)}</p><p>{prose(20, 7)}</p></div></article>", f"{p} {q}"),
+        (f"<header>Site</header><nav>{links}</nav><main><p>{p}</p></main><aside>{q}</aside><form>{q}</form><footer>{q}</footer>", p),
+        ("1 < 2 and 3 &#0000000065; &#99999999999; " + p, f"1 < 2 and 3 A � {p}"),
+    ]
+    for page, text in cases:
+        assert html_text.main_text(page, tree) == text, page[:80]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 120_000 + "</i>" * 120_000, "<a " * 330_000, "<a \"'" * 200_000, "<p>" * 160_000 + "</div>" * 80_000, "&#" + "9" * 10**6 + ";", "<!--" * 250_000, "<" * 10**6, "<a href=\"x>" * 90_001, "<ul><li>" * 80_000 + "</p>" * 80_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    tree, began = html_text.grow_tree(np.array(html_text.LABELLED, float)), time.process_time()
+    html_text.main_text(page, tree)
+    assert time.process_time() - began < 3
+
+
+def test_large_buckets_are_split_without_loss(spark):
+    """One large group of near copies of a text and of its copies, all in common buckets, against all pairs by brute force."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3, 4, 6, 9])):
+            words[j] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingled(t) for i, t in rows}
+    number = {s: n for n, s in enumerate(sorted(set().union(*sets.values())))}
+    arrays = {i: [np.array(v) for v in zip(*sorted((number[s], n) for s, n in c.items()))] for i, c in sets.items()}
+    parent, pairs = {i: i for i in sets}, []
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if near_dup.prob_jaccard(*arrays[a], *arrays[b]) >= 0.8:
+                pairs.append((a, b))
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (near_dup.BLOCK, 40):
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs, block=block).collect()}
+        assert got == {i: find(i) for i in sets}, block
+        assert np.mean([got[a] == got[b] for a, b in pairs]) == 1.0
+    assert 1 < len(set(got.values())) < 130
+
+
+def test_quality_equals_brute_force(spark, sf):
+    """Posteriors and decisions from each document's own log-odds, by plain sums over hosts and paths."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(docs, labels, columns=["doc_id", "source", "lang"]).collect()
+    p = {r.doc_id: 1 / (1 + np.exp(-r.log_odds)) for r in got}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        hosts[r.source].append(p[r.doc_id])
+        paths[r.source, r.lang].append(p[r.doc_id])
+    rate = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups, centre):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(g) * (np.mean(g) - centre(k)) ** 2 for k, g in groups.items())
+        var = sum(len(g) * centre(k) * (1 - centre(k)) for k, g in groups.items())
+        between = min(max((spread / n - var / n / (n / len(groups))) / (var / n), 1e-4), 0.95)
+        return 1 / between - 1
+
+    k = strength(hosts, lambda _: rate)
+    host = {h: (sum(g) + k * rate) / (len(g) + k) for h, g in hosts.items()}
+    k = strength(paths, lambda key: host[key[0]])
+    path = {key: (sum(g) + k * host[key[0]]) / (len(g) + k) for key, g in paths.items()}
+    logit = lambda q: np.log(q / (1 - q))
+    for r in got:
+        assert r.host_rate == pytest.approx(host[r.source]) and r.path_rate == pytest.approx(path[r.source, r.lang])
+        odds = r.log_odds - logit(rate) + logit(path[r.source, r.lang])
+        assert r.posterior == pytest.approx(1 / (1 + np.exp(-odds))) and r.keep == (odds >= 0)
+
+
+def test_log_mel_equals_brute_force():
+    """Frame by frame, with a plain Fourier sum, over several chunks of samples."""
+    rng = np.random.default_rng(3)
+    payload = rng.integers(0, 256, 2500, dtype=np.uint8)
+    x = (payload.astype(float) - 128) / 128
+    taps, up, down = media._phases().astype(float), media.UP, media.DOWN
+    padded = np.concatenate([np.zeros(media.TAPS - 1), x, np.zeros(4 * media.FRAME)])
+    n_out = -(-len(x) * up // down)
+    y = np.array([taps[m * down % up] @ padded[m * down // up :][: media.TAPS] for m in range(n_out + media.FRAME)])
+    window, bank = media._bank()
+    mel, energy = media.log_mel(lambda a, b: media.resample(payload, a, b - a), n_out)
+    assert len(mel) == -(-n_out // media.HOP)
+    t = np.arange(media.FRAME)
+    for i in range(len(mel)):
+        frame = y[i * media.HOP :][: media.FRAME] * window
+        power = np.array([abs((frame * np.exp(-2j * np.pi * k * t / media.FRAME)).sum()) ** 2 for k in range(media.FRAME // 2 + 1)]) / media.FRAME
+        assert mel[i] == pytest.approx(np.log(np.maximum(power @ bank, np.exp(media.FLOOR))), abs=2e-3) and energy[i] == pytest.approx((frame**2).mean(), rel=1e-3)
+    chunk = media.CHUNK
+    whole = media.resample(rng.integers(0, 256, 2 * chunk, dtype=np.uint8).astype(np.float32))
+    assert chunk % media.UP == 0 and (chunk // media.HOP * media.HOP) % media.UP == 0 and len(whole) == 2 * chunk * up // down
