@@ -1,17 +1,22 @@
 """An index of a project: ingest, search, research, upkeep and memory behind one object.
 
 Tables live under ``root`` as versioned snapshots: chunks, manifest, postings, lengths,
-entities, vectors, decisions, timeline and changelogs.
+terms, entities, vectors, decisions, timeline and changelogs; settings are one JSON file beside them.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from .functions import embed, text
+from .functions import config, embed, text
 from .operators import graph, lexical, maintain, memory, retrieve
 from .sources import code, files, history
+from .streaming import watch
 
 CHUNKS = (
     "chunk_id long, uri string, symbol string, chunk_type string, file_path string, start_line int, end_line int, language string, code string, "
@@ -19,6 +24,7 @@ CHUNKS = (
 )
 MANIFEST = "file_path string, hash string, mtime double, size long, valid_chunks array<string>, stale_chunks array<string>"
 VECTORS = "chunk_id long, embedding array<float>"
+WATCHED = "root string, file_path string, change string, ts timestamp"
 MEMORY = {"decisions": memory.DECISIONS, "timeline": memory.TIMELINE, "changelogs": memory.CHANGELOGS}
 
 
@@ -28,7 +34,7 @@ class Project:
 
     # ------------------------------------------------------------ tables
     def table(self, name: str) -> DataFrame:
-        schema = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": "term string, chunk_id long, field string, pos int, dl int", "lengths": "chunk_id long, dl int", "entities": code.ENTITIES, **MEMORY}[name]
+        schema = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": "term string, chunk_id long, field string, pos int, dl int", "lengths": "chunk_id long, dl int", "terms": "term string", "entities": code.ENTITIES, **MEMORY}[name]
         return memory.load_snapshot(self.spark, f"{self.root}/{name}", schema)
 
     def _save(self, name: str, df: DataFrame) -> None:
@@ -38,26 +44,66 @@ class Project:
         last = max((int(s.getPath().getName()[1:]) for s in found or []), default=0)
         memory.save_snapshot(df, f"{self.root}/{name}", last + 1)
 
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written below the root and read again, so that later steps see the same rows and recompute nothing."""
+        path = f"{self.root}/staging/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    # ---------------------------------------------------------- settings
+    def settings(self) -> dict:
+        """All settings: the defaults with the project's own over them."""
+        return config.merged(self._own_settings())
+
+    def _own_settings(self) -> dict:
+        rows = self.spark.read.text(f"{self.root}/config", wholetext=True).collect() if self._exists("config/_SUCCESS") else []
+        return json.loads(rows[0].value) if rows else {}
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def get(self, name: str) -> object:
+        section, _, key = name.partition(".")
+        return self.settings()[section][key]
+
+    def set(self, name: str, value: str) -> object:
+        """Set ``section.name`` to a value given as text; an unknown name or another kind is an error."""
+        own = config.changed(self._own_settings(), name, config.parse(value))
+        self.spark.createDataFrame([(json.dumps(own),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/config")
+        return self.get(name)
+
     # ------------------------------------------------------------ ingest
     def index(self, source: str, *, patterns: list[str] = (), tier: str = "project", repo: str | None = None) -> DataFrame:
-        """Index what is new or changed under ``source``; returns ``file_path, change``.
+        """Index what is new or changed under ``source``; returns ``file_path, change`` (readable until the next call).
 
-        Contents are read only for files whose time or size differ from the manifest's; the
-        other tables follow from the next chunks by anti-joins on chunk ids."""
-        listing = files.list_files(self.spark, source, patterns=list(patterns), content=True)
+        Files are listed without their contents; contents are then read, by the tasks, only for files whose
+        time or size differ from the manifest's.  The other tables follow from the next chunks by anti-joins
+        on chunk ids.  What is left out: the default patterns, the project's, ``patterns`` and ignore files."""
+        self._delete(f"{self.root}/staging")
+        left_out = files.patterns_of([*self.get("indexing.exclude_patterns"), *patterns], files.ignore_files(self.spark, source))
+        listing = self._stage("listing", files.list_files(self.spark, source, patterns=left_out, max_mb=self.get("indexing.max_file_size_mb")))
         known = self.table("manifest")
         old = known.select("file_path", F.col("mtime").alias("_t"), F.col("size").alias("_s"))
         fresh = listing.join(old, "file_path", "left").filter(~(F.col("_t").eqNullSafe(F.col("mtime")) & F.col("_s").eqNullSafe(F.col("size")))).drop("_t", "_s")
-        fresh = fresh.withColumn("text", files.text_of(F.col("content"))).withColumn("hash", maintain.content_hash(F.col("content"))).drop("content").persist()
-        change = maintain.changed_files(known, listing.drop("content").join(fresh.select("file_path", "hash"), "file_path", "left").join(known.select("file_path", F.col("hash").alias("_h")), "file_path", "left").withColumn("hash", F.coalesce("hash", "_h")).drop("_h")).persist()
+        fresh = files.with_content(fresh).filter("content is not null")
+        fresh = self._stage("fresh", fresh.withColumn("text", files.text_of(F.col("content"))).withColumn("hash", maintain.content_hash(F.col("content"))).drop("content"))
+        change = maintain.changed_files(known, listing.join(fresh.select("file_path", "hash"), "file_path", "left").join(known.select("file_path", F.col("hash").alias("_h")), "file_path", "left").withColumn("hash", F.coalesce("hash", "_h")).drop("_h"))
+        change = self._stage("change", change)
         todo = fresh.join(change.filter("change in ('new', 'changed')").select("file_path"), "file_path", "left_semi")
-        made = code.chunk_files(todo.select("file_path", "language", "text"))
+        sizes = self.settings()["chunking"]
+        made = code.chunk_files(todo.select("file_path", "language", "text"), most=sizes["max_chunk_size"], part=sizes["merge_threshold"], merge=sizes["greedy_merge"])
         note = F.create_map(F.lit("tier"), F.lit(tier))
         if repo:
             head = history.commits(self.spark, repo, "HEAD", 1).first()
             if head:
                 note = F.map_concat(note, F.create_map(F.lit("commit_hash"), F.lit(head["hash"]), F.lit("commit_time"), F.lit(str(head["time"]))))
         made = made.select(F.lit(None).cast("long").alias("chunk_id"), "uri", "symbol", "chunk_type", "file_path", "start_line", "end_line", "language", "code", note.alias("metadata"), F.lit(tier).alias("tier"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
+        made = self._stage("made", made)
         self._save("chunks", maintain.upsert(self.table("chunks"), made))
         chunks = self.table("chunks")
         now = chunks.join(todo.select("file_path"), "file_path", "left_semi").join(made.select("uri"), "uri", "left_semi")
@@ -74,6 +120,7 @@ class Project:
         index = lexical.build_index(new)
         keep = lambda name: self.table(name).join(kept, "chunk_id", "left_semi")
         self._save("postings", keep("postings").unionByName(index.postings).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+        self._save("terms", self.table("postings").select("term").distinct())
         self._save("lengths", keep("lengths").unionByName(index.lengths))
         self._save("entities", keep("entities").unionByName(code.entities(new.select("chunk_id", "language", "start_line", "code"))))
         vector = embed.hashed(embed.chunk_text(F.col("symbol"), F.col("code")), self.dimensions)
@@ -91,11 +138,25 @@ class Project:
         return done is not None
 
     def status(self) -> DataFrame:
-        return maintain.index_stats(self.table("chunks")).crossJoin(maintain.staleness(self.table("manifest")))
+        """One row: chunks, files, last update and its age in hours, bytes indexed, valid and stale chunks, health and advice."""
+        rows = maintain.index_stats(self.table("chunks")).crossJoin(maintain.staleness(self.table("manifest")))
+        rows = rows.crossJoin(maintain.cache_stats(self.table("manifest")).select("n_bytes"))
+        age = F.timestamp_diff("HOUR", F.col("last_update"), F.current_timestamp().cast("timestamp_ntz"))
+        return rows.withColumns({"age_hours": age, "advice": maintain.advice(F.col("ratio"))})
+
+    def watch(self, events: str, source: str, *, checkpoint: str, quiet: str = "2 seconds", trigger: str = "2 seconds", **options) -> StreamingQuery:
+        """Index ``source`` again whenever its event files (JSON lines of WATCHED in the folder ``events``) have been quiet for a
+        while.  Files that are gone leave the manifest with the rest; a batch without events does nothing."""
+
+        def reindex(batch: DataFrame, _: int) -> None:
+            if not batch.isEmpty():
+                self.index(source, **options)
+
+        return watch.watch(self.spark, events, WATCHED, reindex, checkpoint=checkpoint, quiet=quiet, trigger=trigger)
 
     # ------------------------------------------------------------ search
     def _index(self) -> lexical.TextIndex:
-        return lexical.TextIndex(self.table("postings"), self.table("lengths"))
+        return lexical.TextIndex(self.table("postings"), self.table("lengths"), self.table("terms"))
 
     def _vector(self, query: str) -> list[float]:
         return self.spark.range(1).select(embed.hashed(F.lit(query), self.dimensions).alias("v")).first().v
@@ -123,6 +184,17 @@ class Project:
     def search_files(self, query: str, k: int = 10, how: str = "sum") -> DataFrame:
         return retrieve.by_file(self.search(query, 5 * k), k, how)
 
+    def search_memory(self, words: str, k: int = 10, *, decisions_only: bool = True) -> DataFrame:
+        """Memory rows that hold ``words``, newest first: decisions, or events and changelogs too."""
+        tables = [self.table(t) for t in ("decisions", "timeline", "changelogs")]
+        return memory.search(tables[0], *[t.limit(0) if decisions_only else t for t in tables[1:]], words, k)
+
+    def search_all(self, query: str, k: int = 10, **options) -> DataFrame:
+        """Code and memory in one list: ``kind, ref, title, body, score``, the best k.  Memory rows score 1, code as it is found."""
+        found = self.search(query, k, **options).select(F.lit("code").alias("kind"), F.col("uri").alias("ref"), F.col("symbol").alias("title"), F.col("code").alias("body"), "score")
+        known = self.search_memory(query, k).select("kind", "ref", "title", "body", F.lit(1.0).alias("score"))
+        return known.unionByName(found).orderBy(F.desc("score"), "kind", "ref").limit(k)
+
     def research(self, question: str, hops: int = 2, per_hop: int = 5, most: int = 50) -> tuple[DataFrame, DataFrame]:
         words = self.spark.range(1).select(text.keywords(F.lit(question)).alias("w")).first().w or question
         start = lexical.search_one(self._index(), words, per_hop)
@@ -145,21 +217,67 @@ class Project:
         now = F.current_timestamp().cast("timestamp_ntz")
         self._save("decisions", memory.reject(rows, [decision]) if category is None else memory.approve(rows, [decision], category, now))
 
-    def sync_history(self, repo: str, *, since: str | None = None, limit: int = 50, least: str = "low", dry_run: bool = False) -> dict[str, int]:
-        """Tags to changelogs and merges to the timeline, new ones only; counts of what was added and skipped."""
+    def add_event(self, event_type: str, from_ref: str, to_ref: str, summary: str, *, files_changed: list[str] = (), importance: str = "medium", commit_hash: str | None = None) -> int:
+        """Add a timeline event; its id."""
+        if importance not in ("high", "medium", "low"):
+            raise ValueError(f"no importance {importance}")
+        row = [(event_type, from_ref, to_ref, summary, list(files_changed), importance, commit_hash)]
+        new = self.spark.createDataFrame(row, "event_type string, from_ref string, to_ref string, summary string, files_changed array<string>, importance string, commit_hash string")
+        return self._add("timeline", new)
+
+    def add_changelog(self, tag: str, summary: str = "", *, breaking: list[str] = (), features: list[str] = (), fixes: list[str] = (), commit_hash: str | None = None) -> int:
+        """Add a changelog; its id.  A tag that is there already is an error."""
+        rows = self.table("changelogs")
+        row = [(tag, summary, list(breaking), list(features), list(fixes), commit_hash)]
+        new = self.spark.createDataFrame(row, "tag string, summary string, breaking_changes array<string>, features array<string>, fixes array<string>, commit_hash string")
+        if not memory.duplicate_tags(rows, new).isEmpty():
+            raise ValueError(f"changelog {tag} exists")
+        new = new.withColumns({"version": text.version(F.col("tag")), "date": F.current_timestamp().cast("timestamp_ntz")})
+        return self._add("changelogs", new)
+
+    def _add(self, name: str, new: DataFrame) -> int:
+        """``new`` rows added with ids and the time; the largest id."""
+        rows = self.table(name)
+        new = new.withColumns({"id": F.lit(None).cast("long"), "created_at": F.current_timestamp().cast("timestamp_ntz")})
+        self._save(name, memory.numbered(rows, new))
+        return self.table(name).agg(F.max("id")).first()[0]
+
+    def import_memory(self, path: str) -> dict[str, int]:
+        """Add what an exported document has and the project has not: events by their refs, changelogs by tag, decisions by title
+        (approved).  Counts of rows added and skipped; rows that are there already stay as they are."""
+        found, counts = memory.read_export(self.spark, path), {"added": 0, "skipped": 0}
+        now = F.current_timestamp().cast("timestamp_ntz")
+        for name, keys in (("timeline", ["from_ref", "to_ref"]), ("changelogs", ["tag"]), ("decisions", ["title"])):
+            rows, new = self.table(name), found[name]
+            if name == "decisions":
+                new = new.withColumns({"session_id": F.lit("imported"), "status": F.lit("approved"), "category": F.coalesce("category", F.lit("imported")), "approved_at": F.coalesce("approved_at", now)})
+            new = new.withColumn("created_at", F.coalesce("created_at", now))
+            if name == "changelogs":
+                new = new.withColumn("date", F.coalesce("date", now))
+            fresh = self._stage(f"import-{name}", memory.import_rows(rows.limit(0), new, keys).join(rows.select(*keys).distinct(), keys, "left_anti"))
+            n, m = new.count(), fresh.count()
+            counts["added"] += m
+            counts["skipped"] += n - m
+            if m:
+                self._save(name, memory.numbered(rows, fresh))
+        return counts
+
+    def sync_history(self, repo: str, *, since: str | None = None, limit: int = 50, least: str = "low", dry_run: bool = False, tags: bool = True, merges: bool = True) -> dict[str, int]:
+        """Tags to changelogs and merges to the timeline (or one of them), new ones only; counts of what was added and skipped."""
         counts = {}
-        for name, found, keys, order in (
-            ("changelogs", history.tags(self.spark, repo), ["tag"], [F.desc("date"), F.col("tag")]),
-            ("timeline", history.merges(self.spark, repo, since, limit), ["event_type", "from_ref", "to_ref"], [F.desc("commit_time"), F.col("commit_hash")]),
-        ):
+        sources = []
+        if tags:
+            sources.append(("changelogs", history.tags(self.spark, repo), ["tag"], [F.desc("date"), F.col("tag")]))
+        if merges:
+            sources.append(("timeline", history.merges(self.spark, repo, since, limit), ["event_type", "from_ref", "to_ref"], [F.desc("commit_time"), F.col("commit_hash")]))
+        for name, found, keys, order in sources:
             rows = self.table(name)
             judged = memory.sync(rows, found, keys, least=least if name == "timeline" else None, limit=limit, order=order)
             counts |= {f"{name}_{r.outcome}": r["count"] for r in judged.groupBy("outcome").count().collect()}
             added = judged.filter("outcome = 'added'").drop("outcome")
             if not dry_run:
-                top = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-                added = added.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.monotonically_increasing_id() + 1).drop("_top").withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
-                self._save(name, rows.unionByName(added, allowMissingColumns=True))
+                added = added.withColumns({"id": F.lit(None).cast("long"), "created_at": F.current_timestamp().cast("timestamp_ntz")})
+                self._save(name, memory.numbered(rows, added))
         return counts
 
     def context(self, query: str) -> str:

@@ -10,17 +10,32 @@ from pyspark.sql import functions as F
 
 from .api import Project
 from .functions.text import preview
+from .operators.memory import changelogs, timeline, with_status
 
 
-def show(rows: DataFrame, form: str) -> None:
-    """Print a bounded result as text, JSON lines or CSV."""
+def show(rows: DataFrame, form: str, output: str | None = None) -> None:
+    """Print a bounded result, or write it to a file, as text, a table, JSON lines or CSV."""
     if form == "json":
-        for r in rows.toJSON().collect():
-            print(r)
+        out = "\n".join(rows.toJSON().collect()) + "\n"
     elif form == "csv":
-        print(rows.toPandas().to_csv(index=False), end="")
+        out = rows.toPandas().to_csv(index=False)
+    elif form == "table":
+        out = table(rows.columns, [["" if v is None else str(v) for v in r] for r in rows.limit(100).collect()])
     else:
-        rows.show(100, truncate=80)
+        out = rows._show_string(100, 80, False)
+    if output:
+        with open(output, "w") as file:
+            file.write(out)
+    else:
+        print(out, end="" if out.endswith("\n") else "\n")
+
+
+def table(names: list[str], rows: list[list[str]], most: int = 60) -> str:
+    """Rows between rules, each column as wide as its longest value."""
+    cut = [[v.replace("\n", " ")[:most] for v in r] for r in [names, *rows]]
+    wide = [max(len(r[i]) for r in cut) for i in range(len(names))]
+    lines = [" │ ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in cut]
+    return "\n".join([lines[0], "─┼─".join("─" * w for w in wide), *lines[1:]]) + "\n"
 
 
 def results(rows: DataFrame) -> DataFrame:
@@ -30,7 +45,8 @@ def results(rows: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tarn")
     parser.add_argument("--root", required=True)
-    parser.add_argument("--format", choices=("text", "json", "csv"), default="text")
+    parser.add_argument("--format", choices=("text", "table", "json", "csv"), default="text")
+    parser.add_argument("--output")
     commands = parser.add_subparsers(dest="command", required=True)
     add = lambda name, *args: [commands.add_parser(name)] and [commands.choices[name].add_argument(*a, **k) for a, k in args]
     add("index", (["path"], {}), (["--ignore"], {"action": "append", "default": []}), (["--tier"], {"default": "project"}), (["--git"], {}))
@@ -38,27 +54,55 @@ def main(argv: list[str] | None = None) -> None:
     add("files", (["query"], {}), (["-k"], {"type": int, "default": 10}), (["--how"], {"choices": ("sum", "max"), "default": "sum"}))
     add("research", (["question"], {}), (["--hops"], {"type": int, "default": 2}))
     add("status")
+    add("init")
+    add("config", (["name"], {"nargs": "?"}), (["value"], {"nargs": "?"}))
+    add("watch", (["path"], {}), (["events"], {}), (["--checkpoint"], {"required": True}), (["--seconds"], {"type": int}))
+    add("search-memory", (["words"], {}), (["-k"], {"type": int, "default": 10}), (["--all"], {"action": "store_true"}))
+    add("search-all", (["query"], {}), (["-k"], {"type": int, "default": 10}))
+    add("interactive", (["-k"], {"type": int, "default": 5}))
+    add("add-event", (["type"], {}), (["from_ref"], {}), (["to_ref"], {}), (["summary"], {}), (["--importance"], {"choices": ("high", "medium", "low"), "default": "medium"}))
+    add("add-changelog", (["tag"], {}), (["summary"], {}))
+    add("import", (["path"], {}))
     add("compact", (["--threshold"], {"type": float, "default": 0.2}))
     add("decide", (["title"], {}), (["description"], {}))
     add("approve", (["id"], {"type": int}), (["category"], {}))
     add("reject", (["id"], {"type": int}))
-    add("memory", (["table"], {"choices": ("decisions", "timeline", "changelogs")}))
-    add("sync-git", (["repo"], {}), (["--limit"], {"type": int, "default": 50}), (["--dry-run"], {"action": "store_true"}))
+    add("memory", (["table"], {"choices": ("decisions", "timeline", "changelogs")}), (["--status"], {"choices": ("pending", "approved", "rejected")}), (["--limit"], {"type": int, "default": 20}))
+    add(
+        "sync-git", (["repo"], {}), (["--since"], {}), (["--limit"], {"type": int, "default": 50}), (["--dry-run"], {"action": "store_true"}), (["--tags-only"], {"action": "store_true"}), (["--merges-only"], {"action": "store_true"}),
+        (["--min-importance"], {"choices": ("high", "medium", "low"), "default": "low"}),
+    )
     add("export", (["path"], {}))
     a = parser.parse_args(argv)
     project = Project(SparkSession.builder.appName("tarn").getOrCreate(), a.root)
+    out = lambda rows: show(rows, a.format, a.output)
     if a.command == "index":
-        show(project.index(a.path, patterns=a.ignore, tier=a.tier, repo=a.git).groupBy("change").count(), a.format)
+        out(project.index(a.path, patterns=a.ignore, tier=a.tier, repo=a.git).groupBy("change").count())
+    elif a.command == "watch":
+        query = project.watch(a.events, a.path, checkpoint=a.checkpoint)
+        query.awaitTermination(*([a.seconds] if a.seconds else []))
+        query.stop()
     elif a.command == "search":
-        show(results(project.search(a.query, a.k, mode=a.mode, include_deps=not a.no_deps)), a.format)
+        out(results(project.search(a.query, a.k, mode=a.mode, include_deps=not a.no_deps)))
+    elif a.command == "search-memory":
+        out(project.search_memory(a.words, a.k, decisions_only=not a.all))
+    elif a.command == "search-all":
+        out(project.search_all(a.query, a.k))
+    elif a.command == "interactive":
+        while query := input("search> ").strip():
+            out(results(project.search(query, a.k)))
     elif a.command == "files":
-        show(project.search_files(a.query, a.k, a.how), a.format)
+        out(project.search_files(a.query, a.k, a.how))
     elif a.command == "research":
         found, edges = project.research(a.question, a.hops)
         show(found, a.format)
         show(edges, a.format)
     elif a.command == "status":
-        show(project.status(), a.format)
+        out(project.status())
+    elif a.command == "init":
+        print(json.dumps(project.settings()))
+    elif a.command == "config":
+        print(json.dumps(project.set(a.name, a.value) if a.value is not None else project.get(a.name) if a.name else project.settings()))
     elif a.command == "compact":
         print("compacted" if project.compact(a.threshold) else "healthy, nothing done")
     elif a.command == "decide":
@@ -66,9 +110,19 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command in ("approve", "reject"):
         project.decide(a.id, getattr(a, "category", None))
     elif a.command == "memory":
-        show(project.table(a.table), a.format)
+        rows = project.table(a.table)
+        if a.table == "decisions":
+            out(with_status(rows, a.status).limit(a.limit))
+        else:
+            out(timeline(rows, n=a.limit) if a.table == "timeline" else changelogs(rows, a.limit))
+    elif a.command == "add-event":
+        print(project.add_event(a.type, a.from_ref, a.to_ref, a.summary, importance=a.importance))
+    elif a.command == "add-changelog":
+        print(project.add_changelog(a.tag, a.summary))
+    elif a.command == "import":
+        print(json.dumps(project.import_memory(a.path)))
     elif a.command == "sync-git":
-        print(json.dumps(project.sync_history(a.repo, limit=a.limit, dry_run=a.dry_run)))
+        print(json.dumps(project.sync_history(a.repo, since=a.since, limit=a.limit, dry_run=a.dry_run, tags=not a.merges_only, merges=not a.tags_only, least=a.min_importance)))
     else:
         project.export(a.path)
 

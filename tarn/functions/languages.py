@@ -7,12 +7,39 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions of each language.
+# The language of each file extension.
 EXTENSIONS = {
-    "python": "py", "javascript": "js mjs cjs", "typescript": "ts", "jsx": "jsx", "tsx": "tsx", "java": "java", "kotlin": "kt kts", "groovy": "groovy",
-    "c": "c h", "cpp": "cpp cc cxx hpp", "csharp": "cs", "go": "go", "rust": "rs", "haskell": "hs", "swift": "swift", "bash": "sh bash", "matlab": "m",
-    "makefile": "makefile mk", "objective_c": "objc", "php": "php", "ruby": "rb", "vue": "vue", "svelte": "svelte", "zig": "zig", "json": "json",
-    "yaml": "yaml yml", "toml": "toml", "hcl": "hcl tf", "markdown": "md markdown", "text": "txt", "pdf": "pdf",
+    "py": "python",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript",
+    "jsx": "jsx",
+    "tsx": "tsx",
+    "java": "java",
+    "kt": "kotlin", "kts": "kotlin",
+    "groovy": "groovy",
+    "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
+    "cs": "csharp",
+    "go": "go",
+    "rs": "rust",
+    "hs": "haskell",
+    "swift": "swift",
+    "sh": "bash", "bash": "bash",
+    "m": "matlab",
+    "makefile": "makefile", "mk": "makefile",
+    "objc": "objective_c",
+    "php": "php",
+    "rb": "ruby",
+    "vue": "vue",
+    "svelte": "svelte",
+    "zig": "zig",
+    "json": "json",
+    "yaml": "yaml", "yml": "yaml",
+    "toml": "toml",
+    "hcl": "hcl", "tf": "hcl",
+    "md": "markdown", "markdown": "markdown",
+    "txt": "text",
+    "pdf": "pdf",
 }
 TIER_BOOST = {"project": 1.0, "dependency": 0.7, "stdlib": 0.5}
 
@@ -24,7 +51,7 @@ def _map(pairs: dict) -> Column:
 def language_of(path: Column) -> Column:
     """Language of a path's extension whatever its case; ``unknown`` without a known one."""
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.coalesce(F.try_element_at(_map({e: lang for lang, es in EXTENSIONS.items() for e in es.split()}), extension), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(_map(EXTENSIONS), extension), F.lit("unknown"))
 
 
 def boost_of(tier: Column, boosts: dict[str, float] | None = None) -> Column:

@@ -120,27 +120,32 @@ def _lines(message: Column) -> Column:
     return F.split(F.coalesce(message, F.lit("")), "\n")
 
 
+# The patterns of lines and merge messages below.
+BREAKING, FEATURE, FIX = r"(?i)breaking|^!:", r"(?i)^(feat|feature|add):", r"(?i)^(fix|bug):"
+MERGE_BRANCH, MERGE_REQUEST = r"Merge\s+branch\s+'([^']+)'(?:\s+into\s+'([^']+)')?", r"Merge\s+pull\s+request.*from\s+(\S+)"
+VERSION = r"^v?(\d+\.\d+\.\d+)"
+
+
 def breaking_changes(message: Column) -> Column:
-    return F.transform(F.filter(_lines(message), lambda x: x.rlike(r"(?i)breaking|^!:")), lambda x: F.trim(x))
+    return F.transform(F.filter(_lines(message), lambda x: x.rlike(BREAKING)), lambda x: F.trim(x))
 
 
 def feature_lines(message: Column) -> Column:
-    return F.transform(F.filter(_lines(message), lambda x: x.rlike(r"(?i)^(feat|feature|add):")), lambda x: F.trim(x))
+    return F.transform(F.filter(_lines(message), lambda x: x.rlike(FEATURE)), lambda x: F.trim(x))
 
 
 def fix_lines(message: Column) -> Column:
-    return F.transform(F.filter(_lines(message), lambda x: x.rlike(r"(?i)^(fix|bug):")), lambda x: F.trim(x))
+    return F.transform(F.filter(_lines(message), lambda x: x.rlike(FIX)), lambda x: F.trim(x))
 
 
 def merge_branches(message: Column) -> tuple[Column, Column]:
     """Source and target branch of a merge message; null where it names none."""
-    branch = r"Merge\s+branch\s+'([^']+)'(?:\s+into\s+'([^']+)')?"
     part = lambda pattern, g: F.nullif(F.regexp_extract(message, pattern, g), F.lit(""))
-    return F.coalesce(part(branch, 1), part(r"Merge\s+pull\s+request.*from\s+(\S+)", 1)), part(branch, 2)
+    return F.coalesce(part(MERGE_BRANCH, 1), part(MERGE_REQUEST, 1)), part(MERGE_BRANCH, 2)
 
 
 def version(tag: Column) -> Column:
-    return F.nullif(F.regexp_extract(tag, r"^v?(\d+\.\d+\.\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(tag, VERSION, 1), F.lit(""))
 
 
 def char_count(code: Column) -> Column:

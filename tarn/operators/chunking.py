@@ -1,11 +1,13 @@
 """Chunks from lines of text: splits, merges, gaps and fixed windows.
 
-Order-dependent folds run per file inside an expression (``aggregate`` over an array
-bounded by one file), so files are spread over the cluster and nothing is collected.
+Order-dependent folds run over the sizes of one file's lines or chunks (a few numbers for each,
+in Arrow batches) and say where chunks start; texts stay in the JVM and are cut there, so files
+are spread over the cluster, nothing is shuffled to be cut, and time grows with the lines.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,32 +34,37 @@ def fixed_lines(files: DataFrame, n: int, path: str = "file_path", text: str = "
     return rows.select("file_path", F.concat("file_path", F.lit(":L"), start, F.lit("-"), end).alias("symbol"), start.alias("start_line"), end.alias("end_line"), code.alias("code"))
 
 
-def _cut(lines: Column, weight, most: int) -> Column:
-    """Number of the chunk of each line, as an array: a chunk ends before the line that overflows it."""
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("size"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("parts"))
+def _starts(weights: Column, most: int) -> Column:
+    """First line (from 0) of each chunk: a chunk ends before the line that overflows it."""
 
-    def step(s: Column, line: Column) -> Column:
-        w = weight(line)
-        over = (s["size"] + w > most) & (s["held"] > 0)
-        part = s["part"] + F.when(over, 1).otherwise(0)
-        return F.struct(part.alias("part"), F.when(over, w).otherwise(s["size"] + w).alias("size"), F.when(over, 1).otherwise(s["held"] + 1).alias("held"), F.concat(s["parts"], F.array(part)).alias("parts"))
+    def fold(rows: pa.Array) -> pa.Array:
+        out = []
+        for sizes in rows.to_pylist():
+            starts, size = [0], 0
+            for i, w in enumerate(sizes):
+                if size + w > most and i > starts[-1]:
+                    starts.append(i)
+                    size = 0
+                size += w
+            out.append(starts)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return F.aggregate(lines, start, step, lambda s: s["parts"])
+    return F.arrow_udf(fold, "array<int>")(weights)
 
 
-def _grouped(rows: DataFrame, keys: list[str], first_line: str) -> DataFrame:
-    """Join the lines ``_lines`` of equal ``_parts`` to chunks."""
-    lines = rows.select(*keys, first_line, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), F.col("_parts").alias("part"))).alias("_pos", "_x"))
-    lines = lines.select(*keys, first_line, "_pos", F.col("_x.line").alias("line"), F.col("_x.part").alias("part"))
-    out = lines.groupBy(*keys, first_line, "part").agg(F.min("_pos").alias("a"), F.max("_pos").alias("b"), F.array_sort(F.collect_list(F.struct("_pos", "line"))).alias("ls"))
-    return out.select(*keys, "part", (F.col(first_line) + F.col("a")).alias("start_line"), (F.col(first_line) + F.col("b")).alias("end_line"), F.array_join(F.col("ls.line"), "\n").alias("code"))
+def _cut(rows: DataFrame, keys: list[str], weight, most: int, first_line: Column) -> DataFrame:
+    """Chunks of the array ``_lines`` of each row: ``keys, part`` (from 0), ``start_line, end_line, code``."""
+    rows = rows.withColumn("_starts", _starts(F.transform("_lines", weight), most))
+    rows = rows.select(*keys, "_lines", "_starts", first_line.alias("_first"), F.posexplode("_starts").alias("part", "_a"))
+    end = F.coalesce(F.get("_starts", F.col("part") + 1), F.size("_lines"))
+    code = F.array_join(F.slice("_lines", F.col("_a") + 1, end - F.col("_a")), "\n")
+    return rows.select(*keys, "part", (F.col("_first") + F.col("_a")).alias("start_line"), (F.col("_first") + end - 1).alias("end_line"), code.alias("code"))
 
 
 def fixed_chars(files: DataFrame, most: int, path: str = "file_path", text: str = "text") -> DataFrame:
     """Chunks of whole lines of at most ``most`` characters, a newline each counted (a longer line alone)."""
-    rows = files.select(F.col(path).alias("file_path"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"), F.lit(1).alias("_first"))
-    rows = rows.withColumn("_parts", _cut(F.col("_lines"), lambda x: F.length(x) + 1, most))
-    return _grouped(rows, ["file_path"], "_first")
+    rows = files.select(F.col(path).alias("file_path"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
+    return _cut(rows, ["file_path"], lambda x: F.length(x) + 1, most, F.lit(1)).drop("part")
 
 
 def split_oversized(chunks: DataFrame, most: int = MAX_SIZE) -> DataFrame:
@@ -66,9 +73,8 @@ def split_oversized(chunks: DataFrame, most: int = MAX_SIZE) -> DataFrame:
     keys = ["file_path", "symbol", "chunk_type", "language", "parent_header", "start_line", "end_line"]
     small = chunks.filter(_solid(F.col("code")) <= most).select(*keys, "code")
     large = chunks.filter(_solid(F.col("code")) > most).select(*keys, F.split("code", "\n").alias("_lines"))
-    large = large.withColumn("_parts", _cut(F.col("_lines"), _size, most)).withColumn("_first", F.col("start_line")).withColumn("_end", F.col("end_line"))
-    own = ["file_path", "symbol", "chunk_type", "language", "parent_header", "_end"]
-    parts = _grouped(large, own, "_first").withColumn("symbol", F.concat("symbol", F.lit("_part"), F.col("part") + 1))
+    own = ["file_path", "symbol", "chunk_type", "language", "parent_header"]
+    parts = _cut(large, own, _size, most, F.col("start_line")).withColumn("symbol", F.concat("symbol", F.lit("_part"), F.col("part") + 1))
     return small.unionByName(parts.select(*keys, "code"))
 
 
@@ -78,24 +84,34 @@ def greedy_merge(chunks: DataFrame, most: int = MAX_SIZE, part: float = MERGE_PA
     Sizes are looked at before a merge, so a result may exceed ``most``.  The end line is that of
     the chunk merged in, or the larger of the two with ``grow_end``.  Type and language are the first's."""
     item = F.struct("start_line", "end_line", "symbol", "code", "chunk_type", "language")
-    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("items"))
     limit = most * part
-    kind = "array<struct<start_line:int,end_line:int,symbol:string,code:string,chunk_type:string,language:string>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end_line"] + 1 >= x["start_line"])
-        joins = joins & (_solid(F.try_element_at(done, F.lit(-1))["code"]) < limit) & (_solid(x["code"]) < limit)
-        end = F.greatest(last["end_line"], x["end_line"]) if grow_end else x["end_line"]
-        merged = F.struct(
-            last["start_line"].alias("start_line"), end.alias("end_line"), F.concat(last["symbol"], F.lit("+"), x["symbol"]).alias("symbol"),
-            F.concat(last["code"], F.lit("\n"), x["code"]).alias("code"), last["chunk_type"].alias("chunk_type"), last["language"].alias("language"),
-        )
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(x)))
-
-    items = F.transform("items", lambda x: F.struct(*[x[c].cast(t).alias(c) for c, t in (("start_line", "int"), ("end_line", "int"), ("symbol", "string"), ("code", "string"), ("chunk_type", "string"), ("language", "string"))]))
-    merged = rows.select("file_path", F.explode(F.aggregate(items, F.array().cast(kind), step)).alias("c"))
-    return merged.select("file_path", "c.*")
+
+    def fold(starts: pa.Array, ends: pa.Array, sizes: pa.Array) -> pa.Array:
+        """Index of the first chunk of each merged one."""
+        out = []
+        for a, b, n in zip(starts.to_pylist(), ends.to_pylist(), sizes.to_pylist()):
+            firsts, end, size = [], None, None
+            for i in range(len(a)):
+                known = None not in (end, size, a[i], n[i])
+                if i and known and end + 1 >= a[i] and size < limit and n[i] < limit:
+                    end, size = max(end, b[i]) if grow_end and b[i] is not None else b[i], size + n[i]
+                else:
+                    firsts.append(i)
+                    end, size = b[i], n[i]
+            out.append(firsts)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    each = lambda f: F.transform("items", f)
+    firsts = F.arrow_udf(fold, "array<int>")(each(lambda x: x["start_line"].cast("int")), each(lambda x: x["end_line"].cast("int")), each(lambda x: _solid(x["code"])))
+    rows = rows.withColumn("firsts", firsts).select("file_path", "items", "firsts", F.posexplode("firsts").alias("i", "a"))
+    stop = F.coalesce(F.get("firsts", F.col("i") + 1), F.size("items"))
+    rows = rows.select("file_path", F.slice("items", F.col("a") + 1, stop - F.col("a")).alias("m"))
+    end = F.array_max("m.end_line") if grow_end else F.element_at("m.end_line", -1)
+    return rows.select(
+        "file_path", F.col("m")[0]["start_line"].cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join("m.symbol", "+").alias("symbol"), F.array_join("m.code", "\n").alias("code"),
+        F.col("m")[0]["chunk_type"].alias("chunk_type"), F.col("m")[0]["language"].alias("language"),
+    )
 
 
 def deduplicate(chunks: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:

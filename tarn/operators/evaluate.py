@@ -53,13 +53,29 @@ def weighted_mean(rows: DataFrame, value: str, weight: str, by: list[str]) -> Da
 
 
 def latency(rows: DataFrame, value: str, by: str, cuts: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Element int(n * q) of the sorted values (from 0, not interpolated), by rank rather than by collecting."""
-    w = Window.partitionBy(by)
-    ranked = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
+    """Element int(n * q) of the sorted values (from 0, not interpolated).
+
+    Values are range-partitioned, so a group of any size is ranked by many tasks: within a partition, after the
+    counts of the partitions before (one row for each group and partition)."""
+    dealt = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("_v")).repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id())
+    counts = dealt.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_c").over(group).alias("_n"))
+    inner = F.row_number().over(Window.partitionBy(by, "_part").orderBy("_v")) - 1
+    ranked = dealt.withColumn("_i", inner).join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p"))).withColumn("_i", F.col("_i") + F.col("_before"))
     at = [F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q), F.col("_v"))).alias(f"p{round(q * 100)}") for q in cuts]
     return ranked.groupBy(by).agg(*at)
 
 
+def select_queries(queries: DataFrame, difficulty: str | None = None, category: str | None = None) -> DataFrame:
+    """Queries of a difficulty and a category."""
+    for column, wanted in (("difficulty", difficulty), ("category", category)):
+        if wanted:
+            queries = queries.filter(F.col(column) == wanted)
+    return queries
+
+
 def match_metrics(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """MRR and hit at k where a result counts if an expected text is part of its symbol or path, whatever the case.
 

@@ -19,6 +19,18 @@ def entry_points(edges: DataFrame) -> DataFrame:
     return every.join(edges.select(F.col("to_entity").alias("entity")).distinct(), "entity", "left_anti")
 
 
+def reachable(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
+    """``entity, hop``: entities within ``hops`` steps of those at the start, each at its first hop.  One join of the
+    newest entities with the edges for each hop."""
+    seen = edges.sparkSession.createDataFrame([(e, 0) for e in dict.fromkeys(start)], "entity string, hop int")
+    new = seen
+    for hop in range(1, hops + 1):
+        step = edges.join(new.select(F.col("entity").alias("from_entity")), "from_entity").select(F.col("to_entity").alias("entity")).distinct()
+        new = step.join(seen, "entity", "left_anti").withColumn("hop", F.lit(hop))
+        seen = seen.unionByName(new)
+    return seen
+
+
 def _first_names(entities: DataFrame, found: DataFrame) -> DataFrame:
     """Entities of found chunks (``chunk_id, at``), each name once, in order of discovery."""
     rows = entities.join(found, "chunk_id")

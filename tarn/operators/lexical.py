@@ -101,7 +101,8 @@ def search_one(index: TextIndex, text: str, k: int | None = 10) -> DataFrame:
     near = F.lit(False)
     for t in sorted({(r.token, r.prefix) for r in wanted}):
         near = near | (F.col("term").startswith(t[0]) if t[1] else F.col("term") == t[0])
-    scored = bm25(TextIndex(index.postings.filter(near), index.lengths), rows).select("chunk_id", (F.col("bm25") / 100).alias("score"))
+    terms = index.terms.filter(near) if index.terms is not None else None
+    scored = bm25(TextIndex(index.postings.filter(near), index.lengths, terms), rows).select("chunk_id", (F.col("bm25") / 100).alias("score"))
     return scored if k is None else scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 

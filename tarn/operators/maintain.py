@@ -51,6 +51,11 @@ def health(ratio: Column) -> Column:
     return F.when(ratio < 0.1, "healthy").when(ratio < 0.2, "acceptable").when(ratio < 0.4, "degraded").otherwise("critical")
 
 
+def advice(ratio: Column) -> Column:
+    """What to do about a share of stale chunks."""
+    return F.when(ratio < 0.1, "No action needed").when(ratio < 0.2, "Compact soon").when(ratio < 0.4, "Compact now").otherwise("Rebuild the index")
+
+
 def staleness(manifest: DataFrame) -> DataFrame:
     """One row: distinct valid and stale chunks, their ratio, files, files with stale chunks, status."""
     sides = None

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PENDING_LIMIT = 100
+PENDING_LIMIT, SPREAD = 100, 64
 
 DECISIONS = (
     "id long, session_id string, title string, description string, reasoning string, alternatives array<map<string,string>>, status string, category string, "
@@ -27,9 +27,9 @@ CHANGELOGS = (
 
 def retain_pending(decisions: DataFrame, most: int = PENDING_LIMIT) -> DataFrame:
     """All decided rows, and the newest ``most`` pending ones by creation and id."""
-    pending = F.col("status") == "pending"
-    order = Window.partitionBy(pending).orderBy(F.desc("created_at"), F.desc("id"))
-    return decisions.withColumn("_r", F.when(pending, F.row_number().over(order))).filter(F.col("_r").isNull() | (F.col("_r") <= most)).drop("_r")
+    pending = F.coalesce(F.col("status") == "pending", F.lit(False))
+    newest = decisions.filter(pending).orderBy(F.desc("created_at"), F.desc("id")).limit(most)  # a top-k of each task
+    return decisions.filter(~pending).unionByName(newest)
 
 
 def add_decisions(decisions: DataFrame, new: DataFrame, most: int = PENDING_LIMIT) -> DataFrame:
@@ -52,6 +52,14 @@ def reject(decisions: DataFrame, ids: list[int]) -> DataFrame:
     return decisions.withColumn("status", F.when(F.col("id").isin(ids) & (F.col("status") == "pending"), "rejected").otherwise(F.col("status")))
 
 
+def with_status(decisions: DataFrame, status: str | None = None, category: str | None = None) -> DataFrame:
+    """Decisions of a status and a category, newest first."""
+    for column, value in (("status", status), ("category", category)):
+        if value:
+            decisions = decisions.filter(F.col(column) == value)
+    return decisions.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def oldest_pending(decisions: DataFrame, n: int = 20) -> DataFrame:
     return decisions.filter("status = 'pending'").orderBy("created_at", "id").limit(n)
 
@@ -90,13 +98,21 @@ def changelogs(rows: DataFrame, n: int = 100, start: str | None = None, end: str
 
 def sync(existing: DataFrame, found: DataFrame, keys: list[str], *, least: str | None = None, limit: int = 50, order: list[Column] | None = None) -> DataFrame:
     """``found`` with ``outcome``: ``skipped`` below the importance or known already, ``added`` for the first ``limit``
-    others, ``left`` for the rest (they are looked at in ``order``)."""
+    others, ``left`` for the rest (they are looked at in ``order``).
+
+    Rows are ranked in SPREAD groups first; only the first ``limit`` of each meet in one task."""
     known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
     rows = found.join(known, keys, "left")
     ok = F.col("_known").isNull() & (level(F.col("importance")) >= level(F.lit(least)) if least else F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(F.col("_ok")).orderBy(*(order or [F.desc("commit_time"), *keys])))
-    rows = rows.withColumn("_ok", ok).withColumn("_r", rank)
-    return rows.withColumn("outcome", F.when(~F.col("_ok"), "skipped").when(F.col("_r") <= limit, "added").otherwise("left")).drop("_known", "_ok", "_r")
+    order = order or [F.desc("commit_time"), *keys]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = rows.withColumn("_ok", ok)
+    fit = rows.filter("_ok").withColumn("_part", F.pmod(F.xxhash64(*found.columns), F.lit(SPREAD))).withColumn("_r", rank("_part"))
+    first = fit.filter(F.col("_r") <= limit).withColumn("_r", rank()).withColumn("outcome", F.when(F.col("_r") <= limit, "added").otherwise("left"))
+    rest = fit.filter(F.col("_r") > limit).withColumn("outcome", F.lit("left"))
+    skipped = rows.filter("not _ok").withColumn("outcome", F.lit("skipped"))
+    names = [*found.columns, "outcome"]
+    return first.select(*names).unionByName(rest.select(*names)).unionByName(skipped.select(*names))
 
 
 def import_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], newest_wins: bool = False, time: str = "created_at") -> DataFrame:
@@ -111,6 +127,62 @@ def import_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], newes
     return both.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r", "_in")
 
 
+def search(decisions: DataFrame, events: DataFrame, logs: DataFrame, words: str, k: int = 10) -> DataFrame:
+    """``kind, ref, title, body, created_at`` of the newest k rows that hold ``words`` (whatever their case; ``%`` and ``_`` are wildcards):
+    decisions by title or description, events and changelogs by their summary."""
+    line = F.concat("event_type", F.lit(": "), "from_ref", F.lit(" → "), "to_ref")
+    kinds = [
+        decisions.select(F.lit("decision").alias("kind"), F.col("id").cast("string").alias("ref"), "title", F.col("description").alias("body"), "created_at"),
+        events.select(F.lit("timeline").alias("kind"), F.col("id").cast("string").alias("ref"), line.alias("title"), F.col("summary").alias("body"), "created_at"),
+        logs.select(F.lit("changelog").alias("kind"), F.col("tag").alias("ref"), F.col("tag").alias("title"), F.col("summary").alias("body"), F.col("date").alias("created_at")),
+    ]
+    pattern = f"%{words}%"
+    hits = [rows.filter(F.col("body").ilike(pattern) | ((F.col("kind") == "decision") & F.col("title").ilike(pattern))) for rows in kinds]
+    best = [rows.orderBy(F.desc("created_at"), F.desc("ref")).limit(k) for rows in hits]
+    return best[0].unionByName(best[1]).unionByName(best[2]).orderBy(F.desc("created_at"), "kind", F.desc("ref")).limit(k)
+
+
+def duplicate_tags(logs: DataFrame, new: DataFrame) -> DataFrame:
+    """``tag, n_rows, known``: tags of ``new`` that it repeats or that ``logs`` has already."""
+    known = logs.select("tag").distinct().withColumn("known", F.lit(True))
+    rows = new.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows")).join(known, "tag", "left")
+    return rows.withColumn("known", F.coalesce("known", F.lit(False))).filter("known or n_rows > 1")
+
+
+def numbered(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """``existing`` and after it ``new``, whose ids follow the largest one without gaps: a row's place in its
+    partition after the counts of the partitions before."""
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    rows = new.drop("id").withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").crossJoin(F.broadcast(top))
+    rows = rows.withColumn("id", F.col("_top") + F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_top", "_m", "_part", "_before")
+    return existing.unionByName(rows, allowMissingColumns=True)
+
+
+def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a document that :func:`export_memory` wrote."""
+    schema = f"version string, timeline array<struct<{_fields(TIMELINE)}>>, changelogs array<struct<{_fields(CHANGELOGS)}>>, decisions array<struct<{_fields(DECISIONS)}>>, pending array<struct<{_fields(DECISIONS)}>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    table = lambda name: rows.select(F.explode(name).alias("r")).select("r.*")
+    return {"timeline": table("timeline"), "changelogs": table("changelogs"), "decisions": table("decisions").unionByName(table("pending"))}
+
+
+def _fields(schema: str) -> str:
+    """``name: type, ...`` of a table's schema."""
+    out, depth, item = [], 0, ""
+    for c in schema + ",":
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, kind = item.strip().split(" ", 1)
+            out.append(f"{name}: {kind.replace('struct<', 'struct<')}")
+            item = ""
+        else:
+            item += c
+    return ", ".join(out)
+
+
 def export_memory(decisions: DataFrame, events: DataFrame, logs: DataFrame, n: int = 100, pending: bool = False) -> DataFrame:
     """One row, one JSON document: the newest ``n`` events and changelogs, all approved decisions, and pending ones if asked."""
     packed = lambda df, name: df.agg(F.collect_list(F.struct("*")).alias(name))

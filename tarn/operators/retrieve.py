@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions.languages import boost_of
 from ..functions.vectors import cosine, l2
 
 RRF = 60
+BLOCK = 1024  # vectors of a block of a batched search
 
 
 def search_semantic(vectors: DataFrame, query: list[float], k: int | None, *, ref: str = "chunk_id", embedding: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
@@ -26,14 +32,53 @@ def search_semantic(vectors: DataFrame, query: list[float], k: int | None, *, re
 
 
 def search_semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, *, ref: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
-    """Many queries (``query_id, q``) at once: one scan of the vectors against the broadcast queries.
-    The number of queries is the caller's and small beside the vectors."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", "q"))).filter(F.size(embedding) == F.size("q"))
-    scored = pairs.select("query_id", ref, cosine(F.col(embedding), F.col("q")).alias("score"))
+    """Many queries (``query_id, q``) against all vectors: ``query_id, ref, score, rank``.
+
+    Both sides are packed into blocks of BLOCK rows; a pair of blocks is one matrix product that gives the best k
+    of its block only, so what is shuffled is k rows for each query and block.  Nothing is broadcast or
+    collected; the work is queries times vectors, as no index is asked for.  Vectors of another length than a
+    query's are skipped; scores are rounded to 12 decimals, so that equal vectors tie and go by ``ref``."""
+    packed = lambda rows, key, vector: _packed(rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("n")))
+    left = packed(queries, "query_id", "q").withColumnsRenamed({"keys": "qs", "vs": "qv"})
+    pairs = packed(vectors, ref, embedding).join(left, "n")
+    kinds = queries.schema["query_id"].dataType, vectors.schema[ref].dataType
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n = batch.column("n")[i].as_py()
+                refs, ids = (batch.column(c)[i].values for c in ("keys", "qs"))
+                v, q = (batch.column(c)[i].values.to_numpy().reshape(-1, n) for c in ("vs", "qv"))
+                lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                score = np.round(np.divide(q @ v.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), 12)
+                order = pc.rank(refs, tiebreaker="first").to_numpy()  # equal scores go by ref
+                top = np.stack([np.lexsort((order, -row))[:k] for row in score])
+                row = np.repeat(np.arange(len(top)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), refs.take(pa.array(top.ravel())), pa.array(score[row, top.ravel()])], ["query_id", ref, "score"])
+
+    schema = StructType().add("query_id", kinds[0]).add(ref, kinds[1]).add("score", DoubleType())
+    scored = pairs.select("n", "keys", "vs", "qs", "qv").mapInArrow(best, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ref))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``n, keys, vs``: blocks of up to BLOCK rows ``key, v, n`` of one length, packed where they are, without a shuffle."""
+    kind = rows.schema["key"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in pc.unique(batch.column("n")).to_pylist():
+                some = batch.filter(pc.equal(batch.column("n"), n))
+                for at in range(0, some.num_rows, BLOCK):
+                    part = some.slice(at, BLOCK)
+                    flat = part.column("v").flatten()
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("key"), flat)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *lists], ["n", "keys", "vs"])
+
+    return rows.mapInArrow(pack, StructType().add("n", IntegerType()).add("keys", ArrayType(kind)).add("vs", ArrayType(DoubleType())))
+
+
 def weigh_tiers(results: DataFrame, k: int, *, include_deps: bool = True, boosts: dict[str, float] | None = None, tier: str = "tier", key: str = "chunk_id") -> DataFrame:
     """Scores times the weight of their tier, optionally of project rows only, best k."""
     rows = results.withColumn("score", F.col("score") * boost_of(F.col(tier), boosts))
@@ -68,6 +113,11 @@ def one_per_place(results: DataFrame, k: int) -> DataFrame:
     return results.withColumn("_r", first).filter("_r = 1").drop("_r").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def by_key(chunks: DataFrame, value: object, key: str = "uri") -> DataFrame:
+    """The chunk of one URI or id; no row without it.  An equality filter, which reaches the scan."""
+    return chunks.filter(F.col(key) == F.lit(value))
+
+
 def with_chunks(results: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Rows of the results' chunks; results are at most k rows and are broadcast."""
     return chunks.join(F.broadcast(results), key).orderBy(F.desc("score"), key)

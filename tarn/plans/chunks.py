@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import languages, text
 from ..operators import chunking, maintain
+from ..sources.tables import read_spread, read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_spread(spark, sf_dir, "documents")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as chunks of one line each."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = read_spread(spark, sf_dir, "conversations")
     line = F.col("turn").cast("int") + 1
     return rows.select(
         F.col("conv_id").cast("string").alias("file_path"), F.concat(F.lit("t"), "turn").alias("symbol"), F.col("role").alias("chunk_type"), F.lit("text").alias("language"),
@@ -71,9 +72,12 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select(F.col("user_id").alias("file_path"), F.col("event_id").alias("id"), (F.col("event_id") % 1000).cast("int").alias("start_line"), ((F.col("event_id") % 1000) + F.floor(F.col("value") % 150)).cast("int").alias("end_line"), "event_type")
-    return chunking.overlapping(rows.filter("event_type = 'error'").drop("event_type"), rows.filter("event_type = 'signup'").drop("event_type"), "file_path")
+    """Ranges of a user's events that overlap ranges of the same customer's orders."""
+    events, orders = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "orders")
+    line = lambda c: (F.col(c) % 1000).cast("int")
+    a = events.select(F.col("user_id").alias("file_path"), F.col("event_id").alias("id"), line("event_id").alias("start_line"), (line("event_id") + F.floor(F.col("value") % 150)).cast("int").alias("end_line"))
+    b = orders.select(F.col("o_custkey").alias("file_path"), F.col("o_orderkey").alias("id"), line("o_orderkey").alias("start_line"), (line("o_orderkey") + F.floor(F.col("o_totalprice") % 150)).cast("int").alias("end_line"))
+    return chunking.overlapping(a, b, "file_path")
 
 
 def sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_code_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.code_query(F.col("html")).alias("terms"))
+    return read_spread(spark, sf_dir, "pages").select("page_id", text.code_query(F.col("html")).alias("terms"))
 
 
 def nl_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +217,9 @@ ORACLES = {
         k AS (SELECT doc_id, file_path, min(i) AS a, max(i) AS b, max(n) AS n, string_agg(line, chr(10) ORDER BY i) AS code FROM g WHERE open GROUP BY doc_id, file_path, run)
         SELECT file_path, CASE WHEN doc_id % 7 = 0 OR n < 2 THEN 'module_content' ELSE 'module_gap_' || a || '_' || b END AS symbol, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, md5(code) AS code
         FROM k WHERE regexp_matches(code, '[^\\s]')""",
-    "overlap_join": """WITH r AS (SELECT user_id AS file_path, event_id AS id, event_id % 1000 AS s, event_id % 1000 + CAST(floor(value % 150) AS BIGINT) AS e, event_type FROM events)
-        SELECT a.file_path, a.id AS a_id, b.id AS b_id FROM r a JOIN r b ON a.file_path = b.file_path AND a.s <= b.e AND b.s <= a.e WHERE a.event_type = 'error' AND b.event_type = 'signup'""",
+    "overlap_join": """WITH a AS (SELECT user_id AS file_path, event_id AS id, event_id % 1000 AS s, event_id % 1000 + CAST(floor(value % 150) AS BIGINT) AS e FROM events),
+        b AS (SELECT o_custkey AS file_path, o_orderkey AS id, o_orderkey % 1000 AS s, o_orderkey % 1000 + CAST(floor(o_totalprice % 150) AS BIGINT) AS e FROM orders)
+        SELECT a.file_path, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.file_path = b.file_path AND a.s <= b.e AND b.s <= a.e""",
     "sanitize_query": r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '[\w\p{L}]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\w\p{L}]+'), 1) AS i FROM benchmark),
         u AS (SELECT item_id, w, i, row_number() OVER (PARTITION BY item_id, lower(w) ORDER BY i) AS r FROM t WHERE regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}')),
         k AS (SELECT item_id, w, i, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM u WHERE r = 1)

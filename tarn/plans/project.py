@@ -181,15 +181,8 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_hop_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by their distance from one region, each at its first hop: one batched join a hop."""
-    edges = _edges(spark, sf_dir)
-    seen = edges.select(F.lit("ASIA").alias("entity"), F.lit(0).alias("hop")).limit(1)
-    new = seen
-    for hop in (1, 2):
-        step = edges.join(new.select(F.col("entity").alias("from_entity")), "from_entity").select(F.col("to_entity").alias("entity")).distinct()
-        new = step.join(seen, "entity", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(new)
-    return seen
+    """Nodes by their distance from one region, each at its first hop."""
+    return graph.reachable(_edges(spark, sf_dir), ["ASIA"], 2)
 
 
 _RUN = """d AS (SELECT * FROM documents JOIN labels USING (doc_id)),

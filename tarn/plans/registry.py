@@ -1,6 +1,6 @@
 """All registered queries with their SQL."""
 
-from . import chunks, project, search
+from . import chunks, project, search, upkeep
 
-QUERIES = search.QUERIES | chunks.QUERIES | project.QUERIES
-ORACLES = search.ORACLES | chunks.ORACLES | project.ORACLES
+QUERIES = search.QUERIES | chunks.QUERIES | project.QUERIES | upkeep.QUERIES
+ORACLES = search.ORACLES | chunks.ORACLES | project.ORACLES | upkeep.ORACLES

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical, retrieve
+from ..sources.tables import fingerprint, read_spread, read_table, shared_folder
 
 QUERY = "thanedble heitkeit mentre the_of"
 TERMS = ["thanedble", "erinan", "heitlich", "queda", "onthe"]
@@ -14,17 +17,30 @@ TERMS = ["thanedble", "erinan", "heitlich", "queda", "onthe"]
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as chunks: source stands for symbol and file, language for language."""
     tier = F.when(F.col("source").isin("src1", "src2"), "dependency").when(F.col("source") == "src3", "stdlib").when(F.col("source") == "src4", "vendored").when(F.col("source") == "src5", None).otherwise("project")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return read_spread(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("symbol"), F.col("text").alias("code"), F.col("source").alias("file_path"), F.col("lang").alias("language"), tier.alias("tier")
     )
 
 
+_saved: dict[tuple, str] = {}  # where the index of a table is, by application, table and its files
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> lexical.TextIndex:
+    """The index of ``documents``, built once for as long as the table's files stay the same, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _saved:
+        path = f"{shared_folder(spark)}/tarn-text-index-{uuid.uuid4().hex}"
+        lexical.build_index(chunks(spark, sf_dir)).save(path)
+        _saved[key] = path
+    return lexical.TextIndex.load(spark, _saved[key])
+
+
 def _lexical(spark: SparkSession, sf_dir: str, query: str, k: int) -> DataFrame:
-    return lexical.search_one(lexical.build_index(chunks(spark, sf_dir)), query, k)
+    return lexical.search_one(saved_index(spark, sf_dir), query, k)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "chunk_id")
+    return read_table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
 
 
 #: A query vector with a closed form, so that SQL can state it too.
@@ -41,7 +57,7 @@ def lexical_phrase_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_batch_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = spark.createDataFrame(list(enumerate(TERMS)), "query_id int, query string")
-    hits = lexical.search_lexical(lexical.build_index(chunks(spark, sf_dir)), queries, 3)
+    hits = lexical.search_lexical(saved_index(spark, sf_dir), queries, 3)
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -70,8 +86,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
-    scored = lexical.bm25(lexical.build_index(rows), lexical.phrases(spark.createDataFrame([(0, QUERY)], "query_id int, query string")))
-    return rows.select("chunk_id", "file_path", "tier").join(scored.select("chunk_id", (F.col("bm25") / 100).alias("score")), "chunk_id")
+    return rows.select("chunk_id", "file_path", "tier").join(lexical.search_one(saved_index(spark, sf_dir), QUERY, None), "chunk_id")
 
 
 def file_agg_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +111,7 @@ def deps_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_table(spark, sf_dir, "documents")
     return lexical.memory_like(rows, "lich_n%Keit", ["text", "source"], [F.desc("doc_id")], 25).select("doc_id", "score")
 
 

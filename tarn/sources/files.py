@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.languages import language_of
 
@@ -46,6 +50,22 @@ def nested_patterns(directory: str, lines: list[str]) -> list[str]:
     return out
 
 
+# What is left out unless a later pattern takes it back in.
+DEFAULT_EXCLUDES = "node_modules/ __pycache__/ .git/ venv/ *venv build dist .venv/ *.pyc *.pyo *.so *.dylib .pci/".split()
+
+
+def patterns_of(own: list[str], ignore_files: dict[str, list[str]] | None = None) -> list[str]:
+    """Default patterns, a project's own, and those of its ignore files (``directory: lines``), each once, in this order."""
+    found = [p for directory in sorted(ignore_files or {}) for p in nested_patterns(directory, ignore_files[directory])]
+    return list(dict.fromkeys([*DEFAULT_EXCLUDES, *own, *found]))
+
+
+def repo_relative(path: Column, root: str) -> Column:
+    """A path relative to the repository: forward slashes, without the root and leading dots."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(plain, rf"^{re.escape(root.rstrip('/'))}/", ""), r"^(?:\./)+", "")
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether a relative path is ignored: the last pattern that matches decides."""
     out = F.lit(False)
@@ -66,6 +86,37 @@ def list_files(spark: SparkSession, root: str, *, patterns: list[str] = (), max_
     return out if content else out.drop("content")
 
 
+def with_content(rows: DataFrame, path: str = "file_path") -> DataFrame:
+    """``rows`` with the bytes of each file as ``content``, read where the rows are; null where a file is gone."""
+
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for at in range(batch.num_rows):  # one file at a time: files are up to some megabytes each
+                part = batch.slice(at, 1)
+                name = re.sub(r"^file:/+", "/", part.column(path)[0].as_py())
+                system, inner = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+                try:
+                    with system.open_input_file(inner) as file:
+                        content = file.read()
+                except FileNotFoundError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([content], pa.binary())], [*part.schema.names, "content"])
+
+    return rows.mapInArrow(read, StructType([*rows.schema.fields]).add("content", "binary"))
+
+
+def ignore_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Lines of the ``.gitignore`` of every directory below ``root`` that leads to a file, by the directory relative to the
+    root.  Tasks look for them (Spark's readers skip names with a leading dot); only these few short files are collected."""
+    rows = list_files(spark, root)
+    folder, inner = F.expr("left(file_path, length(file_path) - length(rel_path))"), F.split("rel_path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.size(inner) - 1), lambda n: F.array_join(F.slice(inner, F.lit(1), n), "/")))
+    dirs = rows.select(folder.alias("root"), above.alias("directory")).distinct()
+    at = F.concat("root", "directory", F.when(F.col("directory") == "", "").otherwise("/"), F.lit(".gitignore"))
+    found = with_content(dirs.select("directory", at.alias("file_path"))).filter("content is not null")
+    return {r.directory: r.lines for r in found.select("directory", F.split(text_of(F.col("content")), "\n").alias("lines")).collect()}
+
+
 def text_of(content: Column) -> Column:
     """UTF-8 text of a file; malformed bytes become replacement characters."""
     return F.make_valid_utf8(content.cast("string"))
@@ -96,16 +147,16 @@ def matching_lines(files: DataFrame, words: list[str], *, per_file: int = 3, con
 
 # Marker files of languages, and the least confidence that some of them give.
 MARKERS = {
-    "python": "requirements.txt setup.py pyproject.toml Pipfile poetry.lock setup.cfg tox.ini pytest.ini",
-    "typescript": "tsconfig.json package.json",
-    "javascript": "package.json package-lock.json yarn.lock pnpm-lock.yaml .eslintrc .prettierrc",
-    "go": "go.mod go.sum Gopkg.toml",
-    "rust": "Cargo.toml Cargo.lock",
-    "java": "pom.xml build.gradle settings.gradle build.gradle.kts gradle.properties",
-    "cpp": "CMakeLists.txt Makefile configure.ac meson.build",
-    "csharp": "*.csproj *.sln *.fsproj paket.dependencies",
-    "ruby": "Gemfile Gemfile.lock .ruby-version Rakefile",
-    "php": "composer.json composer.lock",
+    "python": ["requirements.txt", "setup.py", "pyproject.toml", "Pipfile", "poetry.lock", "setup.cfg", "tox.ini", "pytest.ini"],
+    "typescript": ["tsconfig.json", "package.json"],
+    "javascript": ["package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".eslintrc", ".prettierrc"],
+    "go": ["go.mod", "go.sum", "Gopkg.toml"],
+    "rust": ["Cargo.toml", "Cargo.lock"],
+    "java": ["pom.xml", "build.gradle", "settings.gradle", "build.gradle.kts", "gradle.properties"],
+    "cpp": ["CMakeLists.txt", "Makefile", "configure.ac", "meson.build"],
+    "csharp": ["*.csproj", "*.sln", "*.fsproj", "paket.dependencies"],
+    "ruby": ["Gemfile", "Gemfile.lock", ".ruby-version", "Rakefile"],
+    "php": ["composer.json", "composer.lock"],
 }
 LEAST_CONFIDENCE = {"pyproject.toml": 0.90, "setup.py": 0.85, "tsconfig.json": 0.95, "Cargo.toml": 0.95, "go.mod": 0.95, "pom.xml": 0.90}
 
@@ -113,7 +164,7 @@ LEAST_CONFIDENCE = {"pyproject.toml": 0.90, "setup.py": 0.85, "tsconfig.json": 0
 def detect_languages(root_files: DataFrame, name: str = "name") -> DataFrame:
     """``language, confidence, evidence`` from the names of a root directory, best first."""
     spark = root_files.sparkSession
-    rows = [(lang, m, LEAST_CONFIDENCE.get(m, 0.0), i, len(ms.split())) for lang, ms in MARKERS.items() for i, m in enumerate(ms.split())]
+    rows = [(lang, m, LEAST_CONFIDENCE.get(m, 0.0), i, len(ms)) for lang, ms in MARKERS.items() for i, m in enumerate(ms)]
     markers = spark.createDataFrame(rows, "language string, marker string, least double, pos int, total int")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(F.col("marker"), F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
     hits = root_files.select(F.col(name).alias("_name")).join(F.broadcast(markers), F.rlike("_name", pattern))

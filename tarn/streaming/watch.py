@@ -17,6 +17,11 @@ def debounced(events: DataFrame, quiet: str = "2 seconds", *, root: str = "root"
     return out.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", F.array_sort("paths").alias("paths"))
 
 
+def settled(events: DataFrame, *, path: str = "file_path", change: str = "change", order: list[str] = ("ts",)) -> DataFrame:
+    """The last change of each path: what is left to be done when several events name one file."""
+    return events.groupBy(path).agg(F.max_by(change, F.struct(*order)).alias(change))
+
+
 def watch(spark: SparkSession, directory: str, schema: str, reindex: Callable[[DataFrame, int], None], *, checkpoint: str, quiet: str = "2 seconds", trigger: str = "2 seconds") -> StreamingQuery:
     """Run ``reindex`` with the debounced changes of each micro-batch of event files in ``directory``."""
     events = spark.readStream.schema(schema).json(directory)

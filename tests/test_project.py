@@ -67,3 +67,107 @@ def test_strict_search_finds_what_lies_below_dependencies(spark, tmp_path):
         assert [r.tier for r in got.collect()] == ["project"] * 2, mode
         assert project.search("target", 3, mode=mode, strict=True, where=F.col("file_path").startswith("own")).count() == 3, mode
     assert project.search("target", 1, mode="lexical", strict=True, boosts={"project": 50.0}).first().tier == "project"
+
+
+def test_memory_is_written_searched_exported_and_imported(spark, tmp_path):
+    project = Project(spark, str(tmp_path / "index"))
+    a = project.add_event("merge", "feature", "main", "Adds caching", files_changed=["a.py"], importance="high")
+    assert project.add_event("tag", "v1", "v2", "Second version") == a + 1
+    project.add_changelog("v1.2.0", "First caching release", features=["cache"])
+    with pytest.raises(ValueError):
+        project.add_changelog("v1.2.0", "again")
+    with pytest.raises(ValueError):
+        project.add_event("merge", "x", "y", "z", importance="huge")
+    one = project.add_decision("use caching", "keep results")
+    project.add_decision("drop it", "nothing")
+    project.decide(one, "design")
+    assert [r.title for r in project.search_memory("CACHING").collect()] == ["use caching"]
+    assert {r.kind for r in project.search_memory("caching", decisions_only=False).collect()} == {"decision", "timeline", "changelog"}
+    assert project.table("changelogs").first().version == "1.2.0"
+
+    project.export(str(tmp_path / "out"))
+    other = Project(spark, str(tmp_path / "other"))
+    other.add_event("merge", "v1", "v2", "known under other words")
+    assert other.import_memory(str(tmp_path / "out")) == {"added": 3, "skipped": 1}
+    assert other.import_memory(str(tmp_path / "out")) == {"added": 0, "skipped": 4}
+    got = other.table("decisions").collect()
+    assert [(r.title, r.status, r.category, r.session_id) for r in got] == [("use caching", "approved", "design", "imported")]
+    assert sorted(r.id for r in other.table("timeline").collect()) == [1, 2] and other.table("timeline").filter("from_ref = 'feature'").first().files_changed == ["a.py"]
+
+
+def test_settings_are_typed_and_used(spark, tmp_path, source, capsys):
+    project = Project(spark, str(tmp_path / "index"))
+    assert project.get("chunking.max_chunk_size") == 1200
+    assert project.set("chunking.greedy_merge", "no") is False and project.set("search.vector_weight", "0") == 0.0
+    for name, value, error in (("chunking.nothing", "1", KeyError), ("chunking.max_chunk_size", "many", ValueError)):
+        with pytest.raises(error):
+            project.set(name, value)
+    project.set("indexing.exclude_patterns", "main.py")
+    (source / "node_modules").mkdir()
+    (source / "node_modules" / "dep.py").write_text("def dep():\n    return 1\n")
+    (source / ".gitignore").write_text("*_skipped.py\n")
+    (source / "one_skipped.py").write_text("def skipped():\n    return 1\n")
+    project.index(str(source))
+    assert {r.file_path.rsplit("/", 1)[-1] for r in project.chunks().collect()} <= {"math_utils.py", ".gitignore"}
+    cli.main(["--root", str(tmp_path / "index"), "config", "chunking.greedy_merge"])
+    assert capsys.readouterr().out.strip() == "false"
+    row = project.status().first()
+    assert row.n_files >= 1 and row.n_bytes > 0 and row.age_hours == 0 and row.advice == "No action needed"
+    cli.main(["--root", str(tmp_path / "index"), "--format", "table", "--output", str(tmp_path / "status.txt"), "status"])
+    assert "│" in (tmp_path / "status.txt").read_text()
+
+
+def test_only_changed_files_are_read(spark, tmp_path, source, monkeypatch):
+    from tarn.sources import files
+
+    project = Project(spark, str(tmp_path / "index"))
+    project.index(str(source))
+    read = []
+    plain = files.with_content
+    monkeypatch.setattr(files, "with_content", lambda rows, **o: (read.extend(r.file_path for r in rows.collect()), plain(rows, **o))[1])
+    (source / "main.py").write_text("def main():\n    return 'changed'\n")
+    project.index(str(source))
+    assert [p.rsplit("/", 1)[-1] for p in read] == ["main.py"]
+
+
+def test_watching_indexes_again(spark, tmp_path, source):
+    import json
+
+    project = Project(spark, str(tmp_path / "index"))
+    project.index(str(source))
+    events = tmp_path / "events"
+    events.mkdir()
+    query = project.watch(str(events), str(source), checkpoint=str(tmp_path / "checkpoint"), trigger="1 second")
+    try:
+        (source / "fresh.py").write_text("def fresh_function():\n    return 3\n")
+        os.remove(source / "main.py")
+        for i, second in enumerate((0, 1, 3600)):  # the last one lets the watermark pass the session of the others
+            (events / f"{i}.json").write_text(json.dumps({"root": "r", "file_path": "fresh.py", "change": "modified", "ts": f"2024-01-01T{second // 3600:02}:00:{second % 3600:02}"}) + "\n")
+            query.processAllAvailable()
+        assert {r.file_path.rsplit("/", 1)[-1] for r in project.chunks().collect()} == {"math_utils.py", "fresh.py"}
+    finally:
+        query.stop()
+
+
+def test_chunks_of_rows_that_share_a_path(spark):
+    from tarn.operators import chunking
+
+    rows = spark.createDataFrame([("p", "l1\nl2\nl3"), ("p", "m1\nm2\nm3")], "file_path string, text string")
+    assert sorted(r.code for r in chunking.fixed_chars(rows, 1200).collect()) == ["l1\nl2\nl3", "m1\nm2\nm3"]
+    long = spark.createDataFrame([("q", "\n".join(f"line {i}" for i in range(60_000)))], "file_path string, text string")
+    got = chunking.fixed_chars(long, 1200).agg(F.count("*").alias("n"), F.max("end_line").alias("last")).first()
+    assert got.last == 60_000 and got.n > 400
+
+
+def test_code_query_words(spark):
+    from tarn.functions import text
+
+    cases = {
+        "def loadConfig(file_name): return json.loads(data)": "load Config loadConfig file name file_name json loads data json loads",
+        "HTTPServer self x": "HTTP Server HTTPServer", "": "",
+    }
+    rows = spark.createDataFrame(list(cases), "string")
+    got = {r.value: r.q for r in rows.select("value", text.code_query(F.col("value")).alias("q")).collect()}
+    assert got[""] == "" and got["HTTPServer self x"] == cases["HTTPServer self x"]
+    words = got["def loadConfig(file_name): return json.loads(data)"].split()
+    assert {"load", "Config", "loadConfig", "file", "name", "file_name", "json", "loads", "data"} <= set(words) and not {"def", "return"} & set(words)
