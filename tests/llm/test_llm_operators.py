@@ -799,3 +799,70 @@ def test_log_mel_equals_brute_force():
     chunk = media.CHUNK
     whole = media.resample(rng.integers(0, 256, 2 * chunk, dtype=np.uint8).astype(np.float32))
     assert chunk % media.UP == 0 and (chunk // media.HOP * media.HOP) % media.UP == 0 and len(whole) == 2 * chunk * up // down
+
+
+def brute_classes(texts):
+    """Smallest id of each near-duplicate class, by all pairs."""
+    sets = {i: shingled(t) for i, t in texts.items()}
+    number = {s: n for n, s in enumerate(sorted(set().union(*sets.values())))}
+    arrays = {i: [np.array(v, np.int64) for v in zip(*sorted((number[s], n) for s, n in c.items()))] for i, c in sets.items()}
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (not arrays[a] and not arrays[b]) or (arrays[a] and arrays[b] and near_dup.prob_jaccard(*arrays[a], *arrays[b]) >= 0.8):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def brute_contaminated(texts, items):
+    token, grams = (lambda t: WORD.findall(t.lower())), (lambda w, k: collections.Counter(zip(*(w[i:] for i in range(k)))))
+    words = {i: token(t) for i, t in texts.items()}
+    held, out = {i: set(grams(w, 5)) for i, w in words.items()}, set()
+    for text in items:
+        iw = token(text)
+        k = min(5, len(iw))
+        ig = grams(iw, k)
+        for i, w in words.items():
+            if k < 5 or ig.keys() & held[i]:
+                for s in range(max(1, len(w) - len(iw) + 1)):
+                    g = grams(w[s : s + len(iw)], k)
+                    if g & ig and sum((g & ig).values()) >= 0.8 * sum((g | ig).values()):
+                        out.add(i)
+                        break
+    return out
+
+
+def test_pipeline_keeps_the_ids_that_brute_force_keeps(spark, sf, docs):
+    import corpus_pipeline
+
+    table, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = corpus_pipeline.materialize(stage(spark, table, sf), "test-ids")
+        kept.append({r.doc_id: r.text for r in table.select("doc_id", "text").collect()})
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert kept[0].keys() == {r.doc_id for r in quality.classify(docs, labels).filter("keep").select("doc_id").collect()}
+    assert kept[1].keys() == set(brute_classes(kept[0]).values())
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert kept[2].keys() == kept[1].keys() - brute_contaminated(kept[1], items)
+    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, table, sf).collect())
+    plan = {r.doc_id: r for r in mixing.mix(table).collect()}
+    assert mixed.keys() <= kept[2].keys() and all(r.taken // r.size <= mixed[i] <= -(-r.taken // r.size) for i, r in plan.items() if r.size)
+
+
+def test_scratch_tables_go_when_nothing_reads_them(spark, docs):
+    from tarn.llm.common import discard, materialize, recording
+
+    with recording([]) as made:
+        a, b = materialize(docs.limit(3), "a"), materialize(docs.limit(4), "b")
+    discard(made, unless=b)
+    assert len(made) == 1 and b.count() == 4
+    with pytest.raises(Exception):
+        a.count()
