@@ -35,6 +35,15 @@ def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.
     return df.withColumn(column, run(F.col(text)))
 
 
+def embed_cached(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], cache: DataFrame, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """:func:`embed` for texts that ``cache`` (``key``, a digest of the text, and the vector) has not; each different text is
+    embedded once.  The rows with their vectors, and the next cache."""
+    keyed = df.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    missing = keyed.select(F.col("_key").alias("key"), F.col(text).alias("_text")).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+    grown = cache.select("key", column).unionByName(embed(missing, "_text", load, column).select("key", column))
+    return keyed.join(grown.withColumnRenamed("key", "_key"), "_key").drop("_key"), grown
+
+
 def chunk_text(symbol: Column, code: Column) -> Column:
     """What a chunk is embedded by."""
     return F.concat(symbol, F.lit("\n\n"), code)

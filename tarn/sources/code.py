@@ -12,6 +12,7 @@ import io
 import re
 import tokenize
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 
-SCANNED = frozenset("javascript typescript go rust java c cpp csharp ruby php".split())
+SCRIPT = frozenset(("javascript", "typescript"))
+SCANNED = frozenset("go rust java c cpp csharp ruby php".split())
 CONCEPTS = "file_path string, language string, symbol string, concept string, start_line int, end_line int, parent string"
 ENTITIES = "chunk_id long, seq int, name string, entity_type string, line int"
 
@@ -93,6 +95,55 @@ def scanned_concepts(code: str, ruby: bool = False) -> list[tuple[str, str, int,
     return out
 
 
+_TRIVIA = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_METHOD = re.compile(r"^\s*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::\s*[^;{]+)?\{")
+_FIELD = re.compile(r"^\s*(?:(?:static|public|private|protected|readonly)\s+)*(#?[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=;]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
+_VALUE = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?function\b")
+_ANONYMOUS = re.compile(r"^\s*(?:export\s+default\s+)?(?:async\s+)?function\s*\*?\s*\(")
+
+
+def script_concepts(code: str) -> list[tuple[str, str, int, int, str | None]]:
+    """Concepts of JavaScript and TypeScript: functions (declared, arrow, assigned; ``anonymous`` without a name), classes,
+    interfaces and type aliases, methods and function fields of classes, comments.  Braces in strings do not count."""
+    found = [(f"comment_{n}", "comment", n, n + m[0].count("\n"), None) for m in _TRIVIA.finditer(code) if m[0][0] == "/" for n in [code.count("\n", 0, m.start()) + 1]]
+    bare = _TRIVIA.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    lines, owners, out = bare.split("\n"), [], []
+    for i, line in enumerate(lines):
+        owners = [o for o in owners if o[1] > i]
+        owner = owners[-1] if owners else None
+        m, kind = _CLASS.match(line), "class"
+        if not m:
+            kind = "function"
+            m = _FUNCTION.match(line) or _VALUE.match(line)
+            if not m and owner and owner[2] == _depth(lines, owner[3], i):
+                m = _METHOD.match(line) or _FIELD.match(line)
+        name = "anonymous" if _ANONYMOUS.match(line) else next((g for g in m.groups() if g), None) if m else None
+        if not name or name in _NOT_NAMES:
+            continue
+        end = _block_end(lines, i)
+        out.append((name, "method" if kind == "function" and owner else kind, i + 1, end + 1, owner[0] if owner else None))
+        if kind == "class":
+            owners.append((name, end + 1, 1, i))
+    return out + found
+
+
+def _depth(lines: list[str], start: int, line: int) -> int:
+    """Open braces before ``line``, counted from the line of a class."""
+    return sum(x.count("{") - x.count("}") for x in lines[start:line])
+
+
+def _block_end(lines: list[str], start: int) -> int:
+    depth, opened = 0, False
+    for j in range(start, len(lines)):
+        depth += lines[j].count("{") - lines[j].count("}")
+        opened |= "{" in lines[j]
+        if opened and depth <= 0:
+            return j
+        if not opened and (lines[j].rstrip().endswith(";") or j > start + 3):
+            return start
+    return len(lines) - 1
+
+
 def concepts(files: DataFrame) -> DataFrame:
     """Concepts of ``file_path, language, text``; unknown languages and unreadable files have none."""
 
@@ -102,7 +153,8 @@ def concepts(files: DataFrame) -> DataFrame:
             for path, language, text in zip(frame["file_path"], frame["language"], frame["text"]):
                 if not text or not text.strip():
                     continue
-                found = python_concepts(text) if language == "python" else scanned_concepts(text, language == "ruby") if language in SCANNED else []
+                read = python_concepts if language == "python" else script_concepts if language in SCRIPT else partial(scanned_concepts, ruby=language == "ruby") if language in SCANNED else None
+                found = read(text) if read else []
                 rows += [(path, language, *c) for c in found]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CONCEPTS.split(", ")])
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -75,15 +77,54 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _at(name: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a name, with or without a scheme."""
+    plain = re.sub(r"^file:/+", "/", name)
+    return (fs.LocalFileSystem(), plain) if "://" not in plain else fs.FileSystem.from_uri(plain)
+
+
+def _below(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int, float]]:
+    """Path, size and time in whole seconds of every file below a folder but for version control's own; links to folders are not followed."""
+    if isinstance(system, fs.LocalFileSystem):
+        for here, inner, names in os.walk(folder):
+            inner[:] = [d for d in inner if d != ".git"]
+            for name in names:
+                path = f"{here.rstrip('/')}/{name}"
+                if os.path.isfile(path):
+                    found = os.stat(path)
+                    yield path, found.st_size, float(int(found.st_mtime))
+    else:
+        for x in system.get_file_info(fs.FileSelector(folder, recursive=True)):
+            if x.type == fs.FileType.File and "/.git/" not in x.path:
+                yield x.path, x.size, float((x.mtime_ns or 0) // 10**9)
+
+
 def list_files(spark: SparkSession, root: str, *, patterns: list[str] = (), max_mb: float = MAX_MB, content: bool = False, glob: str | None = None) -> DataFrame:
-    """``file_path, rel_path, mtime, size, language`` and ``content`` if asked for (it is not read otherwise)."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    rows = rows.filter((F.col("length") > 0) & (F.col("length") <= int(max_mb * 1024 * 1024)))
-    base = re.escape(root.split(":", 1)[-1].strip("/"))
-    rows = rows.withColumn("rel_path", F.regexp_replace("path", rf"^(?:[a-z]+:)?/*{base}/", "")).filter(~ignored(F.col("rel_path"), list(patterns)))
-    out = rows.select(F.col("path").alias("file_path"), "rel_path", F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), language_of(F.col("path")).alias("language"), "content")
-    return out if content else out.drop("content")
+    """``file_path, rel_path, mtime, size, language`` and ``content`` if asked for (it is not read otherwise).
+
+    The driver lists the root alone; tasks walk the folders in it.  Names with a leading dot or underscore are
+    files like others, which Spark's own readers would skip."""
+    system, top = _at(root)
+    top = top.rstrip("/")
+    prefix = "file:" if isinstance(system, fs.LocalFileSystem) else root.rstrip("/").removesuffix(top)
+    entries = system.get_file_info(fs.FileSelector(top))
+    starts = [(x.path, x.type == fs.FileType.Directory) for x in entries if x.base_name != ".git"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _at(root)
+        for batch in batches:
+            for path, folder in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                found = _below(system, path) if folder else ((x.path, x.size, float((x.mtime_ns or 0) // 10**9)) for x in system.get_file_info([path]))
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.string(), pa.int64(), pa.float64()))], ["path", "size", "mtime"])
+
+    rows = spark.createDataFrame(starts, "path string, folder boolean").repartition(max(1, min(len(starts), 4 * spark.sparkContext.defaultParallelism)))
+    rows = rows.mapInArrow(walk, "path string, size long, mtime double").withColumn("rel_path", F.substring("path", len(top) + 2, 1 << 20))
+    rows = rows.filter((F.col("size") > 0) & (F.col("size") <= int(max_mb * 1024 * 1024))).filter(~ignored(F.col("rel_path"), list(patterns)))
+    if glob:
+        rows = rows.filter(F.element_at(F.split("rel_path", "/"), -1).rlike(glob_regex(glob)))
+    out = rows.select(F.concat(F.lit(prefix), "path").alias("file_path"), "rel_path", "mtime", "size", language_of(F.col("path")).alias("language"))
+    return with_content(out) if content else out
 
 
 def with_content(rows: DataFrame, path: str = "file_path") -> DataFrame:
@@ -93,8 +134,7 @@ def with_content(rows: DataFrame, path: str = "file_path") -> DataFrame:
         for batch in frames:
             for at in range(batch.num_rows):  # one file at a time: files are up to some megabytes each
                 part = batch.slice(at, 1)
-                name = re.sub(r"^file:/+", "/", part.column(path)[0].as_py())
-                system, inner = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+                system, inner = _at(part.column(path)[0].as_py())
                 try:
                     with system.open_input_file(inner) as file:
                         content = file.read()
@@ -106,15 +146,10 @@ def with_content(rows: DataFrame, path: str = "file_path") -> DataFrame:
 
 
 def ignore_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Lines of the ``.gitignore`` of every directory below ``root`` that leads to a file, by the directory relative to the
-    root.  Tasks look for them (Spark's readers skip names with a leading dot); only these few short files are collected."""
-    rows = list_files(spark, root)
-    folder, inner = F.expr("left(file_path, length(file_path) - length(rel_path))"), F.split("rel_path", "/")
-    above = F.explode(F.transform(F.sequence(F.lit(0), F.size(inner) - 1), lambda n: F.array_join(F.slice(inner, F.lit(1), n), "/")))
-    dirs = rows.select(folder.alias("root"), above.alias("directory")).distinct()
-    at = F.concat("root", "directory", F.when(F.col("directory") == "", "").otherwise("/"), F.lit(".gitignore"))
-    found = with_content(dirs.select("directory", at.alias("file_path"))).filter("content is not null")
-    return {r.directory: r.lines for r in found.select("directory", F.split(text_of(F.col("content")), "\n").alias("lines")).collect()}
+    """Lines of every ``.gitignore`` below ``root`` by its directory, relative to the root; only these few short files are collected."""
+    found = with_content(list_files(spark, root, glob=".gitignore")).filter("content is not null")
+    directory = F.regexp_replace("rel_path", r"/?\.gitignore$", "")
+    return {r.d: r.lines for r in found.select(directory.alias("d"), F.split(text_of(F.col("content")), "\n").alias("lines")).collect()}
 
 
 def text_of(content: Column) -> Column:
@@ -181,6 +216,14 @@ def profile(languages: DataFrame) -> DataFrame:
     return rows.select("primary_languages", "multi", F.lit(1.0).alias("project"), pick(0.5, 0.7).alias("dependency"), pick(0.3, 0.5).alias("stdlib"), pick(0.8, 0.9).alias("documentation"))
 
 
+def package_directories(spark: SparkSession, root: str) -> DataFrame:
+    """``name, entries``: the packages in a directory of installed ones (two levels for names with ``@``) and the names in each."""
+    parts = F.split("rel_path", "/")
+    scoped = F.startswith(parts[0], F.lit("@"))
+    rows = list_files(spark, root).select(F.when(scoped, F.concat_ws("/", F.get(parts, 0), F.get(parts, 1))).otherwise(parts[0]).alias("name"), F.when(scoped, F.get(parts, 2)).otherwise(F.get(parts, 1)).alias("entry"))
+    return rows.filter("entry is not null").groupBy("name").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+
+
 def classify_stubs(directories: DataFrame, versions: DataFrame) -> DataFrame:
     """Type-stub packages among directories ``name, entries``: prefix ``types_`` or ``types-``, suffix ``-stubs`` or ``_stubs``, or
     marker files inside; versions by their name, else by the package they are for."""

@@ -216,3 +216,48 @@ def test_line_search_and_links(spark):
     symbols = spark.createDataFrame([("lib/x.py", "load_config")], "file_path string, symbol string")
     links = {(r.doc_path, r.file_path, r.kind) for r in graph.document_links(docs, sources, symbols).collect()}
     assert links == {("docs/api/load.md", "lib/x.py", "symbol"), ("docs/api/load.md", "src/api/load.py", "hierarchy"), ("README.md", "main.py", "proximity"), ("README.md", "lib/x.py", "proximity")}
+
+
+def test_cached_embeddings(spark):
+    import numpy as np
+
+    from tarn.functions import embed
+
+    def load():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    cache = spark.createDataFrame([], "key string, embedding array<float>")
+    rows = spark.createDataFrame([(1, "one"), (2, "three"), (3, "one"), (4, None)], "id int, text string")
+    out, cache = embed.embed_cached(rows, "text", load, cache)
+    assert {r.id: list(r.embedding) for r in out.collect()} == {1: [3.0, 1.0], 2: [5.0, 1.0], 3: [3.0, 1.0], 4: [0.0, 1.0]}
+    assert cache.count() == 3
+
+    def refuse():
+        def run(texts):
+            assert texts == ["new"]
+            return np.array([[9.0, 9.0]] * len(texts))
+
+        return run
+
+    again, grown = embed.embed_cached(rows.unionAll(spark.createDataFrame([(5, "new")], "id int, text string")), "text", refuse, cache)
+    assert {r.id: list(r.embedding) for r in again.collect()}[5] == [9.0, 9.0] and grown.count() == 4
+
+
+def test_package_directories(spark, tmp_path):
+    from tarn.sources import files
+
+    for name in ("types_x/__init__.pyi", "plain/a.py", "plain/inner/b.py", "@types/node/index.d.ts", "top.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = {r["name"]: r.entries for r in files.package_directories(spark, str(tmp_path)).collect()}
+    assert got == {"types_x": ["__init__.pyi"], "plain": ["a.py", "inner"], "@types/node": ["index.d.ts"]}
+    stubs = files.classify_stubs(files.package_directories(spark, str(tmp_path)), spark.createDataFrame([("x", "1.0")], "package string, version string"))
+    assert [(r["name"], r.kind, r.version) for r in stubs.collect()] == [("types_x", "prefix", "1.0")]
+
+
+def test_script_concepts_read_strings_comments_and_methods():
+    from tarn.sources.code import script_concepts
+
+    code = 'const a = "{ // no comment";\n/* two\nlines */\nexport default function () {\n  return `}`;\n}\nclass K {\n  get v() { return 1; }\n  async *walk(x) {\n    if (x) { go(); }\n  }\n  f = (y) => { return y; };\n}\ntype T = { a: string };\nconst later = async function () {};\n'
+    got = {(s, k, a, b, p) for s, k, a, b, p in script_concepts(code)}
+    assert got == {("comment_2", "comment", 2, 3, None), ("anonymous", "function", 4, 6, None), ("K", "class", 7, 13, None), ("v", "method", 8, 8, "K"), ("walk", "method", 9, 11, "K"), ("f", "method", 12, 12, "K"), ("T", "class", 14, 14, None), ("later", "function", 15, 15, None)}
