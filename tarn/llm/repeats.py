@@ -5,7 +5,9 @@
    gram are segments (about 1 in 85 bytes starts one).  A value of one segment is no repeat.
    Of segments with equal bytes every window is repeated.  Only values with several
    different segments need their bytes, one copy of each different segment; these are
-   filed again under a second hash, which leaves the groups that are merged small.
+   filed again under a second hash, which leaves the groups that are merged small.  A group that
+   is still larger than ``group_bytes`` is filed under a third, and so on; only what all TURNS
+   hashes leave together is merged in one worker whatever its size.
 2. Merge of Burrows-Wheeler transforms: the segments of a task are cut into shards, each
    shard gets its transform, and the transforms are merged by iterative interleave
    refinement: in each round the merged order by h symbols follows from the order by h - 1
@@ -35,7 +37,8 @@ from .common import as_signed, gram_hash, map_arrow, materialize, mix, prefix_ha
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
 SYMBOL = 20  # bytes of a symbol of the transforms
-SHARD_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+SHARD_BYTES, BATCH_BYTES = 256 << 10, 1 << 20
+GROUP_BYTES, TURNS = 2 << 20, 6  # of a group that a worker merges, before it is filed by a further hash; hashes there are
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -156,14 +159,16 @@ def repeated_windows(strings: list[bytes], shard_bytes: int = SHARD_BYTES, lengt
         return out
     begin = np.cumsum(size) - size
     group = span_hash(prefix_hash(data), np.arange(len(data) - symbol + 1), np.arange(symbol, len(data) + 1))
-    names = pd.factorize(group)[0].astype(np.int64) + 1
+    names = pd.factorize(group)[0].astype(np.int32) + np.int32(1)
+    del group
     # symbol strings: (string, phase), each with the positions phase, phase + symbol, ...
     which, phase = np.repeat(np.arange(len(strings)), symbol), np.tile(np.arange(symbol), len(strings))
     count = np.maximum(0, (size[which] - phase) // symbol)
     which, phase, count = which[count > 0], phase[count > 0], count[count > 0]
     stop = np.cumsum(count + 1)
-    inner = np.arange(int(stop[-1])) - np.repeat(stop - count - 1, count + 1)
-    place = np.repeat(begin[which] + phase, count + 1) + inner * symbol
+    inner = np.arange(int(stop[-1]), dtype=np.int32) - np.repeat((stop - count - 1).astype(np.int32), count + 1)
+    place = np.repeat((begin[which] + phase).astype(np.int32), count + 1) + inner * np.int32(symbol)
+    del inner
     end = np.zeros(len(place), bool)
     end[stop - 1] = True
     text = np.where(end, 0, names[np.minimum(place, len(names) - 1)])
@@ -205,6 +210,9 @@ def _file(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, work, "doc_id long, tag long, v long, start int, size int, content long")
 
 
+PIECES = "f long, v long, content long, shift int, piece binary"
+
+
 def _cut(texts: DataFrame) -> DataFrame:
     """Bytes of the wanted segments of ``text``, filed again by a second hash so that groups get smaller."""
 
@@ -215,58 +223,81 @@ def _cut(texts: DataFrame) -> DataFrame:
                 raw = text.encode()
                 for w in wanted:
                     held.append(raw[w["start"] : w["start"] + w["size"] + LENGTH - 1])
-                    keys.append((w["v"], w["content"]))
+                    keys.append((w["v"], w["v"], w["content"], 0))
                 if sum(map(len, held)) >= BATCH_BYTES or i + 1 == batch.num_rows:
                     if held:
-                        yield _refile(held, keys)
+                        yield _refile(held, keys, 1)
                     held, keys = [], []
 
-    return map_arrow(texts, work, "f long, v long, content long, shift int, piece binary")
+    return map_arrow(texts, work, PIECES)
+
 
+def _finer(pieces: DataFrame, turn: int) -> DataFrame:
+    """``pieces`` filed again by one more hash, within the groups they are in."""
 
-def _refile(held: list[bytes], keys: list[tuple[int, int]]) -> pa.RecordBatch:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, v, content, shift, piece = (batch.column(i).to_pylist() for i in range(5))
+            yield _refile(piece, list(zip(f, v, content, shift)), turn)
+
+    return map_arrow(pieces, work, PIECES)
+
+
+def _refile(held: list[bytes], keys: list[tuple[int, int, int, int]], turn: int) -> pa.RecordBatch:
+    """Pieces of ``held`` by hash number ``turn``; ``keys``: group, value, content and shift of each."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-    value, row, start, size, _ = segments(np.frombuffer(b"".join(held), np.uint8), offsets, seed=0x5BD1E995)
-    v, c = (np.array(k, np.int64)[row] for k in zip(*keys))
-    f = as_signed(mix(value + v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    value, row, start, size, _ = segments(np.frombuffer(b"".join(held), np.uint8), offsets, seed=turn * 0x5BD1E995)
+    f, v, c, shift = (np.array(k, np.int64)[row] for k in zip(*keys))
+    f = as_signed(mix(value + f.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     pieces = [held[r][a : a + n + LENGTH - 1] for r, a, n in zip(row.tolist(), start.tolist(), size.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(f), pa.array(v), pa.array(c), pa.array(start.astype(np.int32)), pa.array(pieces, pa.binary())], ["f", "v", "content", "shift", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(f), pa.array(v), pa.array(c), pa.array((shift + start).astype(np.int32)), pa.array(pieces, pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
 
 
-def _merge_pieces(pieces: DataFrame) -> DataFrame:
-    """Repeated windows of the pieces, as ranges of window starts of their segments."""
-    schema = ["v", "content", "a", "b"]
+def _merge_pieces(pieces: DataFrame, most: float) -> DataFrame:
+    """Repeated windows of the pieces, as ranges ``a, b`` of window starts of their segments (``piece`` is null); groups of
+    more than ``most`` bytes are handed on as they are, so that no worker holds more of one."""
+    names = ["f", "v", "content", "a", "b", "piece"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    out_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for (_, v, c, shift, _), mark in zip(rows, repeated_windows([r[4] for r in rows])):
-            out += [(v, c, shift + a, shift + b) for a, b in _ranges(mark)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], schema)
+        for (f, v, c, shift, _), mark in zip(rows, repeated_windows([r[4] for r in rows])):
+            out += [(f, v, c, shift + a, shift + b, None) for a, b in _ranges(mark)]
+        return out_of(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, size, group = [], 0, []
+        ready, size, group, held, late = [], 0, [], 0, []
+        name = None  # of the group at hand; its pieces are in ``group``, or in ``late`` once they are too many
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if group and group[0][0] != row[0]:
+                if row[0] != name:
                     if len(group) > 1:
                         ready += group
-                        size += sum(len(r[4]) for r in group)
+                        size += held
                         if size >= BATCH_BYTES:
                             yield solve(ready)
                             ready, size = [], 0
+                    name, group, held = row[0], [], 0
+                held += len(row[4])
+                if held <= most:
+                    group.append(row)
+                else:
+                    late += [(f, v, c, shift, None, piece) for f, v, c, shift, piece in (*group, row)]
                     group = []
-                group.append(row)
+            if late:
+                yield out_of(late)
+                late = []
         if len(group) > 1:
             ready += group
         if ready:
             yield solve(ready)
 
-    return map_arrow(pieces.repartition("f").sortWithinPartitions("f"), work, "v long, content long, a int, b int")
+    return map_arrow(pieces.repartition("f").sortWithinPartitions("f"), work, "f long, v long, content long, a int, b int, piece binary")
 
 
-def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", group_bytes: float = GROUP_BYTES) -> DataFrame:
     """``doc_id, tag, a, b``: byte ranges covered by repeated windows (``tag`` hashes the text)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     rows = rows.filter(F.octet_length("text") >= LENGTH)
@@ -280,8 +311,15 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     copies = materialize(copies, "different-segments")
     wanted = copies.select("one.doc_id", "one.tag", F.struct("one.start", "one.size", "v", "content").alias("w"))
     wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("w").alias("wanted"))
-    pieces = _cut(_by_row(rows, wanted, "inner").select("text", "wanted"))
-    merged = materialize(_merge_pieces(pieces), "repeated-windows")
+    pieces, merged = _cut(_by_row(rows, wanted, "inner").select("text", "wanted")), None
+    for turn in range(2, TURNS + 1):
+        done = materialize(_merge_pieces(pieces, group_bytes if turn < TURNS else float("inf")), "repeated-windows")
+        windows = done.filter("piece is null").select("v", "content", "a", "b")
+        merged = windows if merged is None else merged.unionAll(windows)
+        large = done.filter("piece is not null").select("f", "v", "content", F.col("a").alias("shift"), "piece")
+        if turn == TURNS or large.isEmpty():
+            break
+        pieces = _finer(large, turn)
 
     whole = shared.filter("alike").select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("size") + LENGTH - 1).alias("b"))
     again = copies.filter("n > 1").select("v", "content")
@@ -296,9 +334,9 @@ def _by_row(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 @tidied
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", group_bytes: float = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept`` (the bytes left) of every row."""
-    found = find_repeats(docs, doc_id=doc_id, text=text)
+    found = find_repeats(docs, doc_id=doc_id, text=text, group_bytes=group_bytes)
     lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     joined = _by_row(rows, lists, "left").select("doc_id", "text", "ranges")

@@ -222,7 +222,7 @@ def test_repeats_equal_brute_force(spark, docs, texts):
     table = docs.select("doc_id", "text").unionAll(periodic)
     raws = {i: t.encode() for i, t in texts.items()} | {10**6: b"ab" * 107, 10**6 + 1: b"x" * 199, 10**6 + 2: b"y" * 200}
     count = collections.Counter(r[i : i + 200] for r in raws.values() for i in range(len(r) - 199))
-    for r in repeats.remove_repeats(table).collect():
+    for r in repeats.remove_repeats(table).collect() + repeats.remove_repeats(table, group_bytes=1500).collect():
         raw, cover = raws[r.doc_id], bytearray(len(raws[r.doc_id]))
         for i in range(len(raw) - 199):
             if count[raw[i : i + 200]] > 1:
