@@ -195,8 +195,8 @@ def _logit(rate):
 
 
 @tidied
-def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", threshold: float = 0.5, columns: list[str] | None = None, **fitting) -> DataFrame:
-    """``docs`` (or its ``columns``) with ``log_odds, host_rate, path_rate, posterior, keep``.
+def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", threshold: float = 0.5, columns: list[str] | None = None, prefix: str = "", **fitting) -> DataFrame:
+    """``docs`` (or its ``columns``) with ``log_odds, host_rate, path_rate, posterior, keep``, these five after ``prefix``.
 
     Texts are scored once, into a written table that the site counts and the result both read.  Up to BROADCAST_SITES
     sites are broadcast; more are joined by host and path, with a frequent site's rows dealt over SALTS keys."""
@@ -209,8 +209,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     sites = materialize(sites.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "quality-rates")
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES * SALTS else sites
     rows = scored.withColumn("_salt", salt)
-    rows = rows.join(sites, rows["_site"].eqNullSafe(sites["_host"]) & rows["_below"].eqNullSafe(sites["_path"]) & (rows["_salt"] == sites["_deal"]), "left")
-    odds = F.col("_odds") - _logit(F.col("global_rate")) + _logit(F.col("path_rate"))
+    joined = rows.join(sites, rows["_site"].eqNullSafe(sites["_host"]) & rows["_below"].eqNullSafe(sites["_path"]) & (rows["_salt"] == sites["_deal"]), "left")
+    odds = F.col("_odds") - _logit(sites["global_rate"]) + _logit(sites["path_rate"])
     posterior = 1 / (1 + F.exp(-F.coalesce(odds, F.col("_odds"))))
-    out = rows.withColumn("_posterior", posterior)
-    return out.select(*names, F.col("_odds").alias("log_odds"), "host_rate", "path_rate", F.col("_posterior").alias("posterior"), (F.col("_posterior") >= threshold).alias("keep"))
+    out = joined.withColumn("_posterior", posterior)
+    made = {"log_odds": F.col("_odds"), "host_rate": sites["host_rate"], "path_rate": sites["path_rate"], "posterior": F.col("_posterior"), "keep": F.col("_posterior") >= threshold}
+    return out.select(*[rows[c] for c in names], *[c.alias(prefix + n) for n, c in made.items()])

@@ -866,3 +866,29 @@ def test_scratch_tables_go_when_nothing_reads_them(spark, docs):
     assert len(made) == 1 and b.count() == 4
     with pytest.raises(Exception):
         a.count()
+
+
+def test_stages_on_awkward_and_empty_tables(spark, sf, awkward, empty):
+    """Every stage keeps all columns and whole rows, whatever the ids, nulls and names of other columns are."""
+    import corpus_pipeline
+    from tarn.llm.common import materialize
+
+    texts = collections.Counter(r[1] for r in ROWS)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (awkward, empty):
+            rows = materialize(stage(spark, materialize(table, "awkward"), sf), "awkward-out").collect()
+            if table is empty:
+                assert rows == []
+            elif name == "token output":
+                assert len(rows) == len(ROWS)
+            else:
+                assert rows and list(rows[0].asDict()) == awkward.columns, name
+                kept = collections.Counter(r.text for r in rows)
+                if name == "MinHash near-dedup":
+                    assert kept[LONG] == 1 and sorted(r.doc_id or -1 for r in rows) == [-1, 1, 3, 6, 7, 9, 10]
+                elif name == "benchmark decontamination":
+                    assert kept == texts  # no row holds an item of the benchmark
+                elif name == "mixing sources":
+                    assert set(kept) <= set(texts) and all(n <= 3 * texts[t] for t, n in kept.items()) and not {None, ""} & set(kept)
+                else:
+                    assert kept <= texts and kept[LONG] <= 1
