@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,13 +145,14 @@ class Project:
         age = F.timestamp_diff("HOUR", F.col("last_update"), F.current_timestamp().cast("timestamp_ntz"))
         return rows.withColumns({"age_hours": age, "advice": maintain.advice(F.col("ratio"))})
 
-    def watch(self, events: str, source: str, *, checkpoint: str, quiet: str = "2 seconds", trigger: str = "2 seconds", **options) -> StreamingQuery:
+    def watch(self, events: str, source: str, *, checkpoint: str, quiet: str = "2 seconds", trigger: str = "2 seconds", report: Callable[[dict[str, int]], None] = lambda counts: None, **options) -> StreamingQuery:
         """Index ``source`` again whenever its event files (JSON lines of WATCHED in the folder ``events``) have been quiet for a
-        while.  Files that are gone leave the manifest with the rest; a batch without events does nothing."""
+        while.  Files that are gone leave the manifest with the rest; a batch without events does nothing.  ``report`` gets the
+        number of files by change after each turn."""
 
         def reindex(batch: DataFrame, _: int) -> None:
             if not batch.isEmpty():
-                self.index(source, **options)
+                report({r.change: r["count"] for r in self.index(source, **options).groupBy("change").count().collect()})
 
         return watch.watch(self.spark, events, WATCHED, reindex, checkpoint=checkpoint, quiet=quiet, trigger=trigger)
 

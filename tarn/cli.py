@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "index":
         out(project.index(a.path, patterns=a.ignore, tier=a.tier, repo=a.git).groupBy("change").count())
     elif a.command == "watch":
-        query = project.watch(a.events, a.path, checkpoint=a.checkpoint)
+        query = project.watch(a.events, a.path, checkpoint=a.checkpoint, report=lambda counts: print(json.dumps(counts), flush=True))
         query.awaitTermination(*([a.seconds] if a.seconds else []))
         query.stop()
     elif a.command == "search":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph, lexical
 from ..sources import code
 from ..sources.tables import read_table
 
@@ -84,6 +85,24 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("language", "chunk_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
 
 
+def research_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks found from one region: it names its nations, and these their suppliers; two hops of five names."""
+    region, nation, supplier = (read_table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    name = lambda kind, key: F.concat(F.lit(kind), F.lpad(F.col(key).cast("string"), 8, "0"))
+    parts = [
+        region.select((F.col("r_regionkey") + 10**9).cast("long").alias("chunk_id"), name("rg", "r_regionkey").alias("symbol"), F.lit(None).cast("long").alias("above"), F.lit(0).alias("seq")),
+        nation.select((F.col("n_nationkey") + 2 * 10**9).cast("long").alias("chunk_id"), name("na", "n_nationkey").alias("symbol"), (F.col("n_regionkey") + 10**9).cast("long").alias("above"), F.col("n_nationkey").cast("int").alias("seq")),
+        supplier.select(F.col("s_suppkey").alias("chunk_id"), name("su", "s_suppkey").alias("symbol"), (F.col("s_nationkey") + 2 * 10**9).cast("long").alias("above"), F.col("s_suppkey").cast("int").alias("seq")),
+    ]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    named = rows.filter("above is not null").select(F.col("above").alias("chunk_id"), "seq", F.col("symbol").alias("name"), F.lit("function_call").alias("entity_type"))
+    code_of = named.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("code"))
+    chunks = rows.select("chunk_id", "symbol").join(code_of, "chunk_id", "left").withColumn("code", F.coalesce("code", F.lit("nothing")))
+    start = rows.filter(F.col("symbol") == "rg00000000").select("chunk_id", F.lit(1.0).alias("score"))
+    found, _ = graph.research(spark, lexical.build_index(chunks), chunks, named, start)
+    return found.select("chunk_id", "hop")
+
+
 _CONCEPTS = [  # remainder of the key, language, symbol, concept, start, end, parent
     (0, "python", "Part#", "class", 5, 8, None), (0, "python", "weigh", "method", 7, 8, "Part#"), (0, "python", "comment_6", "comment", 6, 6, None), (0, "python", "pack_#", "function", 11, 14, None),
     (0, "python", "inner", "function", 12, 13, None), (1, "typescript", "comment_2", "comment", 2, 2, None), (1, "typescript", "pack#", "function", 3, 5, None), (1, "typescript", "weigh#", "function", 6, 8, None),
@@ -97,6 +116,9 @@ _ENTITIES = [  # remainder, name, kind, line
 _row = lambda r: "(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")"
 
 ORACLES = {
+    "research_hops": """WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation WHERE n_regionkey = 0 ORDER BY n_nationkey LIMIT 5)
+        SELECT CAST(1000000000 AS BIGINT) AS chunk_id, 0 AS hop UNION ALL SELECT n_nationkey + 2000000000, 1 FROM n
+        UNION ALL SELECT * FROM (SELECT s_suppkey, 2 FROM supplier JOIN n ON s_nationkey = n_nationkey ORDER BY i, s_suppkey LIMIT 5)""",
     "code_concepts": f"""WITH c(r, language, symbol, concept, start_line, end_line, parent) AS (VALUES {', '.join(map(_row, _CONCEPTS))})
         SELECT CAST(p_partkey AS VARCHAR) AS file_path, language, replace(symbol, '#', CAST(p_partkey AS VARCHAR)) AS symbol, concept, start_line, end_line, replace(parent, '#', CAST(p_partkey AS VARCHAR)) AS parent FROM part JOIN c ON p_partkey % 4 = r""",
     "code_entities": f"""WITH c(r, name, entity_type, line) AS (VALUES {', '.join(map(_row, _ENTITIES))})
@@ -106,4 +128,4 @@ ORACLES = {
         u AS (SELECT r, language, concept, start_line, end_line FROM c UNION ALL SELECT * FROM g)
         SELECT language, concept AS chunk_type, count(*) AS n_chunks, CAST(sum(end_line - start_line + 1) AS BIGINT) AS n_lines FROM part JOIN u ON p_partkey % 4 = r GROUP BY 1, 2""",
 }
-QUERIES = {f.__name__: f for f in (code_concepts, code_entities, code_chunks)}
+QUERIES = {f.__name__: f for f in (code_concepts, code_entities, code_chunks, research_hops)}

@@ -135,9 +135,9 @@ def test_watching_indexes_again(spark, tmp_path, source):
 
     project = Project(spark, str(tmp_path / "index"))
     project.index(str(source))
-    events = tmp_path / "events"
+    events, reports = tmp_path / "events", []
     events.mkdir()
-    query = project.watch(str(events), str(source), checkpoint=str(tmp_path / "checkpoint"), trigger="1 second")
+    query = project.watch(str(events), str(source), checkpoint=str(tmp_path / "checkpoint"), trigger="1 second", report=reports.append)
     try:
         (source / "fresh.py").write_text("def fresh_function():\n    return 3\n")
         os.remove(source / "main.py")
@@ -145,6 +145,7 @@ def test_watching_indexes_again(spark, tmp_path, source):
             (events / f"{i}.json").write_text(json.dumps({"root": "r", "file_path": "fresh.py", "change": "modified", "ts": f"2024-01-01T{second // 3600:02}:00:{second % 3600:02}"}) + "\n")
             query.processAllAvailable()
         assert {r.file_path.rsplit("/", 1)[-1] for r in project.chunks().collect()} == {"math_utils.py", "fresh.py"}
+        assert reports[0] == {"new": 1, "same": 1, "deleted": 1}
     finally:
         query.stop()
 
