@@ -6,8 +6,8 @@ Token potentials come from surface features, chain potentials from neighbours, a
 potentials tie distant tokens that are repeated or similar (same last seven digits, same address),
 so loopy sum-product message passing makes labels agree across a document.  Tokens that
 lie in base spans are observed, and so are long tokens that mix letters and digits, as secrets;
-others decoded as an entity with a marginal of at least ``min_marginal`` become added spans, as
-do the secrets.  Base spans always stay.
+others decoded as an entity with a marginal of at least ``min_marginal`` become added spans (secrets
+are listed apart).  Base spans always stay.
 
 Only tokens that carry a digit, ``@`` or ``+`` or repeat a part of a base address can be
 entities; all others are observed O and enter as their neighbours' chain potentials.
@@ -299,8 +299,8 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_marginal: float = 0.9, model: Field | None = None, **fitting) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base`` and ``spans`` (kind:start:end lists), ``n_added`` (by
-    the field) and ``n_found`` (all spans)."""
+    """``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base`` and ``spans`` (kind:start:end lists of the four kinds), ``n_added``
+    (by the field), ``secrets`` (a list of its own), ``n_secret`` and ``n_found`` (all of them)."""
     f = model or fit(docs, doc_id=doc_id, text=text, **fitting)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -312,14 +312,15 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                     hint = _HINT.search(t)
                     base = base_spans(t) if hint else []
                     secrets = secret_spans(t) if hint else []
-                    more = secrets + added_spans(t, base + secrets, f, min_marginal) if hint else []
+                    added = added_spans(t, base + secrets, f, min_marginal) if hint else []
+                    more, secrets = [s for s in added if s[0] < len(KINDS)], secrets + [s for s in added if s[0] >= len(KINDS)]
                     counts = [sum(k == i for k, _, _ in base) for i in range(4)]
                     listed = _listed(base)
-                    out.append((*counts, listed, hashlib.sha256(listed.encode()).hexdigest(), _listed(base + more) if more else listed, len(more), len(base) + len(more)))
+                    out.append((*counts, listed, hashlib.sha256(listed.encode()).hexdigest(), _listed(base + more) if more else listed, len(more), _listed(secrets), len(secrets), len(base) + len(more) + len(secrets)))
                 cols = list(zip(*out))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()] * 2
-                names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "spans", "n_added", "n_found"]
+                kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64(), pa.string()] + [pa.int64()] * 2
+                names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "spans", "n_added", "secrets", "n_secret", "n_found"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_arrow(rows, work, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, spans string, n_added long, n_found long")
+    return map_arrow(rows, work, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, spans string, n_added long, secrets string, n_secret long, n_found long")
