@@ -299,7 +299,7 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sub_batches(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20):
+def sub_batches(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 19):
     """Slices of ``batch`` whose ``name`` column holds about ``most`` bytes at most (one row at least)."""
     size = np.frombuffer(text_buffer(batch.column(name))[1], np.int64)
     at = 0
