@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import held, map_arrow, prefix_hash, scratch_path, span_hash, sub_batches, text_buffer
 
 END_ID = 2
-CACHE = 600_000  # distinct pieces (about 60 bytes each) a worker remembers before it starts afresh; dropped when it does other work
+CACHE = 800_000  # distinct pieces (about 60 bytes each) a worker remembers before it starts afresh; dropped when it does other work
 
 # Classes of bytes for the vocabulary's own split into pieces, in text of ASCII and two-byte letters.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -207,7 +207,7 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, written = held(f"tokens {tokenizer}", lambda: PieceEncoder(tokenizer)), 0
         for batch in batches:
-            for part in sub_batches(batch):
+            for part in sub_batches(batch, most=1 << 20):
                 flat, sizes = encoder.encode_rows(part.column("text"), end_id)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 tokens = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(flat))
