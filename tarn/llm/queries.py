@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_spread, read_table
-from . import decontaminate, html_text, media, mixing, near_dup, pii, quality, repeats, token_store, warc
+from . import decontaminate, divergence, html_text, media, mixing, near_dup, pii, quality, repeats, spelling, token_store, url_rules, warc
+from .sql import OP11, OP12, OP13
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -66,9 +67,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_near_dup, op4_html, op5_repeats, op6_decontaminate, op7_mix, op8_tokens, op9_quality, op10_warc)}
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read_table(spark, sf_dir, "pages")).drop("via")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_media, op3_near_dup, op4_html, op5_repeats, op6_decontaminate, op7_mix, op8_tokens, op9_quality, op10_warc, op11_urls, op12_divergence, op13_spelling)
+}
 
 ORACLE_SQL = {
+    "op11_urls": OP11,
+    "op12_divergence": OP12,
+    "op13_spelling": OP13,
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
              g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
