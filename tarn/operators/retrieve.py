@@ -35,20 +35,26 @@ def search_semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, *, ref
     """Many queries (``query_id, q``) against all vectors: ``query_id, ref, score, rank``.
 
     Both sides are packed into blocks of BLOCK rows; a pair of blocks is one matrix product that gives the best k
-    of its block only, so what is shuffled is k rows for each query and block.  Nothing is broadcast or
+    of its block only, so what is shuffled is k rows for each query and block.  Blocks of vectors are dealt to as many
+    places as there are shuffle partitions and move once; query blocks, the smaller side, go to each place.  Nothing is
     collected; the work is queries times vectors, as no index is asked for.  Vectors of another length than a
     query's are skipped; scores are rounded to 12 decimals, so that equal vectors tie and go by ``ref``."""
-    packed = lambda rows, key, vector: _packed(rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("n")))
-    left = packed(queries, "query_id", "q").withColumnsRenamed({"keys": "qs", "vs": "qv"})
-    pairs = packed(vectors, ref, embedding).join(left, "n")
-    kinds = queries.schema["query_id"].dataType, vectors.schema[ref].dataType
+    places = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = lambda rows, key, vector: packed_blocks(rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("n")))
+    left = packed(queries, "query_id", "q").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    right = packed(vectors, ref, embedding).withColumn("place", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(places)).cast("int"))
+    return pair_blocks(left, right, k, ref, ("n", "place"))
+
+
+def pair_blocks(left: DataFrame, right: DataFrame, k: int, ref: str, on: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Blocks of queries and of vectors that meet by ``on``, multiplied: ``query_id``, ``ref``, ``score`` and ``rank`` of each query's best k."""
+    kinds = left.schema["keys"].dataType.elementType, right.schema["keys"].dataType.elementType
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                n = batch.column("n")[i].as_py()
                 refs, ids = (batch.column(c)[i].values for c in ("keys", "qs"))
-                v, q = (batch.column(c)[i].values.to_numpy().reshape(-1, n) for c in ("vs", "qv"))
+                v, q = (batch.column(c)[i].values.to_numpy().reshape(len(x), -1) for c, x in (("vs", refs), ("qv", ids)))
                 lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
                 score = np.round(np.divide(q @ v.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), 12)
                 order = pc.rank(refs, tiebreaker="first").to_numpy()  # equal scores go by ref
@@ -57,13 +63,14 @@ def search_semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, *, ref
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), refs.take(pa.array(top.ravel())), pa.array(score[row, top.ravel()])], ["query_id", ref, "score"])
 
     schema = StructType().add("query_id", kinds[0]).add(ref, kinds[1]).add("score", DoubleType())
-    scored = pairs.select("n", "keys", "vs", "qs", "qv").mapInArrow(best, schema)
+    pairs = right.join(left.withColumnsRenamed({"keys": "qs", "vs": "qv"}), list(on))
+    scored = pairs.select("keys", "vs", "qs", "qv").mapInArrow(best, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ref))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """``n, keys, vs``: blocks of up to BLOCK rows ``key, v, n`` of one length, packed where they are, without a shuffle."""
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """``n, keys, vs``: blocks of up to BLOCK rows ``key, v, n`` of one ``n`` (and one length), packed where they are, without a shuffle."""
     kind = rows.schema["key"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexical, retrieve
+from ..operators import lexical, retrieve, vector_index
 from ..sources.tables import fingerprint, read_spread, read_table, shared_folder
 
 QUERY = "thanedble heitkeit mentre the_of"
@@ -75,6 +75,39 @@ def semantic_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.search_semantic_batch(vectors, queries, 3).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def saved_vectors(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The inverted file of ``embeddings``, built once for as long as the table's files stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _saved:
+        path = f"{shared_folder(spark)}/tarn-vector-index-{uuid.uuid4().hex}"
+        vector_index.build(_vectors(spark, sf_dir), path)
+        _saved[key] = path
+    return vector_index.VectorIndex.load(spark, _saved[key])
+
+
+def semantic_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact: lists whose bound is behind the k-th are not read."""
+    return vector_index.search(saved_vectors(spark, sf_dir), VECTOR, 20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def _batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def semantic_ivf_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list is probed, so rows are those of the exact search."""
+    hits = vector_index.search_batch(saved_vectors(spark, sf_dir), _batch_queries(spark, sf_dir), 5, vector_index.MOST_LISTS)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def semantic_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, n_exact, n_found``: of the exact ten nearest of each query, those found by as many lists as a sample needs."""
+    index, queries = saved_vectors(spark, sf_dir), _batch_queries(spark, sf_dir)
+    near = vector_index.search_batch(index, queries, 10, vector_index.probe_for(index, 0.97)).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    exact = retrieve.search_semantic_batch(_vectors(spark, sf_dir), queries, 10).select("query_id", "chunk_id")
+    return exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+
+
 def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     semantic = retrieve.search_semantic(_vectors(spark, sf_dir), VECTOR, 3 * k)
     return retrieve.fuse(semantic, _lexical(spark, sf_dir, QUERY, 3 * k), k)
@@ -162,6 +195,12 @@ ORACLES = {
                    FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
         SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM
         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p) WHERE rank <= 3""",
+    "semantic_ivf_topk": f"SELECT vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20",
+    "semantic_ivf_batch": """
+        WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+                   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
+        SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""",
     "hybrid_rrf": f"""{_phrases(QUERY)},
         sem AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) - 1 AS sem_rank FROM embeddings ORDER BY sem_rank LIMIT 30),
         lex AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS lex_rank FROM sc ORDER BY lex_rank LIMIT 30),
@@ -176,5 +215,5 @@ ORACLES = {
     "memory_like": "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE text ILIKE '%lich_n%Keit%' OR source ILIKE '%lich_n%Keit%' ORDER BY doc_id DESC LIMIT 25",
 }
 QUERIES = {f.__name__: f for f in (
-    lexical_bm25_topk, lexical_phrase_prefix, lexical_batch_terms, semantic_knn_topk, semantic_knn_l2, semantic_knn_batch, hybrid_rrf, file_agg_sum, file_agg_max, tier_boost, tier_filter_no_deps, deps_only, memory_like,
+    lexical_bm25_topk, lexical_phrase_prefix, lexical_batch_terms, semantic_knn_topk, semantic_knn_l2, semantic_knn_batch, semantic_ivf_topk, semantic_ivf_batch, semantic_ivf_recall, hybrid_rrf, file_agg_sum, file_agg_max, tier_boost, tier_filter_no_deps, deps_only, memory_like,
 )}
