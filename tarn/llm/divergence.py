@@ -2,8 +2,8 @@
 
 1. Documents are counted by Arrow batch where they lie: a row for each language, source, term and batch with
    the documents that hold the term and its occurrences.  So a word of all documents is a few rows a batch.
-2. These rows are range-partitioned and sorted by language, term, source and document (the batch's
-   digest).  A scan of runs gives partial document frequencies and counts; as ranges also split equal terms,
+2. These rows are range-partitioned and sorted by language and term (by their hash first), source and document (the
+   batch's digest).  A scan of runs gives partial document frequencies and counts; as ranges also split equal terms,
    no term is ever one task's.  The partial rows of a run, at most one for each range it spans, are summed.
 3. Terms in at least ``min_docs`` documents of their language are kept.  Each becomes one row with the shares of all
    sources of the language, in parts of a billion, and the scan of those emits, for each task, the partial sums of
@@ -88,8 +88,10 @@ def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", sour
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
     counted = materialize(map_arrow(rows, _count_batches, "lang string, term string, source string, document long, docs long, n long"), "batch-terms")
-    keys = ["lang", "term", "source", "document"]
-    runs = map_arrow(counted.repartitionByRange(*keys).sortWithinPartitions(*keys), _scan_runs, "lang string, term string, source string, docs long, n long")
+    # a hash of language and term goes first: sorts compare one number, and nearly all rows differ in it or are one run
+    keys = ["run", "lang", "term", "source", "document"]
+    counted = counted.withColumn("run", F.xxhash64("lang", "term"))
+    runs = map_arrow(counted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("run"), _scan_runs, "lang string, term string, source string, docs long, n long")
     return runs.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
