@@ -1,7 +1,7 @@
 """An index of a project: ingest, search, research, upkeep and memory behind one object.
 
-Tables live under ``root`` as versioned snapshots: chunks, manifest, postings, lengths,
-terms, entities, vectors, decisions, timeline and changelogs; settings are one JSON file beside them.
+Tables live under ``root``: chunks, manifest, postings, lengths, terms, entities and vectors as segments, so that a change
+writes in proportion to itself; decisions, timeline and changelogs as versioned snapshots; settings are one JSON file.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .functions import config, embed, text
 from .operators import graph, lexical, maintain, memory, retrieve
+from .operators.segments import Segments
 from .sources import code, files, history
 from .streaming import watch
 
@@ -26,6 +27,12 @@ CHUNKS = (
 MANIFEST = "file_path string, hash string, mtime double, size long, valid_chunks array<string>, stale_chunks array<string>"
 VECTORS = "chunk_id long, embedding array<float>"
 WATCHED = "root string, file_path string, change string, ts timestamp"
+#: Segmented tables: schema, key of what a change replaces, order within a segment.
+SEGMENTED = {
+    "chunks": (CHUNKS, "chunk_id", ()), "manifest": (MANIFEST, "file_path", ()), "vectors": (VECTORS, "chunk_id", ()), "entities": (code.ENTITIES, "chunk_id", ()),
+    "postings": ("term string, chunk_id long, field string, pos int, dl int", "chunk_id", ("term", "chunk_id")), "lengths": ("chunk_id long, dl int", "chunk_id", ()),
+    "terms": ("term string, head string", "term", ("term",)),
+}
 MEMORY = {"decisions": memory.DECISIONS, "timeline": memory.TIMELINE, "changelogs": memory.CHANGELOGS}
 
 
@@ -34,11 +41,17 @@ class Project:
         self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
 
     # ------------------------------------------------------------ tables
+    def segments(self, name: str) -> Segments:
+        return Segments(self.spark, f"{self.root}/{name}", *SEGMENTED[name])
+
     def table(self, name: str) -> DataFrame:
-        schema = {"chunks": CHUNKS, "manifest": MANIFEST, "vectors": VECTORS, "postings": "term string, chunk_id long, field string, pos int, dl int", "lengths": "chunk_id long, dl int", "terms": "term string", "entities": code.ENTITIES, **MEMORY}[name]
-        return memory.load_snapshot(self.spark, f"{self.root}/{name}", schema)
+        return self.segments(name).read() if name in SEGMENTED else memory.load_snapshot(self.spark, f"{self.root}/{name}", MEMORY[name])
 
     def _save(self, name: str, df: DataFrame) -> None:
+        """The whole table anew."""
+        if name in SEGMENTED:
+            self.segments(name).replace(df)
+            return
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         path = hadoop.Path(f"{self.root}/{name}")
         found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{self.root}/{name}/v*"))
@@ -105,27 +118,37 @@ class Project:
                 note = F.map_concat(note, F.create_map(F.lit("commit_hash"), F.lit(head["hash"]), F.lit("commit_time"), F.lit(str(head["time"]))))
         made = made.select(F.lit(None).cast("long").alias("chunk_id"), "uri", "symbol", "chunk_type", "file_path", "start_line", "end_line", "language", "code", note.alias("metadata"), F.lit(tier).alias("tier"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
         made = self._stage("made", made)
-        self._save("chunks", maintain.upsert(self.table("chunks"), made))
-        chunks = self.table("chunks")
-        now = chunks.join(todo.select("file_path"), "file_path", "left_semi").join(made.select("uri"), "uri", "left_semi")
-        lists = now.groupBy("file_path").agg(F.collect_list("uri").alias("valid_chunks"))
+        # chunks of the same places keep their ids; only rows of changed files are written
+        every = self.table("chunks")
+        same = every.join(made.select("uri"), "uri", "left_semi").select(*every.columns)
+        rows = self._stage("chunks", maintain.upsert(same, made, ids=every))
+        touched = change.filter("change in ('new', 'changed', 'deleted')").select("file_path")
+        before = known.join(touched, "file_path", "left_semi").select(F.explode("valid_chunks").alias("uri"))
+        left = self._stage("left", every.join(before, "uri", "left_semi").select("chunk_id"))
+        self.segments("chunks").add(rows, gone=self._stage("same", same.select("chunk_id")))
+        lists = rows.groupBy("file_path").agg(F.collect_list("uri").alias("valid_chunks"))
         entries = todo.select("file_path", "hash", "mtime", "size").join(lists, "file_path", "left").withColumn("valid_chunks", F.coalesce("valid_chunks", F.array().cast("array<string>")))
-        self._save("manifest", maintain.drop_deleted(maintain.update_manifest(known, entries), listing))
-        self._derive(now.select("chunk_id"))
+        moved = listing.join(known.select("file_path", "hash", "valid_chunks"), "file_path").join(change.filter("change = 'same'").select("file_path"), "file_path")
+        moved = moved.join(fresh.select("file_path"), "file_path", "left_semi").select(*entries.columns)  # another time or size, the same text
+        entries = self._stage("entries", maintain.update_manifest(known.join(touched, "file_path", "left_semi"), entries).join(listing.select("file_path"), "file_path", "left_semi"))
+        moved = self._stage("moved", maintain.update_manifest(known.join(moved.select("file_path"), "file_path", "left_semi"), moved))
+        self.segments("manifest").add(entries.unionByName(moved), gone=touched.unionAll(moved.select("file_path")))
+        self._derive(rows.select("chunk_id"), left)
         return change
 
-    def _derive(self, changed: DataFrame) -> None:
-        """Postings, lengths, entities and vectors of valid chunks: those of changed chunks anew, others kept."""
-        valid = self.chunks()
-        new, kept = valid.join(changed, "chunk_id", "left_semi"), valid.select("chunk_id").join(changed, "chunk_id", "left_anti")
+    def _derive(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
+        """Postings, lengths, entities and vectors: those of ``changed`` chunks, as far as they are valid, anew; those of ``gone`` chunks
+        no more; others stay where they are."""
+        gone = changed if gone is None else changed.unionAll(gone)
+        new = self._stage("new", retrieve.valid_only(self.table("chunks").join(changed, "chunk_id", "left_semi"), self.table("manifest")))
         index = lexical.build_index(new)
-        keep = lambda name: self.table(name).join(kept, "chunk_id", "left_semi")
-        self._save("postings", keep("postings").unionByName(index.postings).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-        self._save("terms", self.table("postings").select("term").distinct())
-        self._save("lengths", keep("lengths").unionByName(index.lengths))
-        self._save("entities", keep("entities").unionByName(code.entities(new.select("chunk_id", "language", "start_line", "code"))))
+        self.segments("postings").add(index.postings, gone)
+        terms = lexical.dictionary(index.postings)
+        self.segments("terms").add(terms.join(self.table("terms").select("term"), "term", "left_anti").select(*terms.columns))
+        self.segments("lengths").add(index.lengths, gone)
+        self.segments("entities").add(code.entities(new.select("chunk_id", "language", "start_line", "code")), gone)
         vector = embed.hashed(embed.chunk_text(F.col("symbol"), F.col("code")), self.dimensions)
-        self._save("vectors", keep("vectors").unionByName(new.select("chunk_id", vector.alias("embedding"))))
+        self.segments("vectors").add(new.select("chunk_id", vector.alias("embedding")), gone)
 
     def chunks(self, no_filter: bool = False) -> DataFrame:
         every = self.table("chunks")

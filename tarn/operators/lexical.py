@@ -17,24 +17,54 @@ from ..functions.text import fold, search_terms, tokens
 K1, B = 1.2, 0.75
 
 
+HEAD = 3  # leading letters by which prefixes meet the dictionary
+SPAN_BITS = 7
+SPAN = 1 << SPAN_BITS  # chunk ids of a block
+
+
 @dataclass
 class TextIndex:
-    """Tables of an index.  ``terms`` (distinct terms) is there for saved indexes; without it queries'
-    tokens are compared with the postings themselves in their one scan."""
+    """Tables of an index.  ``terms`` (the dictionary: distinct terms with their heads) is there for saved indexes; without it
+    queries' tokens are compared with the postings themselves in their one scan.  ``blocks`` tells of each term and block of
+    chunk ids how often it occurs in a chunk at most, in how short a chunk, and in which chunks (:func:`search_top`)."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """Postings are range-partitioned and sorted by term, so scans for few terms skip files and row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id", "field", "pos").write.parquet(f"{path}/postings")
+        """Postings are range-partitioned and sorted by term and chunk, so scans for few terms, or for few blocks of one, skip
+        files, row groups and pages.  The dictionary and the blocks come from the sorted postings, in one pass each."""
+        spark = self.postings.sparkSession
+        rows = self.postings.withColumn("block", block_of(F.col("chunk_id")))
+        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "chunk_id", "field", "pos").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
-        self.postings.sparkSession.read.parquet(f"{path}/postings").select("term").distinct().write.parquet(f"{path}/terms")
+        term_blocks(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+        dictionary(spark.read.parquet(f"{path}/blocks")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")))
+        return TextIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms", "blocks")))
+
+
+def block_of(chunk_id: Column) -> Column:
+    return F.shiftright(chunk_id.cast("long"), SPAN_BITS)
+
+
+def dictionary(rows: DataFrame) -> DataFrame:
+    """``term, head``: distinct terms of ``rows`` with what they start with, in HEAD letters at most."""
+    return rows.select("term").distinct().withColumn("head", F.substring("term", 1, HEAD))
+
+
+def term_blocks(postings: DataFrame) -> DataFrame:
+    """``term, block, most, least, marks``: of the chunks of a block that hold a term, the largest number of occurrences, the smallest
+    length, and a bit for each."""
+    by_chunk = postings.groupBy("term", block_of(F.col("chunk_id")).alias("block"), "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("f"), F.min("dl").alias("dl"))
+    at = F.pmod("chunk_id", F.lit(SPAN)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+    marks = [F.bit_or(F.when(F.shiftright(at, 6) == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(SPAN // 64)]
+    return by_chunk.groupBy("term", "block").agg(F.max("f").alias("most"), F.min("dl").alias("least"), F.array(*marks).alias("marks"))
 
 
 def build_index(chunks: DataFrame, fields: tuple[str, ...] = ("symbol", "code"), chunk_id: str = "chunk_id") -> TextIndex:
@@ -58,13 +88,24 @@ def _matches() -> Column:
     return F.when(F.col("prefix"), F.col("term").startswith(F.col("token"))).otherwise(F.col("term") == F.col("token"))
 
 
+def expand(terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``token, prefix, term``: dictionary terms that the tokens of ``wanted`` stand for.  Whole tokens meet their term by equality; prefixes
+    meet terms by equal heads of as many letters as they have, HEAD at most, and only those that share one are compared."""
+    asked = wanted.select("token", "prefix").distinct()
+    whole = terms.select("term").join(F.broadcast(asked.filter(~F.col("prefix"))), F.col("term") == F.col("token")).select("token", "prefix", "term")
+    size = F.least(F.length("token"), F.lit(HEAD))
+    heads = asked.filter("prefix").select("token", "prefix", size.alias("size"), F.expr(f"left(token, least(length(token), {HEAD}))").alias("head"))
+    filed = terms.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda n: F.struct(n.alias("size"), F.substring("head", F.lit(1), n).alias("head")))).alias("h"))
+    met = filed.select("term", "h.size", "h.head").join(F.broadcast(heads), ["size", "head"]).filter(F.col("term").startswith(F.col("token")))
+    return whole.unionByName(met.select("token", "prefix", "term"))
+
+
 def _hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
     """Postings of the terms that the queries' tokens stand for.  The queries' tokens are broadcast (20 terms a
-    query); with a table of distinct terms they are expanded there and joined by equality."""
+    query); with a dictionary they are expanded there and joined by equality."""
     if index.terms is None:
         return index.postings.join(F.broadcast(wanted), _matches())
-    expanded = index.terms.join(F.broadcast(wanted.select("token", "prefix").distinct()), _matches())
-    return index.postings.join(expanded, "term").join(F.broadcast(wanted), ["token", "prefix"])
+    return index.postings.join(expand(index.terms, wanted), "term").join(F.broadcast(wanted), ["token", "prefix"])
 
 
 def occurrences(index: TextIndex, wanted: DataFrame) -> DataFrame:
@@ -106,6 +147,56 @@ def search_one(index: TextIndex, text: str, k: int | None = 10) -> DataFrame:
     return scored if k is None else scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def search_top(index: TextIndex, text: str, k: int = 10, *, first: int = 4) -> DataFrame:
+    """The rows of :func:`search_one` with an early end, ``chunk_id, score``.
+
+    1. Phrases of one token are counted exactly from the blocks' marks, without postings; those of several tokens need
+       positions, so theirs are read.
+    2. A block's score is at most what its largest counts would give its shortest chunk.  The ``first`` blocks by that bound are
+       scored; the k-th score so far is a floor.
+    3. Blocks whose bound is under the floor hold nothing of the best k: postings of the others are read, once.
+    Bounds are summed by block in the tasks, and only the floor and the first blocks' numbers reach the driver."""
+    spark = index.lengths.sparkSession
+    asked = phrases(spark.createDataFrame([(0, text)], "query_id int, query string")).collect()  # 20 terms at most
+    wanted = spark.createDataFrame([(r.query_id, r.phrase, r.m, r.i, r.token, r.prefix) for r in asked], "query_id int, phrase int, m int, i int, token string, prefix boolean")
+    near = F.lit(False)
+    for t in sorted({(r.token, r.prefix) for r in asked}):
+        near = near | (F.col("term").startswith(t[0]) if t[1] else F.col("term") == t[0])
+    terms = expand(index.terms.filter(near), wanted)
+    corpus = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+    single = index.blocks.filter(near).join(terms, "term").join(F.broadcast(wanted.filter("m = 1")), ["token", "prefix"])
+    seen = single.groupBy("phrase", "block").agg(F.sum("most").alias("most"), F.min("least").alias("least"), F.array(*[F.bit_or(F.col("marks")[w]) for w in range(SPAN // 64)]).alias("marks"))
+    seen = seen.select("phrase", "block", "most", "least", F.aggregate("marks", F.lit(0), lambda n, w: n + F.bit_count(w)).alias("n"))
+    longer = wanted.filter("m > 1")
+    exact = occurrences(TextIndex(index.postings.filter(near), index.lengths, index.terms.filter(near)), longer).withColumn("block", block_of(F.col("chunk_id")))
+    counted = exact.groupBy("phrase", "block").agg(F.max("f").alias("most"), F.min("dl").alias("least"), F.count(F.lit(1)).alias("n"))
+    blocks = seen.unionByName(counted) if any(r.m > 1 for r in asked) else seen
+
+    df = blocks.groupBy("phrase").agg(F.sum("n").alias("n_hit")).crossJoin(F.broadcast(corpus))
+    ratio = F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5))
+    idf = df.select("phrase", "avgdl", F.when(ratio <= 0, 1e-6).otherwise(ratio).alias("idf")).collect()  # a row for each phrase
+    if not idf:
+        return index.lengths.limit(0).select("chunk_id", F.lit(0.0).alias("score"))
+    weights = F.broadcast(spark.createDataFrame([tuple(r) for r in idf], "phrase int, avgdl double, idf double"))
+    part = lambda f, dl: F.col("idf") * F.col(f) * (K1 + 1) / (F.col(f) + K1 * (1 - B + B * F.col(dl) / F.col("avgdl"))) / 100
+    bound = blocks.join(weights, "phrase").groupBy("block").agg((F.sum(part("most", "least")) * (1 + 1e-9)).alias("bound"))
+
+    def scored(kept: Column | DataFrame) -> DataFrame:
+        """Exact scores in some blocks: a condition on ``block``, or a table of blocks."""
+        some = (lambda df: df.filter(kept)) if isinstance(kept, Column) else (lambda df: df.join(kept, "block", "left_semi"))
+        one = some(index.postings.filter(near)).join(terms, "term").join(F.broadcast(wanted.filter("m = 1")), ["token", "prefix"])
+        f = one.groupBy("phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("f"))
+        if any(r.m > 1 for r in asked):
+            f = f.unionByName(some(exact).select("phrase", "chunk_id", "dl", "f"))
+        return f.join(weights, "phrase").groupBy("chunk_id").agg(F.sum(part("f", "dl")).alias("score"))
+
+    best = [r.block for r in bound.orderBy(F.desc("bound"), "block").limit(max(first, -(-k // SPAN))).collect()]
+    floor = scored(F.col("block").isin(best)).orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    rows = scored(bound.filter(F.col("bound") >= (floor.m if floor.n == k else 0.0)).select("block"))
+    return rows.orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
 def memory_like(rows: DataFrame, text: str, columns: list[str], order: list[Column], k: int) -> DataFrame:
     """Rows of which any column is like %text% whatever its case, ``%`` and ``_`` acting as wildcards."""
     pattern = f"%{text}%"

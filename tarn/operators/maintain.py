@@ -82,9 +82,9 @@ def cache_stats(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum(F.size("valid_chunks")), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
 
 
-def upsert(chunks: DataFrame, new: DataFrame, key: str = "uri", id_column: str = "chunk_id") -> DataFrame:
+def upsert(chunks: DataFrame, new: DataFrame, key: str = "uri", id_column: str = "chunk_id", ids: DataFrame | None = None) -> DataFrame:
     """Next snapshot of ``chunks``: rows of ``new`` replace those of the same ``key`` and keep their id;
-    others get ids after the largest.
+    others get ids after the largest (of ``ids``, where ``chunks`` is a part of the table).
 
     New ids are numbered without one global sort: rows are range-partitioned by key, counted by
     partition, and numbered from the sum of the counts before."""
@@ -97,7 +97,7 @@ def upsert(chunks: DataFrame, new: DataFrame, key: str = "uri", id_column: str =
     before = added.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    top = chunks.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
+    top = (chunks if ids is None else ids).agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     added = added.withColumn("_i", inner).join(F.broadcast(before), "_part").crossJoin(F.broadcast(top))
     added = added.withColumn(id_column, F.col("_top") + F.col("_before") + F.col("_i")).drop("_part", "_i", "_before", "_top")
     names = chunks.columns

@@ -11,6 +11,7 @@ from ..operators import lexical, retrieve, vector_index
 from ..sources.tables import fingerprint, read_spread, read_table, shared_folder
 
 QUERY = "thanedble heitkeit mentre the_of"
+PREFIXES = ["q", "th", "ent", "erin", "zzzz", "heitl"]
 TERMS = ["thanedble", "erinan", "heitlich", "queda", "onthe"]
 
 
@@ -51,6 +52,24 @@ def lexical_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, QUERY, 20).select("chunk_id", F.round("score", 9).alias("score"))
 
 
+def lexical_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten by terms, ending early by blocks."""
+    return lexical.search_top(saved_index(spark, sf_dir), " ".join(TERMS[:3]), 10).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def lexical_top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_top(saved_index(spark, sf_dir), QUERY, 20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def lexical_prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token, term, n_chunks``: dictionary terms that start with each of some prefixes, and how many chunks hold them."""
+    index = saved_index(spark, sf_dir)
+    wanted = spark.createDataFrame([(p, True) for p in PREFIXES], "token string, prefix boolean")
+    met = lexical.expand(index.terms, wanted).select("token", "term")
+    held = F.aggregate("marks", F.lit(0), lambda n, w: n + F.bit_count(w))
+    return met.join(index.blocks.select("term", held.cast("long").alias("n")), "term").groupBy("token", "term").agg(F.sum("n").alias("n_chunks"))
+
+
 def lexical_phrase_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, "of_the_a and_the", 25).select("chunk_id", F.round("score", 9).alias("score"))
 
@@ -186,6 +205,10 @@ _L2 = f"1 - list_distance(embedding::DOUBLE[], {_Q})"
 ORACLES = {
     "lexical_bm25_topk": f"{_phrases(QUERY)} SELECT doc_id AS chunk_id, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20",
     "lexical_phrase_prefix": f"{_phrases('of_the_a and_the')} SELECT doc_id AS chunk_id, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 25",
+    "lexical_top_terms": f"{_phrases(' '.join(TERMS[:3]))} SELECT doc_id AS chunk_id, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 10",
+    "lexical_top_phrases": f"{_phrases(QUERY)} SELECT doc_id AS chunk_id, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT 20",
+    "lexical_prefix_terms": f"""{_phrases(QUERY)} SELECT token, term, count(DISTINCT doc_id) AS n_chunks
+        FROM post JOIN (SELECT unnest({PREFIXES!r}) AS token) ON starts_with(term, token) GROUP BY token, term""",
     "lexical_batch_terms": f"""{_phrases(*TERMS)} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score FROM
         (SELECT query_id, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 3""",
     "semantic_knn_topk": f"SELECT vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 20",
@@ -215,5 +238,5 @@ ORACLES = {
     "memory_like": "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE text ILIKE '%lich_n%Keit%' OR source ILIKE '%lich_n%Keit%' ORDER BY doc_id DESC LIMIT 25",
 }
 QUERIES = {f.__name__: f for f in (
-    lexical_bm25_topk, lexical_phrase_prefix, lexical_batch_terms, semantic_knn_topk, semantic_knn_l2, semantic_knn_batch, semantic_ivf_topk, semantic_ivf_batch, semantic_ivf_recall, hybrid_rrf, file_agg_sum, file_agg_max, tier_boost, tier_filter_no_deps, deps_only, memory_like,
+    lexical_bm25_topk, lexical_top_terms, lexical_top_phrases, lexical_prefix_terms, lexical_phrase_prefix, lexical_batch_terms, semantic_knn_topk, semantic_knn_l2, semantic_knn_batch, semantic_ivf_topk, semantic_ivf_batch, semantic_ivf_recall, hybrid_rrf, file_agg_sum, file_agg_max, tier_boost, tier_filter_no_deps, deps_only, memory_like,
 )}
