@@ -337,7 +337,7 @@ def _by_row(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", group_bytes: float = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, kept`` (the bytes left) of every row."""
     found = find_repeats(docs, doc_id=doc_id, text=text, group_bytes=group_bytes)
-    lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    lists = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))  # equal rows give the same ranges
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     joined = _by_row(rows, lists, "left").select("doc_id", "text", "ranges")
 
