@@ -81,6 +81,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return _taken(docs, **options).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def _counted(sizes: DataFrame) -> DataFrame:
+    """Adds ``copy``: rows equal in id, source and text are numbered from 0, so that they can be told apart.  They are counted by the
+    partition they came from, so however many there are, no task has more of them than a partition."""
+    keys = ["doc_id", "source", "size", "tie"]
+    n = sizes.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = n.withColumn("before", before).filter("before > 0").drop("n").withColumnsRenamed({k: f"_{k}" for k in [*keys, "part"]})
+    rows = sizes.withColumn("copy", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row")) - 1)
+    same = [rows[k].eqNullSafe(later[f"_{k}"]) for k in keys]
+    rows = rows.join(later, [rows["part"] == later["_part"], *same], "left")
+    return rows.select(*keys, "row", (F.col("copy") + F.coalesce("before", F.lit(0))).alias("copy"))
+
+
 def _taken(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3),
     ceiling: int = 3, block_words: int = 64, shard_words: int = 400_000, seed: str = "mix-1",
@@ -88,21 +101,21 @@ def _taken(
 ) -> DataFrame:
     """What :func:`mix` gives, and each row's ``shard`` and ``row``, its number: that of the column ``row`` or a new one."""
     number = F.col(row) if row else F.monotonically_increasing_id()
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie"), number.alias("row"))
-    sizes = materialize(sizes, "mix-sizes")
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie"), number.alias("row"), F.spark_partition_id().alias("part"))
+    sizes = _counted(materialize(sizes, "mix-sizes"))
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
     total_seats = F.ceil(F.sum("source_size").over(Window.partitionBy()) / block_words)
     goals = sainte_lague(goals, total_seats, "target", [], [F.col("source")])
     goals = goals.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     goals = materialize(goals.withColumnRenamed("quota", "source_quota"), "mix-goals")
 
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "tie", "copy")
     lines = _with_goals(sizes, goals).withColumn("shard", F.pmod(key, F.col("shards")))
     shards = lines.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"))
     shards = sainte_lague(shards, F.col("source_quota"), "shard_size", ["source"], [F.col("source"), F.col("shard")])
     shards = materialize(shards.select("source", "shard", "shard_size", "quota"), "mix-shards")
 
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "doc_id"), "doc_id", "size", "tie")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "doc_id", "tie", "copy"), "doc_id", "size", "tie", "copy")
     lines = lines.withColumn("line_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # blocks that get one more turn than the others: the quota's rest by seeded hash
     blocks = F.ceil(F.col("shard_size") / block_words)
