@@ -11,11 +11,11 @@ counts) reaches ``threshold``.  A document shorter than the item is one window,
    with them by hash and the texts with hits are read again.
 2. Candidates.  Windows and items get 64-bit SimHashes over words and word pairs.  Multi-index
    search: the fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` bits
-   differ in at most RADIUS // BLOCKS bits of some block, so every item is filed under all block
-   values within that distance and every window looks up its own six block values.  This finds
-   all pairs within the radius.  A word changed within a window of n words moves about 3 of its
-   2n - 1 features; the edits that 0.8 leaves room for turn 5 to 9 bits on average (spread 2 to
-   3), so a pair at 0.8 lies beyond 23 bits with a probability of about 1e-6.
+   differ in at most RADIUS // BLOCKS = 2 bits of some block, so every item is filed under all block
+   values within that distance (380 in all) and every window looks up its own six block values.  This finds
+   all pairs within the radius; of unrelated pairs about a fifth meet in some block.  A word changed within a
+   window of n words moves about 3 of its 2n - 1 features; the edits that 0.8 leaves room for turn 5 to 8 bits on
+   average (spread 2.5), so a pair at just 0.8 lies beyond 17 bits with a probability of about 1e-4.
    A window shorter than its item is not sought by bits, as the words it lacks move it
    further: it needs threshold times the item's shingles, so of its own shingles, taken by the
    number of items that hold them, one of the first (its count less that need, plus one)
@@ -24,7 +24,8 @@ counts) reaches ``threshold``.  A document shorter than the item is one window,
 
 Words are lower-cased runs of non-white-space.  Items of fewer than five words use one
 shingle of all their words; items without words match nothing.  Null texts are empty.
-Repeated items keep their own ids.  Texts are told apart by a digest, so equal texts are searched
+Items are told apart by a digest of their words, so items that share an id or have none are all sought, and
+repeated items keep their own ids.  Texts are told apart by a digest, so equal texts are searched
 once, and rows that share an id or have none are all judged; the result has one row for each
 id (or null) and item.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidied
 
-BLOCKS, RADIUS = 6, 23
+BLOCKS, RADIUS = 6, 17
 _EDGES = [0, 11, 22, 33, 44, 54, 64]  # five of the blocks could be one bit wider; the first four are
 BROADCAST_ROWS = 2_000_000
 
@@ -66,7 +67,7 @@ def _block(fp: Column, b: int) -> Column:
 
 
 def _near_values(fp: Column, b: int) -> Column:
-    """All values of block ``b`` within RADIUS // BLOCKS = 3 bits."""
+    """All values of block ``b`` within RADIUS // BLOCKS bits."""
     bits = [1 << i for i in range(_EDGES[b + 1] - _EDGES[b])]
     masks = [0]
     for _ in range(RADIUS // BLOCKS):
@@ -119,18 +120,20 @@ def _contaminated_texts(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame | None:
     """``tid, item_id, similarity, start_word`` of contaminated texts by their digest; None without any item."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), _hashes(item_text).alias("ih")).withColumn("n", F.size("ih"))
-    items = materialize(items.filter("n > 0").withColumn("k", F.least(F.lit(width), F.col("n"))), "items")
+    named = benchmark.select(F.col(item_id).alias("item_id"), F.md5(F.array_join(_words(F.col(item_text)), " ").cast("binary")).alias("item"), _hashes(item_text).alias("ih"))
+    named = materialize(named.withColumn("n", F.size("ih")).filter("n > 0"), "named-items")
+    items = named.drop("item_id").dropDuplicates(["item"]).withColumn("k", F.least(F.lit(width), F.col("n")))
+    items = materialize(items, "items")
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to `width`: at most that many rows
     if not sizes:
         return None
     zero = F.lit(0)
 
     def shingled(rows: DataFrame, k: int) -> DataFrame:
-        part = rows.filter(F.col("k") == k).select("item_id", "n", "k", "ih", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("_i"))
-        return part.select("item_id", "n", "k", _shingle("ih", "_i", k).alias("s"))
+        part = rows.filter(F.col("k") == k).select("item", "n", "k", "ih", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("_i"))
+        return part.select("item", "n", "k", _shingle("ih", "_i", k).alias("s"))
 
-    item_shingles = _by_k(items, sizes, shingled).groupBy("item_id", "n", "k", "s").agg(F.count(F.lit(1)).alias("c"))
+    item_shingles = _by_k(items, sizes, shingled).groupBy("item", "n", "k", "s").agg(F.count(F.lit(1)).alias("c"))
     item_shingles = materialize(item_shingles, "item-shingles")
     keys = materialize(item_shingles.select("s", "n", "k").distinct(), "item-keys")
 
@@ -152,9 +155,9 @@ def _contaminated_texts(
     texts = materialize(texts, "window-texts")
 
     w_fp = _fingerprint(_features(texts.filter("m = n").withColumn("z", zero), ["wid", "n"], "wh", "z", "n"), ["wid", "n"])
-    i_fp = _fingerprint(_features(items.withColumn("z", zero), ["item_id", "n"], "ih", "z", "n"), ["item_id", "n"])
-    filed = i_fp.select("item_id", "n", F.col("fp").alias("ifp"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _near_values(F.col("fp"), b).alias("vs")) for b in range(BLOCKS)])).alias("e"))
-    filed = filed.select("item_id", "n", "ifp", F.col("e.b").alias("b"), F.explode("e.vs").alias("v"))
+    i_fp = _fingerprint(_features(items.withColumn("z", zero), ["item", "n"], "ih", "z", "n"), ["item", "n"])
+    filed = i_fp.select("item", "n", F.col("fp").alias("ifp"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _near_values(F.col("fp"), b).alias("vs")) for b in range(BLOCKS)])).alias("e"))
+    filed = filed.select("item", "n", "ifp", F.col("e.b").alias("b"), F.explode("e.vs").alias("v"))
     asked = w_fp.select("wid", "n", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("e"))
     asked = asked.select("wid", "n", "fp", F.col("e.b").alias("b"), F.col("e.v").alias("v"))
     found = asked.join(filed.hint("merge"), ["n", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
@@ -171,16 +174,17 @@ def _contaminated_texts(
     rarest = w_sh.filter("m < n").join(rare, ["n", "k", "s"], "left").withColumn("before", F.coalesce(F.sum("cw").over(order), zero))
     need = F.ceil(F.lit(threshold) * (F.col("n") - F.col("k") + 1) - 1e-9)
     rarest = rarest.filter(F.col("before") <= F.col("m") - F.col("k") + 1 - need).select("wid", "n", "k", "s")
-    found = found.select("wid", "item_id", "n").unionAll(rarest.join(item_shingles, ["n", "k", "s"]).select("wid", "item_id", "n")).distinct()
+    found = found.select("wid", "item", "n").unionAll(rarest.join(item_shingles, ["n", "k", "s"]).select("wid", "item", "n")).distinct()
 
     # exact similarity of the pairs found
-    both = found.join(w_sh.select("wid", "n", "m", "s", "cw"), ["wid", "n"]).join(item_shingles, ["item_id", "n", "s"])
-    common = both.groupBy("wid", "item_id", "n", "k", "m").agg(F.sum(F.least("c", "cw")).alias("common"))
+    both = found.join(w_sh.select("wid", "n", "m", "s", "cw"), ["wid", "n"]).join(item_shingles, ["item", "n", "s"])
+    common = both.groupBy("wid", "item", "n", "k", "m").agg(F.sum(F.least("c", "cw")).alias("common"))
     scored = common.withColumn("total", F.col("n") + F.col("m") - 2 * F.col("k") + 2)  # shingles of window and item
     scored = scored.withColumn("similarity", F.col("common") / (F.col("total") - F.col("common")))
     hits = windows.select("tid", "wid", "start").join(scored.filter(F.col("similarity") >= threshold), "wid")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("m"))).alias("best")
-    out = hits.groupBy("tid", "item_id").agg(best)
+    names = named.select("item_id", "item").distinct()
+    out = hits.groupBy("tid", "item").agg(best).join(names, "item").groupBy("tid", "item_id").agg(F.max("best").alias("best"))
     return materialize(out.select("tid", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).alias("start_word")), "contaminated")
 
 
@@ -190,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("tid"))
     bad = _contaminated_texts(docs, benchmark, text=text, **options)
     if bad is None:
-        return rows.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"))
+        return rows.limit(0).select("doc_id", F.lit(None).cast(benchmark.schema[options.get("item_id", "item_id")].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"))
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("m"))).alias("best")
     out = rows.join(bad, "tid").groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.m")).alias("start_word"))

@@ -934,3 +934,43 @@ def test_stages_on_awkward_and_empty_tables(spark, sf, awkward, empty):
                     assert set(kept) <= set(texts) and all(n <= 3 * texts[t] for t, n in kept.items()) and not {None, ""} & set(kept)
                 else:
                     assert kept <= texts and kept[LONG] <= 1
+
+
+def test_items_without_an_id_are_sought(spark):
+    """Items under no id or under one id are each found, dropped, and listed by what id they have."""
+    rng = random.Random(3)
+    items = [" ".join(f"i{rng.randint(0, 999)}" for _ in range(30)) for _ in range(3)]
+    bench = spark.createDataFrame([(None, items[0]), (5, items[1]), (5, items[2]), (6, items[2])], "item_id long, text string")
+    rows = [(1, f"before {items[0]} after"), (2, items[1] + " x"), (3, "y " + items[2]), (4, "clean words only here and there")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in decontaminate.find_contamination(table, bench).collect())
+    assert sorted(map(str, got)) == sorted(map(str, [(1, None, 1.0), (2, 5, 1.0), (3, 5, 1.0), (3, 6, 1.0)]))
+    assert [r.doc_id for r in decontaminate.drop_contaminated(table, bench).collect()] == [4]
+
+
+def test_blocks_are_selective(spark):
+    """Of unrelated windows and items far from all pairs meet in a block; all within the radius do."""
+    rng = np.random.default_rng(4)
+    x, y = (spark.createDataFrame([(int(i), int(v)) for i, v in enumerate(rng.integers(-(2**63), 2**63 - 1, 300))], "id int, fp long") for _ in range(2))
+    at = lambda value: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), value(F.col("fp"), b).alias("v")) for b in range(decontaminate.BLOCKS)])).alias("e")
+    asked = x.select("id", at(decontaminate._block)).select("id", "e.b", "e.v")
+    filed = y.select(F.col("id").alias("item"), at(decontaminate._near_values)).select("item", "e.b", F.explode("e.v").alias("v"))
+    pairs = asked.join(filed, ["b", "v"]).select("id", "item").distinct().count()
+    assert pairs < 0.3 * 300 * 300
+    for bits in (1, 9, decontaminate.RADIUS):
+        turned = [(i, int(np.int64(r.fp) ^ np.bitwise_or.reduce(np.left_shift(np.int64(1), rng.choice(64, bits, replace=False).astype(np.int64))))) for i, r in enumerate(x.collect())]
+        near = spark.createDataFrame(turned, "id int, fp long").select(F.col("id").alias("item"), at(decontaminate._near_values)).select("item", "e.b", F.explode("e.v").alias("v"))
+        assert asked.join(near, ["b", "v"]).filter("id = item").select("id").distinct().count() == 300
+
+
+def test_equal_rows_without_ids_are_spread(spark):
+    """A thousand equal rows without an id: shards keep their size, all are linear, reruns agree."""
+    text = " ".join(f"w{i % 50}" for i in range(1000))
+    rows = [(None, text, "a")] * 400 + [(None, f"{text} {i}", "a") for i in range(200)] + [(i, text, "a") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    shards = mixing._taken(table, shard_words=40_000).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(shards) == 21 and max(r.n for r in shards) < 80_000
+    once, again = (sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(table.repartition(n), shard_words=40_000).collect()) for n in (3, 6))
+    assert once == again
+    found = repeats.remove_repeats(table.limit(0).unionAll(spark.createDataFrame([(None, text, "a")] * 1000, table.schema))).collect()
+    assert len(found) == 1000 and {(r.n_bytes, r.n_removed) for r in found} == {(len(text), len(text))}
