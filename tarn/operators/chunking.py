@@ -7,6 +7,8 @@ are spread over the cluster, nothing is shuffled to be cut, and time grows with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,40 +80,52 @@ def split_oversized(chunks: DataFrame, most: int = MAX_SIZE) -> DataFrame:
     return small.unionByName(parts.select(*keys, "code"))
 
 
+MERGED = "file_path string, start_line int, end_line int, symbol string, code string, chunk_type string, language string"
+
+
 def greedy_merge(chunks: DataFrame, most: int = MAX_SIZE, part: float = MERGE_PART, grow_end: bool = False) -> DataFrame:
     """Adjacent or overlapping chunks of a file merged while both are under ``most * part`` solid characters.
 
     Sizes are looked at before a merge, so a result may exceed ``most``.  The end line is that of
-    the chunk merged in, or the larger of the two with ``grow_end``.  Type and language are the first's."""
-    item = F.struct("start_line", "end_line", "symbol", "code", "chunk_type", "language")
-    limit = most * part
+    the chunk merged in, or the larger of the two with ``grow_end``.  Type and language are the first's.
 
-    def fold(starts: pa.Array, ends: pa.Array, sizes: pa.Array) -> pa.Array:
-        """Index of the first chunk of each merged one."""
-        out = []
-        for a, b, n in zip(starts.to_pylist(), ends.to_pylist(), sizes.to_pylist()):
-            firsts, end, size = [], None, None
-            for i in range(len(a)):
-                known = None not in (end, size, a[i], n[i])
-                if i and known and end + 1 >= a[i] and size < limit and n[i] < limit:
-                    end, size = max(end, b[i]) if grow_end and b[i] is not None else b[i], size + n[i]
+    A scan of sorted rows: chunks are dealt out by file, sorted, and pass by; what is held is the one merged chunk that is
+    still open, of less than twice the limit.  A gap or a chunk at the limit closes it."""
+    limit = most * part
+    order = ["file_path", "start_line", "end_line", "symbol", "code", "chunk_type", "language"]
+    rows = chunks.select("file_path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), "symbol", "code", "chunk_type", "language", _solid(F.col("code")).alias("n"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [c.split()[0] for c in MERGED.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+        joined = lambda parts, by: by.join(x for x in parts if x is not None)
+        held, size, end, out = [], None, None, []
+
+        def close() -> None:
+            if held:
+                ends = [r[2] for r in held if r[2] is not None]
+                last = (max(ends) if ends else None) if grow_end else held[-1][2]
+                out.append((held[0][0], held[0][1], last, joined([r[3] for r in held], "+"), joined([r[4] for r in held], "\n"), held[0][5], held[0][6]))
+                held.clear()
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path, a, b, n = row[0], row[1], row[2], row[7]
+                known = bool(held) and held[0][0] == path and None not in (end, size, a, n)
+                if known and end + 1 >= a and size < limit and n < limit:
+                    end, size = max(end, b) if grow_end and b is not None else b, size + n
                 else:
-                    firsts.append(i)
-                    end, size = b[i], n[i]
-            out.append(firsts)
-        return pa.array(out, pa.list_(pa.int32()))
-
-    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    each = lambda f: F.transform("items", f)
-    firsts = F.arrow_udf(fold, "array<int>")(each(lambda x: x["start_line"].cast("int")), each(lambda x: x["end_line"].cast("int")), each(lambda x: _solid(x["code"])))
-    rows = rows.withColumn("firsts", firsts).select("file_path", "items", "firsts", F.posexplode("firsts").alias("i", "a"))
-    stop = F.coalesce(F.get("firsts", F.col("i") + 1), F.size("items"))
-    rows = rows.select("file_path", F.slice("items", F.col("a") + 1, stop - F.col("a")).alias("m"))
-    end = F.array_max("m.end_line") if grow_end else F.element_at("m.end_line", -1)
-    return rows.select(
-        "file_path", F.col("m")[0]["start_line"].cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join("m.symbol", "+").alias("symbol"), F.array_join("m.code", "\n").alias("code"),
-        F.col("m")[0]["chunk_type"].alias("chunk_type"), F.col("m")[0]["language"].alias("language"),
-    )
+                    close()
+                    end, size = b, n
+                held.append(row)
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+
+    return rows.repartition("file_path").sortWithinPartitions(*order).mapInArrow(scan, MERGED)
 
 
 def deduplicate(chunks: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
