@@ -13,6 +13,7 @@ import re
 import tokenize
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ _CLASS = re.compile(r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected
 _FUNCTION = re.compile(
     r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|final\s+|override\s+|pub(?:\([^)]*\))?\s+)*(?:function\*?|func|fn|def|fun)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)"
     r"|^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"
-    r"|^\s*(?:[A-Za-z_][\w<>\[\]:*&,\s]*\s[*&]?)([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:throws\s+[\w.,\s]+)?\{"
+    r"|^\s*(?:[A-Za-z_][\w<>\[\]:*&,?.\s]*[\s*&])(~?[A-Za-z_]\w*(?:::~?\w+)*)\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*)*(?:throws\s+[\w.,\s]+)?(?::[^;{]*)?\{"
 )
 _NOT_NAMES = frozenset("if for while switch return catch else do new delete sizeof throw".split())
 
@@ -63,31 +64,41 @@ def python_concepts(code: str) -> list[tuple[str, str, int, int, str | None]]:
     return sorted(out, key=lambda c: c[2])
 
 
-def scanned_concepts(code: str, ruby: bool = False) -> list[tuple[str, str, int, int, str | None]]:
-    """Declarations by line patterns; a block ends where its braces (or ``end``) balance."""
-    lines, out, owners = code.split("\n"), [], []
+#: What is no code in a language: comments, and strings of all its forms.  Fixed patterns.
+_SLASHES, _STRING, _CHAR = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'"
+_NO_CODE = {
+    "go": rf"{_SLASHES}|`[^`]*`?|{_STRING}|{_CHAR}",
+    "rust": rf"""{_SLASHES}|\br(#*)".*?(?:"\1|\Z)|{_STRING}|'(?:\\[^'\n]+|[^'\\\n])'""",
+    "java": rf'{_SLASHES}|""".*?(?:"""|\Z)|{_STRING}|{_CHAR}',
+    "c": rf"{_SLASHES}|{_STRING}|{_CHAR}",
+    "cpp": rf"""{_SLASHES}|\bR"([^(\s]*)\(.*?(?:\)\1"|\Z)|{_STRING}|(?<!\w){_CHAR}""",
+    "csharp": rf'{_SLASHES}|""".*?(?:"""|\Z)|\$?@\$?"(?:""|[^"])*"?|{_STRING}|{_CHAR}',
+    "php": rf"""{_SLASHES}|\#(?!\[)[^\n]*|<<<['"]?(\w+)['"]?\n.*?(?:\n\s*\1\b|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?""",
+    "ruby": rf"""^=begin\b.*?(?:^=end\b|\Z)|<<[~-]?(['"]?)([A-Z]\w*)\1[^\n]*\n.*?(?:^\s*\2\b|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|\#[^\n]*""",
+}
+_NO_CODE = {language: re.compile(pattern, re.S | re.M) for language, pattern in _NO_CODE.items()}
+_OPENS, _CLOSES = re.compile(r"\b(?:def|class|module|do|begin|case)\b|^\s*(?:if|unless|while|until|for)\b(?!.*\bdo\b)"), re.compile(r"\bend\b")
+
+
+def _bare(code: str, trivia: re.Pattern) -> list[str]:
+    """Lines of ``code`` with blanks for what is no code."""
+    return trivia.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code).split("\n")
+
+
+def scanned_concepts(code: str, language: str) -> list[tuple[str, str, int, int, str | None]]:
+    """Functions, methods and classes by declarations, outside strings and comments; a block ends where its braces (or ``end``) balance.
+    A brace may stand on the line after the declaration."""
+    lines, out, owners, ruby = _bare(code, _NO_CODE[language]), [], [], language == "ruby"
     for i, line in enumerate(lines):
         owners = [o for o in owners if o[1] > i]
-        m, kind = _CLASS.match(line), "class"
+        probe = line + " {" if i + 1 < len(lines) and lines[i + 1].lstrip().startswith("{") else line
+        m, kind = _CLASS.match(probe), "class"
         if not m:
-            m, kind = _FUNCTION.match(line), "function"
+            m, kind = _FUNCTION.match(probe), "function"
         name = m and next((g for g in m.groups() if g), None)
         if not name or name in _NOT_NAMES:
             continue
-        depth, opened, end = 0, False, i
-        for j in range(i, len(lines)):
-            if ruby:
-                depth += len(re.findall(r"\b(?:def|class|module|do|begin|case)\b|^\s*(?:if|unless|while)\b", lines[j])) - len(re.findall(r"\bend\b", lines[j]))
-                opened = True
-            else:
-                depth += lines[j].count("{") - lines[j].count("}")
-                opened |= "{" in lines[j]
-            end = j
-            if opened and depth <= 0:
-                break
-            if not opened and (lines[j].rstrip().endswith(";") or j > i + 3):
-                end = i
-                break
+        end = _ruby_end(lines, i) if ruby else _block_end(lines, i)
         owner = owners[-1][0] if owners else None
         out.append((name, "method" if kind == "function" and owner else kind, i + 1, end + 1, owner))
         if kind == "class":
@@ -95,6 +106,15 @@ def scanned_concepts(code: str, ruby: bool = False) -> list[tuple[str, str, int,
     return out
 
 
+def _ruby_end(lines: list[str], start: int) -> int:
+    depth = 0
+    for j in range(start, len(lines)):
+        depth += len(_OPENS.findall(lines[j])) - len(_CLOSES.findall(lines[j]))
+        if depth <= 0:
+            return j
+    return len(lines) - 1
+
+
 _TRIVIA = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _METHOD = re.compile(r"^\s*(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)\s*(?::\s*[^;{]+)?\{")
 _FIELD = re.compile(r"^\s*(?:(?:static|public|private|protected|readonly)\s+)*(#?[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=;]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
@@ -106,8 +126,8 @@ def script_concepts(code: str) -> list[tuple[str, str, int, int, str | None]]:
     """Concepts of JavaScript and TypeScript: functions (declared, arrow, assigned; ``anonymous`` without a name), classes,
     interfaces and type aliases, methods and function fields of classes, comments.  Braces in strings do not count."""
     found = [(f"comment_{n}", "comment", n, n + m[0].count("\n"), None) for m in _TRIVIA.finditer(code) if m[0][0] == "/" for n in [code.count("\n", 0, m.start()) + 1]]
-    bare = _TRIVIA.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-    lines, owners, out = bare.split("\n"), [], []
+    lines, owners, out = _bare(code, _TRIVIA), [], []
+    depth = [0, *accumulate(x.count("{") - x.count("}") for x in lines)]  # open braces before each line
     for i, line in enumerate(lines):
         owners = [o for o in owners if o[1] > i]
         owner = owners[-1] if owners else None
@@ -115,7 +135,7 @@ def script_concepts(code: str) -> list[tuple[str, str, int, int, str | None]]:
         if not m:
             kind = "function"
             m = _FUNCTION.match(line) or _VALUE.match(line)
-            if not m and owner and owner[2] == _depth(lines, owner[3], i):
+            if not m and owner and owner[2] == depth[i] - depth[owner[3]]:
                 m = _METHOD.match(line) or _FIELD.match(line)
         name = "anonymous" if _ANONYMOUS.match(line) else next((g for g in m.groups() if g), None) if m else None
         if not name or name in _NOT_NAMES:
@@ -127,11 +147,6 @@ def script_concepts(code: str) -> list[tuple[str, str, int, int, str | None]]:
     return out + found
 
 
-def _depth(lines: list[str], start: int, line: int) -> int:
-    """Open braces before ``line``, counted from the line of a class."""
-    return sum(x.count("{") - x.count("}") for x in lines[start:line])
-
-
 def _block_end(lines: list[str], start: int) -> int:
     depth, opened = 0, False
     for j in range(start, len(lines)):
@@ -153,7 +168,7 @@ def concepts(files: DataFrame) -> DataFrame:
             for path, language, text in zip(frame["file_path"], frame["language"], frame["text"]):
                 if not text or not text.strip():
                     continue
-                read = python_concepts if language == "python" else script_concepts if language in SCRIPT else partial(scanned_concepts, ruby=language == "ruby") if language in SCANNED else None
+                read = python_concepts if language == "python" else script_concepts if language in SCRIPT else partial(scanned_concepts, language=language) if language in SCANNED else None
                 found = read(text) if read else []
                 rows += [(path, language, *c) for c in found]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CONCEPTS.split(", ")])
