@@ -6,8 +6,10 @@ writes in proportion to itself; decisions, timeline and changelogs as versioned
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +35,15 @@ SEGMENTED = {
     "postings": ("term string, chunk_id long, field string, pos int, dl int", "chunk_id", ("term", "chunk_id")), "lengths": ("chunk_id long, dl int", "chunk_id", ()),
     "terms": ("term string, head string", "term", ("term",)),
 }
+SEARCHED = ("chunks", "manifest", "postings", "lengths", "terms", "vectors")  # what a search reads
+CACHED = 500  # searches whose results are kept
 MEMORY = {"decisions": memory.DECISIONS, "timeline": memory.TIMELINE, "changelogs": memory.CHANGELOGS}
 
 
 class Project:
     def __init__(self, spark: SparkSession, root: str, dimensions: int = 64):
         self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
+        self._found: OrderedDict[str, tuple[tuple, list, object]] = OrderedDict()  # by digest of the search: versions, rows, schema
 
     # ------------------------------------------------------------ tables
     def segments(self, name: str) -> Segments:
@@ -206,6 +211,24 @@ class Project:
         rows = retrieve.with_chunks(hits.select("chunk_id", "score"), self.table("chunks"))
         return rows if where is None or strict else rows.filter(where)
 
+    def versions(self) -> tuple[int, ...]:
+        """The last commits of the tables that a search reads."""
+        return tuple((self.segments(t).versions() or [0])[-1] for t in SEARCHED)
+
+    def search_cached(self, query: str, k: int = 10, **options) -> DataFrame:
+        """:func:`search`, whose k rows are kept for the next one that asks the same.  A result is void once any table has another
+        version; of more than CACHED the one used longest ago goes.  A hit runs no job.  Conditions (``where``) are told apart by their text."""
+        asked = json.dumps([query, k, sorted((n, str(v)) for n, v in options.items())])
+        key, now = hashlib.sha256(asked.encode()).hexdigest(), self.versions()
+        known = self._found.pop(key, None)
+        if known is None or known[0] != now:
+            found = self.search(query, k, **options)
+            known = (now, found.collect(), found.schema)  # k rows
+        self._found[key] = known
+        while len(self._found) > CACHED:
+            self._found.popitem(last=False)
+        return self.spark.createDataFrame(known[1], known[2])
+
     def search_files(self, query: str, k: int = 10, how: str = "sum") -> DataFrame:
         return retrieve.by_file(self.search(query, 5 * k), k, how)
 

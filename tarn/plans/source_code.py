@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, lexical
+from ..operators import graph, lexical, resolve
 from ..sources import code
 from ..sources.tables import read_table
 
@@ -85,6 +85,49 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("language", "chunk_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
 
 
+REGION = """def total(x):
+    return helper(x)
+
+
+def helper(x):
+    return round(x)
+"""
+NATION = """from regions.r{r} import total as up
+import regions.r{r}
+
+
+def nation_{k}(x):
+    return up(x) + regions.r{r}.helper(x)
+"""
+SUPPLIER = """import nations.n{r} as home
+from tools.scale import *
+
+
+class Supplier(Base):
+    def load(self):
+        return self.cost(2)
+
+    def cost(self, n):
+        return home.nation_{r}({k}) * n * len(only_{k}())
+
+
+def only_{k}():
+    return Supplier().load()
+"""
+
+
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls resolved to definitions, over a module for each region, nation and supplier."""
+    region, nation, supplier = (read_table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+
+    def files(rows: DataFrame, folder: str, template: str, key: str, above: str) -> DataFrame:
+        text = F.replace(F.replace(F.lit(template), F.lit("{k}"), F.col(key).cast("string")), F.lit("{r}"), F.col(above).cast("string"))
+        return rows.select(F.format_string(f"src/{folder}%d.py", F.col(key)).alias("file_path"), F.lit("python").alias("language"), text.alias("text"))
+
+    made = files(region, "regions/r", REGION, "r_regionkey", "r_regionkey").unionAll(files(nation, "nations/n", NATION, "n_nationkey", "n_regionkey")).unionAll(files(supplier, "suppliers/s", SUPPLIER, "s_suppkey", "s_nationkey"))
+    return resolve.call_edges(code.concepts(made), code.references(made))
+
+
 def research_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks found from one region: it names its nations, and these their suppliers; two hops of five names."""
     region, nation, supplier = (read_table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
@@ -116,6 +159,14 @@ _ENTITIES = [  # remainder, name, kind, line
 _row = lambda r: "(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")"
 
 ORACLES = {
+    "call_graph": """WITH r AS (SELECT 'src/regions/r' || r_regionkey || '.py' AS f FROM region), n AS (SELECT 'src/nations/n' || n_nationkey || '.py' AS f, 'src/regions/r' || n_regionkey || '.py' AS up, n_nationkey AS k, n_regionkey AS r FROM nation),
+        s AS (SELECT 'src/suppliers/s' || s_suppkey || '.py' AS f, 'src/nations/n' || s_nationkey || '.py' AS up, s_suppkey AS k, s_nationkey AS n FROM supplier),
+        e(caller_file, caller, caller_line, name, callee_file, callee, callee_line, scope) AS (
+            SELECT f, 'total', 1, 'helper', f, 'helper', 5, 'file' FROM r
+            UNION ALL SELECT f, 'nation_' || k, 5, 'up', up, 'total', 1, 'import' FROM n UNION ALL SELECT f, 'nation_' || k, 5, 'regions.r' || r || '.helper', up, 'helper', 5, 'import' FROM n
+            UNION ALL SELECT f, 'load', 6, 'self.cost', f, 'cost', 9, 'class' FROM s UNION ALL SELECT f, 'cost', 9, 'home.nation_' || n, up, 'nation_' || n, 5, 'import' FROM s
+            UNION ALL SELECT f, 'cost', 9, 'only_' || k, f, 'only_' || k, 13, 'file' FROM s UNION ALL SELECT f, 'only_' || k, 13, 'Supplier', f, 'Supplier', 5, 'file' FROM s)
+        SELECT * FROM e""",
     "research_hops": """WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation WHERE n_regionkey = 0 ORDER BY n_nationkey LIMIT 5)
         SELECT CAST(1000000000 AS BIGINT) AS chunk_id, 0 AS hop UNION ALL SELECT n_nationkey + 2000000000, 1 FROM n
         UNION ALL SELECT * FROM (SELECT s_suppkey, 2 FROM supplier JOIN n ON s_nationkey = n_nationkey ORDER BY i, s_suppkey LIMIT 5)""",
@@ -128,4 +179,4 @@ ORACLES = {
         u AS (SELECT r, language, concept, start_line, end_line FROM c UNION ALL SELECT * FROM g)
         SELECT language, concept AS chunk_type, count(*) AS n_chunks, CAST(sum(end_line - start_line + 1) AS BIGINT) AS n_lines FROM part JOIN u ON p_partkey % 4 = r GROUP BY 1, 2""",
 }
-QUERIES = {f.__name__: f for f in (code_concepts, code_entities, code_chunks, research_hops)}
+QUERIES = {f.__name__: f for f in (code_concepts, code_entities, code_chunks, call_graph, research_hops)}

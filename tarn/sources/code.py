@@ -242,3 +242,51 @@ def entities(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["chunk_id", "seq", "name", "entity_type", "line"])
 
     return chunks.select("chunk_id", "language", "start_line", "code").mapInPandas(work, ENTITIES)
+
+
+REFERENCES = "file_path string, kind string, symbol string, parent string, start_line int, name string, module string, level int"
+
+
+def python_references(code: str) -> list[tuple[str, str | None, str | None, int | None, str, str | None, int]]:
+    """``call``: the called name and the function (with its class and first line) that calls, null at the top of a file;
+    ``import``: a local name, its module and, of what is imported from a module, the name there (in ``symbol``)."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+
+    def walk(node: ast.AST, within: tuple[str | None, str | None, int | None], owner: str | None) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.Call):
+                parts, f = [], child.func
+                while isinstance(f, ast.Attribute):
+                    parts.append(f.attr)
+                    f = f.value
+                if isinstance(f, ast.Name):
+                    out.append(("call", *within, ".".join([f.id, *reversed(parts)]), None, 0))
+            elif isinstance(child, ast.Import):
+                out.extend(("import", None, None, None, a.asname or a.name, a.name, 0) for a in child.names)
+            elif isinstance(child, ast.ImportFrom):
+                out.extend(("import", a.name, None, None, a.asname or a.name, child.module or "", child.level) for a in child.names)
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                walk(child, (child.name, owner, child.lineno), owner)
+            elif isinstance(child, ast.ClassDef):
+                walk(child, within, child.name)
+            else:
+                walk(child, within, owner)
+
+    walk(tree, (None, None, None), None)
+    return out
+
+
+def references(files: DataFrame) -> DataFrame:
+    """Calls and imports of the Python files of ``file_path, language, text``."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(path, *r) for path, text in zip(frame["file_path"], frame["text"]) for r in python_references(text or "")]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in REFERENCES.split(", ")])
+            yield out.astype({"start_line": "Int32", "level": "int32"})
+
+    return files.filter("language = 'python'").select("file_path", "text").mapInPandas(work, REFERENCES)
