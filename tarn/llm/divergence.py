@@ -1,9 +1,10 @@
 """Audit of how sources of a language differ in their words, by sorting and scanning runs.
 
-1. Documents are counted by Arrow batch where they lie: a row for each language, source, term and batch with
-   the documents that hold the term and its occurrences.  So a word of all documents is a few rows a batch.
-2. These rows are range-partitioned and sorted by language and term (by their hash first), source and document (the
-   batch's digest).  A scan of runs gives partial document frequencies and counts; as ranges also split equal terms,
+1. Documents are counted where they lie: a row for each language, source and term of some Arrow batches (a task's, while
+   they have at most HELD rows) with the documents that hold the term and its occurrences.  So a word of all
+   documents is a few rows a task.
+2. These rows are range-partitioned and sorted by language, term, source and document (the batches'
+   digest).  A scan of runs gives partial document frequencies and counts; as ranges also split equal terms,
    no term is ever one task's.  The partial rows of a run, at most one for each range it spans, are summed.
 3. Terms in at least ``min_docs`` documents of their language are kept.  Each becomes one row with the shares of all
    sources of the language, in parts of a billion, and the scan of those emits, for each task, the partial sums of
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, text_buffer, tidied, words
 
 BILLION = 1_000_000_000
+HELD = 1_500_000  # rows that a task adds up before it hands them on
 GROUPS = 20_000  # languages with sources up to this many are broadcast
 _TERM = np.zeros(256, bool)
 _TERM[128:] = _TERM[65:91] = _TERM[97:123] = True
@@ -45,39 +48,72 @@ def _terms(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(kept)), row
 
 
+_COUNTED = ["lang", "term", "source", "document", "docs", "n"]
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+    rows, mark = 0, 0
     for batch in batches:
-        terms, row = _terms(batch.column("text"))
-        if not len(terms):
+        found = _counted(batch)
+        if found is None:
             continue
-        coded = terms.dictionary_encode()
-        group = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], ["lang", "source"])
-        keys = [batch.column(c).dictionary_encode() for c in ("lang", "source")]
-        of_row = keys[0].indices.to_numpy().astype(np.int64) * len(keys[1].dictionary) + keys[1].indices.to_numpy()
-        size = len(coded.dictionary)
-        held, n = np.unique(row.astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)  # of each document, in order
-        key = of_row[held // size] * size + held % size
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        at = pa.array((held // size)[order][first])
-        place = group.take(at)
-        out = [place.field("lang"), coded.dictionary.take(pa.array(key[first] % size)).cast(pa.string()), place.field("source")]
-        mark = zlib.crc32(memoryview(text_buffer(batch.column("text"))[0]))
-        docs = np.diff(np.append(first, len(key)))
-        yield pa.RecordBatch.from_arrays([*out, pa.array(np.full(len(first), mark, np.int64)), pa.array(docs), pa.array(np.add.reduceat(n[order], first))], ["lang", "term", "source", "document", "docs", "n"])
+        held.append(found)
+        rows += len(found)
+        mark = zlib.crc32(memoryview(text_buffer(batch.column("text"))[0]), mark)
+        if rows > HELD:
+            held = [_summed(held)]
+            rows = len(held[0])
+            if rows > HELD // 2:  # equal terms are few: on with them
+                yield from _marked(held[0], mark)
+                held, rows, mark = [], 0, 0
+    if held:
+        yield from _marked(_summed(held), mark)
+
+
+def _summed(held: list[pa.Table]) -> pa.Table:
+    if len(held) == 1:
+        return held[0]
+    return pa.concat_tables(held).group_by(["lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")]).rename_columns(["lang", "term", "source", "docs", "n"])
+
+
+def _marked(table: pa.Table, mark: int) -> Iterator[pa.RecordBatch]:
+    table = table.append_column("document", pa.array(np.full(len(table), mark, np.int64))).select(_COUNTED)
+    yield from table.to_batches(max_chunksize=1 << 16)
+
+
+def _counted(batch: pa.RecordBatch) -> pa.Table | None:
+    """``lang, term, source, docs, n`` of the documents of a batch."""
+    terms, row = _terms(batch.column("text"))
+    if not len(terms):
+        return None
+    coded = terms.dictionary_encode()
+    group = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], ["lang", "source"])
+    keys = [batch.column(c).dictionary_encode() for c in ("lang", "source")]
+    of_row = keys[0].indices.to_numpy().astype(np.int64) * len(keys[1].dictionary) + keys[1].indices.to_numpy()
+    size = len(coded.dictionary)
+    seen, n = np.unique(row.astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)  # of each document, in order
+    key = of_row[seen // size] * size + seen % size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    place = group.take(pa.array((seen // size)[order][first]))
+    term = coded.dictionary.take(pa.array(key[first] % size)).cast(pa.string())
+    docs, total = np.diff(np.append(first, len(key))), np.add.reduceat(n[order], first)
+    return pa.table([place.field("lang"), term, place.field("source"), pa.array(docs, pa.int64()), pa.array(total, pa.int64())], ["lang", "term", "source", "docs", "n"])
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows to one row for each run of equal language, term and source in a batch, with sums."""
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = True
+        new = np.ones(n, bool)
+        new[1:] = False
         for c in ("lang", "term", "source"):
-            code = batch.column(c).dictionary_encode().indices.to_numpy()
-            new[1:] |= code[1:] != code[:-1]
+            col = batch.column(c)
+            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         first = np.flatnonzero(new)
         sums = [pa.array(np.add.reduceat(batch.column(c).to_numpy(), first)) for c in ("docs", "n")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first)) for c in ("lang", "term", "source")), *sums], ["lang", "term", "source", "docs", "n"])
@@ -88,10 +124,8 @@ def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", sour
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
     counted = materialize(map_arrow(rows, _count_batches, "lang string, term string, source string, document long, docs long, n long"), "batch-terms")
-    # a hash of language and term goes first: sorts compare one number, and nearly all rows differ in it or are one run
-    keys = ["run", "lang", "term", "source", "document"]
-    counted = counted.withColumn("run", F.xxhash64("lang", "term"))
-    runs = map_arrow(counted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("run"), _scan_runs, "lang string, term string, source string, docs long, n long")
+    keys = ["lang", "term", "source", "document"]
+    runs = map_arrow(counted.repartitionByRange(*keys).sortWithinPartitions(*keys), _scan_runs, "lang string, term string, source string, docs long, n long")
     return runs.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 

@@ -180,7 +180,9 @@ def test_divergence_in_small_batches(spark, awkward, monkeypatch):
     rows = [(i, " ".join(rng.choice("uno dos tres QUATRO cinco".split()) for _ in range(30)), "es", f"s{i % 3}") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
     monkeypatch.setattr(common, "ARROW_BYTES", 2000)
-    assert sorted(map(tuple, divergence.audit(table, min_docs=30, limit=3).collect())) == _audited(rows, 30, 3)
+    for held in (3, 8, 10_000):
+        monkeypatch.setattr(divergence, "HELD", held)
+        assert sorted(map(tuple, divergence.audit(table, min_docs=30, limit=3).collect())) == _audited(rows, 30, 3)
 
 
 def test_divergence_of_an_empty_table(awkward):
