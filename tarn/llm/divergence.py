@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, text_buffer, tidied, words
 
 BILLION = 1_000_000_000
-HELD = 1_500_000  # rows that a task adds up before it hands them on
+HELD = 800_000  # rows that a task adds up before it hands them on
 GROUPS = 20_000  # languages with sources up to this many are broadcast
 _TERM = np.zeros(256, bool)
 _TERM[128:] = _TERM[65:91] = _TERM[97:123] = True
