@@ -10,8 +10,10 @@ with the global prior replaced by its path's posterior, reach ``threshold``.
 
 Model fitting uses a bounded sample of labelled rows (``sample_rows``, ordered by a hash of
 the id); all counts and posteriors cover all documents.  Null text is empty and judged
-like any other text; null host or path is a group of its own; rows repeat freely; with
-no labels, or labels of one class, own evidence is 0 and everything is kept.
+like any other text; null host or path is a group of its own; rows repeat freely.  An id
+that is labelled more than once is good if all its labels say so and toxic if one does; of
+documents that share a labelled id the smallest text is fitted, so a sampled id is one row.
+With no labels, or labels of one class, own evidence is 0 and everything is kept.
 """
 
 from __future__ import annotations
@@ -102,8 +104,10 @@ def _features(col: pa.Array, toxic: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", good: str = "quality", toxic: str = "toxic", sample_rows: int = 12_000, rounds: int = 40) -> Model:
     """Fit on at most ``sample_rows`` labelled rows, the only rows that reach the driver (as features)."""
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(good).cast("int").alias("_good"), F.coalesce(F.col(toxic).cast("int"), F.lit(0)).alias("_toxic"))
-    marks = marks.filter("_id is not null and _good is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    chosen = F.broadcast(marks).join(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id").select(F.col("_id").cast("string").alias("_row"), "text", "_good", "_toxic")
+    marks = marks.filter("_id is not null and _good is not null").groupBy("_id").agg(F.min("_good").alias("_good"), F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = F.broadcast(marks).join(texts, "_id").groupBy("_id", "_good", "_toxic").agg(F.min("text").alias("text"))
+    chosen = chosen.select(F.col("_id").cast("string").alias("_row"), "text", "_good", "_toxic")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -792,6 +792,22 @@ def test_large_buckets_are_split_without_loss(spark):
     assert 1 < len(set(got.values())) < 130
 
 
+def test_quality_of_repeated_ids_and_labels(spark):
+    """Labels that contradict each other count as the strictest, and documents that share a labelled id as one, in any order."""
+    good, junk = "the house stands near the old river and people walk there", "BUY || NOW ||| $$$ >>> CLICK ### !!!"
+    rows = [(i, good + f" {i}" if i % 2 else junk + f" {i}") for i in range(60)]
+    marks = [(i, i % 2, 0) for i in range(60)]
+    shared = rows + [(1, "zz " + junk)] * 300 + [(None, junk)] * 20 + [(3, None)] * 2
+    doubled = marks + [(5, 0, 0), (7, 1, 1), (None, 1, 0), (9, None, 1)] * 3
+    make = lambda d, m: quality.fit(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(m, "doc_id long, quality int, toxic int"))
+    plain = [(i, "" if i == 3 else t) for i, t in rows]  # the empty text is the smallest of id 3
+    strict = [(i, 0 if i == 5 else q, 1 if i == 7 else t) for i, q, t in marks]
+    want = make(plain, strict)
+    for d, m in ((shared, doubled), (shared[::-1], doubled[::-1])):
+        got = make(d, m)
+        assert np.allclose(got.weights, want.weights) and np.allclose(got.mean, want.mean) and got.prior == want.prior
+
+
 def test_quality_equals_brute_force(spark, sf):
     """Posteriors and decisions from each document's own log-odds, by plain sums over hosts and paths."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
