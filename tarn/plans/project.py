@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import render, text
 from ..operators import evaluate, graph, memory
+from ..sources.tables import read_stream, shared_folder
+from ..streaming import pending
 from ..streaming.watch import debounced
 
 
@@ -58,7 +62,11 @@ def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").filter("event_type in ('signup', 'purchase')")
+    return _as_decisions(_table(spark, sf_dir, "events"))
+
+
+def _as_decisions(events: DataFrame) -> DataFrame:
+    e = events.filter("event_type in ('signup', 'purchase')")
     status = F.when(F.col("event_type") == "signup", "pending").otherwise("approved")
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("d"), "event_id").alias("title"), F.lit("text").alias("description"), F.lit(None).cast("string").alias("reasoning"), status.alias("status"), F.lit(None).cast("string").alias("category"), F.col("ts").alias("created_at"), F.col("ts").alias("approved_at"))
 
@@ -67,6 +75,15 @@ def pending_fifo_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.retain_pending(_decisions(spark, sf_dir)).select("id", "status")
 
 
+def pending_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pending rows of :func:`pending_fifo_100`, kept by a query over the stream of decisions."""
+    folder = f"{shared_folder(spark)}/tarn-pending-{uuid.uuid4().hex}"
+    decisions = _as_decisions(read_stream(spark, sf_dir, "events"))
+    query = pending.keep_pending(decisions, f"{folder}/rows", f"{folder}/checkpoint", trigger={"availableNow": True})
+    query.awaitTermination()
+    return pending.read_pending(spark, f"{folder}/rows", "id long, status string, created_at timestamp_ntz").select("id", "created_at")
+
+
 def oldest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.oldest_pending(_decisions(spark, sf_dir)).select("id", "created_at")
 
@@ -212,6 +229,7 @@ ORACLES = {
             CASE lang WHEN 'en' THEN contains(source, 'src9') OR contains(source, 'src17') WHEN 'de' THEN contains(source, 'rc16') WHEN 'es' THEN contains(source, 'src5') ELSE false END AS ok FROM documents)
         SELECT lang AS query_id, round(coalesce(1 / min(rank) FILTER (ok), 0), 9) AS mrr, coalesce(min(rank) FILTER (ok) <= 5, false) AS hit FROM r GROUP BY lang""",
     "pending_fifo_100": "SELECT event_id AS id, 'approved' AS status FROM events WHERE event_type = 'purchase' UNION ALL (SELECT event_id, 'pending' FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 100)",
+    "pending_stream": "SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 100",
     "oldest_pending": "SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 20",
     "approve_reject": """SELECT CASE WHEN event_type = 'purchase' THEN 'approved' WHEN event_id < 400 AND event_id % 3 = 0 THEN 'approved' WHEN event_id < 400 AND event_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status,
         CASE WHEN event_type = 'signup' AND event_id < 400 AND event_id % 3 = 0 THEN 'design' END AS category, count(*) AS n_rows FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1, 2""",
@@ -246,6 +264,6 @@ ORACLES = {
     "multi_hop_frontier": f"WITH {_EDGES} SELECT 'ASIA' AS entity, 0 AS hop UNION ALL SELECT b, 1 FROM e WHERE a = 'ASIA' UNION ALL SELECT DISTINCT e2.b, 2 FROM e e1 JOIN e e2 ON e1.b = e2.a WHERE e1.a = 'ASIA'",
 }
 QUERIES = {f.__name__: f for f in (
-    recall_precision_hit, ndcg, mrr, compare_systems_delta, weighted_mean, latency_percentile, match_metrics, pending_fifo_100, oldest_pending, approve_reject, timeline_filter, importance, changelog_range,
+    recall_precision_hit, ndcg, mrr, compare_systems_delta, weighted_mean, latency_percentile, match_metrics, pending_fifo_100, pending_stream, oldest_pending, approve_reject, timeline_filter, importance, changelog_range,
     changelog_range_semver, sync_dedup, import_insert_if_absent, import_newest_wins, commit_classify, merge_branches, render_changelogs, render_timeline, debounce_sessions, call_graph, entry_points, multi_hop_frontier,
 )}

@@ -16,6 +16,15 @@ def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's files as a stream, whether it is one file or a folder of them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(f"{folder}/{name}.parquet")
+    one = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    rows = spark.readStream.schema(read_table(spark, folder, name).schema)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if one else rows.parquet(f"{folder}/{name}.parquet")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is not set, the warehouse of a local session.  A cluster has to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
