@@ -12,7 +12,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -238,10 +238,13 @@ class Project:
         return memory.search(tables[0], *[t.limit(0) if decisions_only else t for t in tables[1:]], words, k)
 
     def search_all(self, query: str, k: int = 10, **options) -> DataFrame:
-        """Code and memory in one list: ``kind, ref, title, body, score``, the best k.  Memory rows score 1, code as it is found."""
-        found = self.search(query, k, **options).select(F.lit("code").alias("kind"), F.col("uri").alias("ref"), F.col("symbol").alias("title"), F.col("code").alias("body"), "score")
-        known = self.search_memory(query, k).select("kind", "ref", "title", "body", F.lit(1.0).alias("score"))
-        return known.unionByName(found).orderBy(F.desc("score"), "kind", "ref").limit(k)
+        """Code and memory in one list: ``kind, ref, title, body, score, rank``.  The k rows of :func:`search` in their order, and after them
+        up to k memory rows that hold the words, newest first and without a score: neither kind takes the other's places."""
+        code = self.search(query, k, **options).select(F.lit("code").alias("kind"), F.col("uri").alias("ref"), F.col("symbol").alias("title"), F.col("code").alias("body"), "score", F.lit(None).cast("timestamp_ntz").alias("at"))
+        known = self.search_memory(query, k, decisions_only=False).select("kind", "ref", "title", "body", F.lit(None).cast("double").alias("score"), F.col("created_at").alias("at"))
+        order = [F.desc_nulls_last("score"), F.desc("at"), "kind", "ref"]
+        rows = code.unionByName(known).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # 2 k rows
+        return rows.drop("at").orderBy("rank")
 
     def research(self, question: str, hops: int = 2, per_hop: int = 5, most: int = 50) -> tuple[DataFrame, DataFrame]:
         words = self.spark.range(1).select(text.keywords(F.lit(question)).alias("w")).first().w or question

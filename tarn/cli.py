@@ -9,8 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Project
+from .functions import render
 from .functions.text import preview
 from .operators.memory import changelogs, timeline, with_status
+from .operators.retrieve import dependencies_only
+
+
+def emit(out: str, output: str | None) -> None:
+    if output:
+        with open(output, "w") as file:
+            file.write(out)
+    else:
+        print(out, end="" if out.endswith("\n") else "\n")
 
 
 def show(rows: DataFrame, form: str, output: str | None = None) -> None:
@@ -23,11 +33,29 @@ def show(rows: DataFrame, form: str, output: str | None = None) -> None:
         out = table(rows.columns, [["" if v is None else str(v) for v in r] for r in rows.limit(100).collect()])
     else:
         out = rows._show_string(100, 80, False)
-    if output:
-        with open(output, "w") as file:
-            file.write(out)
+    emit(out, output)
+
+
+def timeline_of(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """The newest 100 events, then those of a type, an importance and since a time among them."""
+    since = F.lit(a.since).cast("timestamp_ntz") if a.since else None
+    rows = timeline(rows, n=100, event_type=a.event_type, since=since)
+    return rows.filter(F.col("importance") == a.importance) if a.importance else rows
+
+
+def pages(rows: DataFrame, name: str, form: str, title: str) -> str:
+    """At most 100 events or changelogs in a form: a JSON array, markdown under a title, or text."""
+    if form == "json":
+        return json.dumps([json.loads(x) for x in rows.toJSON().collect()], indent=2, ensure_ascii=False) + "\n"
+    if name == "timeline":
+        parts = ("event_type", "from_ref", "to_ref", "summary", "importance")
+        page = render.timeline_page(*map(F.col, parts), F.col("files_changed"), F.col("created_at")) if form == "markdown" else render.timeline_text(*map(F.col, parts), F.col("created_at"))
+    elif form == "markdown":
+        page = render.changelog_markdown(F.coalesce("tag", F.lit("")), F.col("date"), F.col("summary"), F.col("breaking_changes"), F.col("features"), F.col("fixes"))
     else:
-        print(out, end="" if out.endswith("\n") else "\n")
+        page = render.changelog_text(F.col("tag"), F.col("date"), F.col("summary"))
+    found = [r.page for r in rows.select(page.alias("page")).collect()]
+    return "\n".join([f"# {title}\n", *found] if form == "markdown" else found) + "\n"
 
 
 def table(names: list[str], rows: list[list[str]], most: int = 60) -> str:
@@ -50,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="command", required=True)
     add = lambda name, *args: [commands.add_parser(name)] and [commands.choices[name].add_argument(*a, **k) for a, k in args]
     add("index", (["path"], {}), (["--ignore"], {"action": "append", "default": []}), (["--tier"], {"default": "project"}), (["--git"], {}))
-    add("search", (["query"], {}), (["-k"], {"type": int, "default": 10}), (["--mode"], {"choices": ("hybrid", "lexical", "semantic"), "default": "hybrid"}), (["--no-deps"], {"action": "store_true"}))
+    add("search", (["query"], {}), (["-k"], {"type": int, "default": 10}), (["--mode"], {"choices": ("hybrid", "lexical", "semantic"), "default": "hybrid"}), (["--no-deps"], {"action": "store_true"}), (["--deps-only"], {"action": "store_true"}))
     add("files", (["query"], {}), (["-k"], {"type": int, "default": 10}), (["--how"], {"choices": ("sum", "max"), "default": "sum"}))
     add("research", (["question"], {}), (["--hops"], {"type": int, "default": 2}))
     add("status")
@@ -72,8 +100,13 @@ def main(argv: list[str] | None = None) -> None:
         "sync-git", (["repo"], {}), (["--since"], {}), (["--limit"], {"type": int, "default": 50}), (["--dry-run"], {"action": "store_true"}), (["--tags-only"], {"action": "store_true"}), (["--merges-only"], {"action": "store_true"}),
         (["--min-importance"], {"choices": ("high", "medium", "low"), "default": "low"}),
     )
+    form = (["--as"], {"dest": "form", "choices": ("text", "json", "markdown", "table"), "default": "text"})
+    add("timeline", (["--event-type"], {}), (["--importance"], {"choices": ("high", "medium", "low")}), (["--since"], {}), form)
+    add("changelog", (["range"], {"nargs": "?"}), (["--as"], {"dest": "form", "choices": ("text", "json", "markdown"), "default": "markdown"}))
     add("export", (["path"], {}))
     a = parser.parse_args(argv)
+    if a.command == "search" and a.no_deps and a.deps_only:
+        parser.error("--no-deps and --deps-only exclude each other")
     project = Project(SparkSession.builder.appName("tarn").getOrCreate(), a.root)
     out = lambda rows: show(rows, a.format, a.output)
     if a.command == "index":
@@ -83,7 +116,10 @@ def main(argv: list[str] | None = None) -> None:
         query.awaitTermination(*([a.seconds] if a.seconds else []))
         query.stop()
     elif a.command == "search":
-        out(results(project.search(a.query, a.k, mode=a.mode, include_deps=not a.no_deps)))
+        own = project.settings()["search"]
+        boosts = {"project": own["project_boost"], "dependency": own["dependency_boost"], "stdlib": own["stdlib_boost"]}
+        found = project.search(a.query, a.k, mode=a.mode, vector_weight=own["vector_weight"], include_deps=not a.no_deps, boosts=boosts)
+        out(results(dependencies_only(found) if a.deps_only else found))
     elif a.command == "search-memory":
         out(project.search_memory(a.words, a.k, decisions_only=not a.all))
     elif a.command == "search-all":
@@ -115,6 +151,17 @@ def main(argv: list[str] | None = None) -> None:
             out(with_status(rows, a.status).limit(a.limit))
         else:
             out(timeline(rows, n=a.limit) if a.table == "timeline" else changelogs(rows, a.limit))
+    elif a.command == "timeline":
+        rows = timeline_of(project.table("timeline"), a)
+        if a.form == "table":
+            route = F.concat("from_ref", F.lit(" → "), "to_ref")
+            day = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("Unknown"))
+            show(rows.select(day.alias("Date"), F.col("event_type").alias("Type"), route.alias("From → To"), F.substring("summary", 1, 40).alias("Summary"), F.col("importance").alias("Importance")), "table", a.output)
+        else:
+            emit(pages(rows, "timeline", a.form, "Project Timeline"), a.output)
+    elif a.command == "changelog":
+        first, _, last = (a.range or "").partition("..")
+        emit(pages(changelogs(project.table("changelogs"), 100, *((first, last) if last else ())), "changelogs", a.form, "Changelog"), a.output)
     elif a.command == "add-event":
         print(project.add_event(a.type, a.from_ref, a.to_ref, a.summary, importance=a.importance))
     elif a.command == "add-changelog":

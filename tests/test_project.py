@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
@@ -172,3 +173,47 @@ def test_code_query_words(spark):
     assert got[""] == "" and got["HTTPServer self x"] == cases["HTTPServer self x"]
     words = got["def loadConfig(file_name): return json.loads(data)"].split()
     assert {"load", "Config", "loadConfig", "file", "name", "file_name", "json", "loads", "data"} <= set(words) and not {"def", "return"} & set(words)
+
+
+def test_code_and_memory_in_one_list(spark, tmp_path, source):
+    project = Project(spark, str(tmp_path / "index"))
+    project.index(str(source))
+    for i in range(4):
+        project.add_decision(f"return {i}", "about return")
+    code = [r.uri for r in project.search("return", 3).collect()]
+    found = project.search_all("return", 3).collect()
+    assert [r.ref for r in found if r.kind == "code"] == code and [r.kind for r in found[: len(code)]] == ["code"] * len(code)
+    assert [r.title for r in found if r.kind == "decision"] == ["return 3", "return 2", "return 1"]
+    assert [r["rank"] for r in found] == list(range(1, len(code) + 4))
+
+
+def test_timeline_and_changelog_forms(spark, tmp_path, capsys):
+    root = str(tmp_path / "index")
+    project = Project(spark, root)
+    project.add_event("merge", "feature", "main", "Adds caching", files_changed=["a.py", "b.py"], importance="high")
+    project.add_event("tag", "v1", "v2", "Second version")
+    project.add_changelog("v1.0.0", "First", features=["cache"])
+    project.add_changelog("v2.0.0", "Second", breaking=["no cache"])
+
+    def said(*args):
+        cli.main(["--root", root, *args])
+        return capsys.readouterr().out
+
+    page = said("timeline", "--as", "markdown", "--event-type", "merge")
+    assert page.startswith("# Project Timeline\n\n## ") and "feature → main\n**Type:** merge | **Importance:** high\n\nAdds caching\n\n**Files changed:** 2" in page and "v2" not in page
+    assert [e["summary"] for e in json.loads(said("timeline", "--as", "json", "--importance", "medium"))] == ["Second version"]
+    assert json.loads(said("timeline", "--as", "json", "--since", "2999-01-01")) == []
+    assert "[HIGH] " in said("timeline") and "From → To" in said("timeline", "--as", "table")
+    assert said("changelog", "v1.5..v3").count("## v") == 1 and "### Breaking Changes\n- no cache" in said("changelog")
+    assert said("changelog", "--as", "text").splitlines()[1] == "  Second"
+    with pytest.raises(SystemExit):
+        cli.main(["--root", root, "search", "x", "--no-deps", "--deps-only"])
+
+
+def test_search_of_dependencies_only(spark, tmp_path, source, capsys):
+    root = str(tmp_path / "index")
+    Project(spark, root).index(str(source), tier="dependency")
+    cli.main(["--root", root, "--format", "json", "search", "return", "--deps-only"])
+    assert "Preview" in capsys.readouterr().out
+    cli.main(["--root", root, "--format", "json", "search", "return", "--no-deps"])
+    assert capsys.readouterr().out.strip() == ""
