@@ -140,19 +140,24 @@ def not_blank(chunks: DataFrame) -> DataFrame:
 
 def coverage_gaps(spans: DataFrame, files: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
     """``file_path, symbol, start_line, end_line, code`` of non-blank line ranges that no span covers; a file
-    without spans is one ``module_content``."""
-    lines = files.select(F.col(path).alias("file_path"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines")).withColumn("_n", F.size("_lines"))
+    without spans is one ``module_content``.  A file's lines are in one row, which meets its ranges (two numbers each) and is cut there."""
     before = Window.partitionBy("file_path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     known = spans.select("file_path", "start_line", "end_line")
     inner = known.withColumn("a", F.coalesce(F.max("end_line").over(before), F.lit(0)) + 1).select("file_path", "a", (F.col("start_line") - 1).alias("b"))
     tail = known.groupBy("file_path").agg((F.max("end_line") + 1).alias("a")).select("file_path", "a", F.lit(None).cast("int").alias("b"))
-    gaps = inner.filter("a <= b").unionAll(tail).join(lines, "file_path").withColumn("b", F.coalesce("b", "_n")).filter("a <= b")
-    gaps = gaps.withColumn("symbol", F.concat(F.lit("module_gap_"), "a", F.lit("_"), "b"))
-    bare = lines.join(known.select("file_path").distinct(), "file_path", "left_anti")
-    bare = bare.select("file_path", F.lit(1).alias("a"), F.col("_n").alias("b"), "_lines", "_n", F.lit("module_content").alias("symbol"))
-    out = gaps.select("file_path", "a", "b", "_lines", "_n", "symbol").unionByName(bare)
-    code = F.array_join(F.slice("_lines", F.col("a"), F.col("b") - F.col("a") + 1), "\n")
-    return not_blank(out.select("file_path", "symbol", F.col("a").alias("start_line"), F.col("b").alias("end_line"), code.alias("code")))
+    open_ = inner.filter("a <= b").unionAll(tail).groupBy("file_path").agg(F.collect_list(F.struct("a", "b")).alias("_open"))
+    lines = files.select(F.col(path).alias("file_path"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
+    n = F.size("_lines")
+
+    def gap(g: Column) -> Column:
+        end = F.coalesce(g["b"], n)
+        return F.struct(F.concat(F.lit("module_gap_"), g["a"], F.lit("_"), end).alias("symbol"), g["a"].alias("start_line"), end.alias("end_line"))
+
+    whole = F.array(F.struct(F.lit("module_content").alias("symbol"), F.lit(1).alias("start_line"), n.alias("end_line")))
+    gaps = F.filter(F.when(F.col("_open").isNull(), whole).otherwise(F.transform("_open", gap)), lambda g: g["start_line"] <= g["end_line"])
+    code = lambda g: F.array_join(F.slice("_lines", g["start_line"], g["end_line"] - g["start_line"] + 1), "\n")
+    cut = F.transform(gaps, lambda g: F.struct(g["symbol"].alias("symbol"), g["start_line"].alias("start_line"), g["end_line"].alias("end_line"), code(g).alias("code")))
+    return not_blank(lines.join(open_, "file_path", "left").select("file_path", F.inline(cut)))
 
 
 def chunk_stats(chunks: DataFrame, by: str = "strategy") -> DataFrame:

@@ -224,6 +224,18 @@ ORACLES = {
         u AS (SELECT item_id, w, i, row_number() OVER (PARTITION BY item_id, lower(w) ORDER BY i) AS r FROM t WHERE regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}')),
         k AS (SELECT item_id, w, i, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM u WHERE r = 1)
         SELECT b.item_id, coalesce(string_agg(w || '*', ' OR ' ORDER BY i), '""') AS fts FROM benchmark b LEFT JOIN k ON b.item_id = k.item_id AND n <= 20 GROUP BY b.item_id""",
+    # camel-case parts without looking ahead: a blank goes before a capital that starts a word after other capitals
+    "preprocess_code_query": r"""WITH t AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '[\w\p{L}\p{N}]+'),
+            lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]{2,}') AND NOT list_contains(string_split('""" + " ".join(text.CODE_KEYWORDS) + r"""', ' '), lower(w))) AS names,
+            regexp_extract_all(coalesce(html, ''), '[a-zA-Z_][a-zA-Z0-9_]*\.[a-zA-Z_][a-zA-Z0-9_]*') AS calls FROM pages),
+        n AS (SELECT page_id, 0 AS part, unnest(names) AS w, generate_subscripts(names, 1) AS i FROM t),
+        c AS (SELECT *, regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+\b') AS camel FROM n),
+        s AS (SELECT page_id, part, i, CASE WHEN len(camel) > 1 THEN camel ELSE [] END || CASE WHEN contains(w, '_') THEN list_filter(string_split(w, '_'), lambda x: length(x) > 1) ELSE [] END || [w] AS ws FROM c
+            UNION ALL SELECT page_id, 1, i, [replace(w, '.', ' '), split_part(w, '.', 2)] FROM (SELECT page_id, unnest(calls) AS w, generate_subscripts(calls, 1) AS i FROM t)),
+        u AS (SELECT page_id, part, i, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM s),
+        d AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(w) ORDER BY part, i, j) AS r FROM u WHERE length(w) > 1),
+        k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, i, j) AS m FROM d WHERE r = 1)
+        SELECT p.page_id, coalesce(string_agg(w, ' ' ORDER BY m), '') AS terms FROM pages p LEFT JOIN k ON p.page_id = k.page_id AND m <= 30 GROUP BY p.page_id""",
     "nl_keywords": r"""WITH t AS (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '[^\w\s]', ' ', 'g')), '\s+')) AS w, generate_subscripts(string_split_regex(trim(regexp_replace(text, '[^\w\s]', ' ', 'g')), '\s+'), 1) AS i FROM benchmark),
         k AS (SELECT *, NOT list_contains(string_split('""" + " ".join(text.STOP_WORDS) + r"""', ' '), lower(w)) AS plain,
               contains(w, '_') OR (regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]')) OR (regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]') AND length(w) > 1) AS code FROM t WHERE w <> '')
