@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import decontaminate, mixing, near_dup, quality, token_store
-from tarn.llm.common import discard, materialize, recording
+from tarn.llm.common import discard, materialize, recording, relieve
 from tarn.llm.queries import tokenizer_path
 
 
@@ -16,11 +16,12 @@ _made: list[str] = []  # scratch tables of stages that have been written
 
 def stage(function):
     """A stage that first deletes the scratch tables of the stages before (their results are written by
-    now), but for those that its own input still reads."""
+    now), but for those that its own input still reads, and lets go of what the driver kept for them."""
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(_made, unless=docs)
+        relieve(spark)
         with recording(_made):
             return function(spark, docs, sf_dir)
 

@@ -4,6 +4,7 @@ numpy kernels that shingle whole Arrow batches at once."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -110,6 +111,13 @@ def _end() -> None:
         pass
 
 
+def relieve(spark: SparkSession) -> None:
+    """Plans that nothing refers to any more, with their broadcasts and shuffles, and freed memory are let go of on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _end()
+
+
 def map_arrow(rows: DataFrame, work: Callable, schema, keeps: str | None = None) -> DataFrame:
     """``rows.mapInArrow`` in batches of at most ARROW_BYTES (a session setting; a row is never cut).  A task first
     drops what other kernels left in its worker, but for ``keeps``, and gives freed memory back at its end."""

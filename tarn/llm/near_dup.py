@@ -10,12 +10,9 @@ Candidates.  ``BANDS`` bands of ``ROWS`` registers: a pair at 0.8 misses all of
 probability 3e-7.  Within a band bucket every text is paired with the smallest and the
 largest id only; the links that hold give components.  Buckets that still hold several
 components are searched further: signatures first, which gives families of components with
-candidate pairs, then the texts of a family's nodes.  A bucket of up to ``block`` nodes is one row.
-A larger one is split by a second common band and, where that leaves more than ``block`` nodes
-together, by a third: its nodes go to one sub-bucket for each other band, so rows grow with
-the nodes.  A pair at 0.8 has fewer than two common bands with probability 7e-6, fewer than
-three with 7e-5.  What even three bands do not split is searched in pairs of blocks.
-Tasks give out only which components join, never pairs of documents.
+candidate pairs, then the texts of a family's nodes.  A bucket's nodes are cut into blocks of about
+``block`` and searched in pairs of blocks, so what is found does not depend on a bucket's size; the blocks of
+its most frequent component meet those of the others only.  Tasks give out only which components join, never pairs of documents.
 
 Verification.  J_P of each candidate pair is computed exactly from the texts' shingles
 (64-bit hashes stand for shingles); pairs at ``threshold`` or more are links and
@@ -192,37 +189,36 @@ def _sides(i: int, j: int, xs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _open(members: DataFrame, least: int) -> DataFrame:
-    """``members`` (``path, bucket, node, comp``) of buckets with at least ``least`` nodes and two components, with the size ``n``."""
+    """``members`` (``bucket, node, comp``) of buckets with at least ``least`` nodes and two components, with the size ``n``."""
     state = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     return materialize(members.join(state.filter(f"n >= {least} and low < high").select("bucket", "n"), "bucket"), "open-buckets")
 
 
-def _narrowed(members: DataFrame, bands: DataFrame, block: int) -> DataFrame:
-    """Open buckets, those of more than ``block`` nodes split by a second and a third common band.
-
-    Buckets of one component are done, and stars have compared all of two nodes."""
-    found = _open(members, 3)
-    done = found.filter(F.col("n") <= block)
-    for _ in range(2):
-        large = found.filter(F.col("n") > block)
-        if large.isEmpty():
-            return done
-        finer = large.join(bands, "node").select("node", "comp", "path", F.explode("bands").alias("other")).filter(~F.array_contains("path", F.col("other")))
-        finer = finer.withColumn("path", F.array_sort(F.concat("path", F.array("other"))))
-        found = _open(finer.select("path", F.xxhash64("path").alias("bucket"), "node", "comp").distinct(), 2)
-        done = done.unionByName(found.filter(F.col("n") <= block))
-    return done.unionByName(found.filter(F.col("n") > block))
+def _bucket_pairs(members: DataFrame, block: int, *payload: str) -> DataFrame:
+    """Rows ``i, j, xs`` of :func:`_block_pairs` for buckets, without those that hold one component only: a bucket's most frequent component
+    has blocks of its own, which meet the others and not each other.  So a family of copies moves once for each block of the rest."""
+    counts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("_most"), F.max("n").alias("_held"), F.sum("n").alias("_all"))
+    sizes = sizes.select("bucket", "_most", *[F.ceil(x / block).cast("int").alias(c) for c, x in (("_own", F.col("_held")), ("_rest", F.col("_all") - F.col("_held")))])
+    most = F.col("comp") == F.col("_most")
+    at = F.when(most, F.col("_rest") + F.pmod(F.xxhash64("node"), F.col("_own"))).otherwise(F.pmod(F.xxhash64("node"), F.col("_rest"))).cast("int")
+    rows = members.join(sizes, "bucket").withColumn("block", at)
+    meets = F.sequence(F.lit(0), F.col("_rest") - 1 + F.when(most, 0).otherwise(F.col("_own")))
+    rows = rows.select("bucket", "block", *payload, F.explode(meets).alias("o"))
+    rows = rows.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.struct("block", *payload).alias("x"))
+    return rows.groupBy("bucket", "i", "j").agg(F.collect_list("x").alias("xs")).select("i", "j", "xs")
 
 
 def _families(members: DataFrame, sigs: DataFrame, comps: DataFrame, block: int, agree: int) -> tuple[DataFrame, DataFrame]:
     """Edges between components that hold candidate pairs, and the nodes that were looked at.
 
     A candidate pair lies in a common bucket and its signatures agree in ``agree`` registers.  ``members``:
-    ``bucket, node``.  Each row of members that meet gives a spanning forest of its components only."""
-    labelled = members.join(comps, "node", "left").select(F.array("bucket").alias("path"), "bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = _narrowed(labelled, sigs.select("node", "bands"), block)
+    ``bucket, node``.  Each row of members that meet gives a spanning forest of its components only.  Buckets of one component are
+    done, and stars have compared all of two nodes."""
+    labelled = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = _open(labelled, 3)
     nodes = materialize(open_.select("node", "comp").distinct(), "open-nodes")
-    met = _block_pairs(open_.join(sigs.select("node", "sig"), "node"), "bucket", F.count(F.lit(1)) / block, "node", "comp", "sig")
+    met = _bucket_pairs(open_.join(sigs.select("node", "sig"), "node"), block, "node", "comp", "sig")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

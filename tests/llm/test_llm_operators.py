@@ -792,6 +792,20 @@ def test_large_buckets_are_split_without_loss(spark):
     assert 1 < len(set(got.values())) < 130
 
 
+def test_near_dup_candidates_do_not_depend_on_the_size_of_a_bucket(spark):
+    """Equal signatures that share one band only join their components, whether their bucket is one block or many."""
+    sig = bytes(4 * near_dup.M)
+    sigs = spark.createDataFrame([(n, sig, [7, 100 + n]) for n in range(1, 9)], "node long, sig binary, bands array<long>")
+    comps = spark.createDataFrame([(n, 1) for n in range(1, 6)], "node long, comp long")
+    members = sigs.select(F.lit(7).cast("long").alias("bucket"), "node")
+    for block in (near_dup.BLOCK, 3, 2, 1):
+        edges, _ = near_dup._families(members, sigs, comps, block, near_dup.AGREE)
+        forest = near_dup._Forest()
+        for e in edges.collect():
+            forest.join(e.a, e.b)
+        assert {forest.top(n) for n in (1, 6, 7, 8)} == {1}, block
+
+
 def test_quality_of_repeated_ids_and_labels(spark):
     """Labels that contradict each other count as the strictest, and documents that share a labelled id as one, in any order."""
     good, junk = "the house stands near the old river and people walk there", "BUY || NOW ||| $$$ >>> CLICK ### !!!"
