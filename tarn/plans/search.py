@@ -63,11 +63,7 @@ def lexical_top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``token, term, n_chunks``: dictionary terms that start with each of some prefixes, and how many chunks hold them."""
-    index = saved_index(spark, sf_dir)
-    wanted = spark.createDataFrame([(p, True) for p in PREFIXES], "token string, prefix boolean")
-    met = lexical.expand(index.terms, wanted).select("token", "term")
-    held = F.aggregate("marks", F.lit(0), lambda n, w: n + F.bit_count(w))
-    return met.join(index.blocks.select("term", held.cast("long").alias("n")), "term").groupBy("token", "term").agg(F.sum("n").alias("n_chunks"))
+    return lexical.prefix_counts(saved_index(spark, sf_dir), PREFIXES)
 
 
 def lexical_phrase_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

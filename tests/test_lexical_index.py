@@ -78,3 +78,30 @@ def test_prefixes_meet_the_dictionary_by_equality(spark, index):
     queries = spark.createDataFrame([(0, "w1 ü x"), (1, "s1_w1")], "query_id int, query string")
     plan = lexical.search_lexical(index, queries, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("NestedLoop") <= 1  # the one row of corpus totals
+
+
+@pytest.mark.parametrize("query", ["w1_w2 rareword", "w4_w5 über x"])
+def test_postings_stay_in_their_buckets(index, query):
+    """What a search groups by chunk is in one bucket; only the counts of phrases are shuffled, and no term's postings come together."""
+    plan = lexical.search_one(index, query, None)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    shuffled = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert not [x for x in shuffled if "chunk_id" in x], shuffled
+
+
+def test_an_index_of_another_session_keeps_its_buckets(spark, index, tmp_path):
+    rows = spark.createDataFrame([(i, "s", f"a{i % 3} b") for i in range(500)], "chunk_id long, symbol string, code string")
+    lexical.build_index(rows).save(str(tmp_path / "i"))
+    want = found(lexical.search_one(lexical.TextIndex.load(spark, str(tmp_path / "i")), "a1_b", 5))
+    spark.sql(f"DROP TABLE {lexical._table_of(str(tmp_path / 'i'))}")
+    again = lexical.TextIndex.load(spark, str(tmp_path / "i"))
+    assert found(lexical.search_one(again, "a1_b", 5)) == want and len(want) == 5
+    plan = lexical.search_one(again, "a1_b", None)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "chunk_id" in x]
+
+
+def test_prefix_counts_join_nothing(index):
+    counts = lexical.prefix_counts(index, ["w1", "w", "über", "nope"])
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+    held = {r.term: r.n for r in index.postings.groupBy("term").agg(F.countDistinct("chunk_id").alias("n")).collect()}
+    assert {tuple(r) for r in counts.collect()} == {(p, t, n) for p in ("w1", "w", "über", "nope") for t, n in held.items() if t.startswith(p)}
