@@ -89,6 +89,29 @@ def test_empty_and_unsound_histories(spark):
     assert {r.hash: r.generation for r in ancestry.generations(h).collect()} == {"d": 1, "top": 2}
 
 
+@pytest.mark.parametrize("local", (0, 30, ancestry.LOCAL))
+def test_repositories_as_rows_and_in_steps_agree(spark, monkeypatch, local):
+    """Two sound repositories and one with a cycle, all in steps, some of them, or as rows; rows need no steps."""
+    rows = made(3, 40) + [("s", h, p) for _, h, p in made(4, 25)]
+    loop = [("u", "a", ["b"]), ("u", "b", ["a"]), ("u", "d", []), ("u", "top", ["d"])] if local != ancestry.LOCAL else []
+    if local == ancestry.LOCAL:
+        monkeypatch.setattr(ancestry, "_folded", None)
+    h = ancestry.fold(spark.createDataFrame(rows + loop + rows[:5], SCHEMA), local)
+    want = {repo: plain([r for r in rows if r[0] == repo]) for repo in "rs"}
+    pairs = [(repo, f"c{i}", f"c{(7 * i) % 23}") for repo in "rs" for i in range(20)]
+    got = {tuple(r) for r in ancestry.commit_range(h, spark.createDataFrame(pairs, "repo string, old string, new string")).collect()}
+    assert got == {(r, a, b, x) for r, a, b in pairs for x in want[r][b] - want[r][a]}
+    bases = {tuple(r) for r in ancestry.merge_bases(h, spark.createDataFrame(pairs, "repo string, left string, right string")).collect()}
+    shared = {(r, a, b): want[r][a] & want[r][b] for r, a, b in pairs}
+    assert bases == {(*k, x) for k, c in shared.items() for x in c if not any(x in want[k[0]][y] and x != y for y in c)}
+    depth = {}
+    for repo, x, parents in rows:
+        depth[repo, x] = 1 + max((depth[repo, p] for p in parents or [] if (repo, p) in depth), default=0)
+    if loop:
+        depth |= {("u", "d"): 1, ("u", "top"): 2}
+    assert {(r.repo, r.hash): r.generation for r in ancestry.generations(h).collect()} == depth
+
+
 def test_comparisons_of_long_ranges(spark):
     """Subjects, files and sums of a range of 400 commits; a range without commits has a row too."""
     t = "timestamp_ntz '2024-01-01 00:00:00'"
