@@ -16,6 +16,7 @@ from ..functions.vectors import cosine, l2
 
 RRF = 60
 BLOCK = 1024  # vectors of a block of a batched search
+ARROW_BYTES = 4 << 20  # of an Arrow batch of pairs of blocks: a pair is a megabyte and more, and a worker holds whole batches
 
 
 def search_semantic(vectors: DataFrame, query: list[float], k: int | None, *, ref: str = "chunk_id", embedding: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
@@ -47,7 +48,9 @@ def search_semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, *, ref
 
 
 def pair_blocks(left: DataFrame, right: DataFrame, k: int, ref: str, on: tuple[str, ...] = ("n",)) -> DataFrame:
-    """Blocks of queries and of vectors that meet by ``on``, multiplied: ``query_id``, ``ref``, ``score`` and ``rank`` of each query's best k."""
+    """Blocks of queries and of vectors that meet by ``on``, multiplied: ``query_id``, ``ref``, ``score`` and ``rank`` of each query's best k.
+    Batches are limited by their bytes (a session setting), so a worker's memory does not grow with the pairs of its task."""
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     kinds = left.schema["keys"].dataType.elementType, right.schema["keys"].dataType.elementType
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,3 +101,14 @@ def test_batch_blocks_are_dealt_out(spark):
     finally:
         for k, x in old.items():
             spark.conf.set(k, x)
+
+
+def test_batches_of_block_pairs_are_limited_by_bytes(spark):
+    """However many pairs of blocks a task has, a worker gets a few megabytes of them at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(1 << 30))
+    rows = spark.range(3000).selectExpr("id AS chunk_id", "transform(sequence(0, 63), i -> cast(hash(id, i) % 97 AS double)) AS embedding")
+    queries = rows.limit(20).selectExpr("chunk_id AS query_id", "embedding AS q")
+    out = retrieve.search_semantic_batch(rows, queries, 3)
+    assert int(spark.conf.get(name)) <= 4 << 20
+    assert out.filter("rank = 1 and score > 0.999999").count() == 20
