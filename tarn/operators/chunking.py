@@ -36,20 +36,22 @@ def fixed_lines(files: DataFrame, n: int, path: str = "file_path", text: str = "
     return rows.select("file_path", F.concat("file_path", F.lit(":L"), start, F.lit("-"), end).alias("symbol"), start.alias("start_line"), end.alias("end_line"), code.alias("code"))
 
 
-def _starts(weights: Column, most: int) -> Column:
+def _fold(sizes: list[int], most: int) -> list[int]:
     """First line (from 0) of each chunk: a chunk ends before the line that overflows it."""
+    starts, size = [0], 0
+    for i, w in enumerate(sizes):
+        if size + w > most and i > starts[-1]:
+            starts.append(i)
+            size = 0
+        size += w
+    return starts
+
+
+def _starts(weights: Column, most: int) -> Column:
+    """First lines of the chunks of each row."""
 
     def fold(rows: pa.Array) -> pa.Array:
-        out = []
-        for sizes in rows.to_pylist():
-            starts, size = [0], 0
-            for i, w in enumerate(sizes):
-                if size + w > most and i > starts[-1]:
-                    starts.append(i)
-                    size = 0
-                size += w
-            out.append(starts)
-        return pa.array(out, pa.list_(pa.int32()))
+        return pa.array([_fold(sizes, most) for sizes in rows.to_pylist()], pa.list_(pa.int32()))
 
     return F.arrow_udf(fold, "array<int>")(weights)
 
@@ -160,6 +162,35 @@ def coverage_gaps(spans: DataFrame, files: DataFrame, path: str = "file_path", t
     return not_blank(lines.join(open_, "file_path", "left").select("file_path", F.inline(cut)))
 
 
+BLANK = " \t\n\x0b\f\r"
+
+
+def part_starts(lines: list[str], most: int) -> list[int]:
+    """Where :func:`split_oversized` cuts one chunk's lines; nothing if they are not over ``most``."""
+    sizes = [len(x) - x.count(" ") - x.count("\t") for x in lines]
+    return _fold(sizes, most) if sum(sizes) > most else []
+
+
+def first_of_equal(chunks: list[tuple]) -> list[tuple]:
+    """:func:`deduplicate` for one file's ``symbol, .., start_line, end_line, code``."""
+    first: dict[str, tuple] = {}
+    for c in sorted(chunks, key=lambda c: (c[-3], c[-2], c[0])):
+        first.setdefault(c[-1].strip(BLANK), c)
+    return list(first.values())
+
+
+def uncovered(spans: list[tuple[int, int]], n: int) -> list[tuple[str, int, int]]:
+    """Name, start and end of the ranges of ``n`` lines that no span covers, as :func:`coverage_gaps` has them (blank ones too)."""
+    if not spans:
+        return [("module_content", 1, n)]
+    out, at = [], 1
+    for start, end in [*sorted(spans), (n + 1, n + 1)]:
+        if at < start:
+            out.append((f"module_gap_{at}_{start - 1}", at, start - 1))
+        at = max(at, end + 1)
+    return out
+
+
 def chunk_stats(chunks: DataFrame, by: str = "strategy") -> DataFrame:
     n = F.length("code")
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(n).alias("avg_size"), F.min(n).alias("min_size"), F.max(n).alias("max_size"))

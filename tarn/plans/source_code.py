@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, lexical, resolve
 from ..sources import code
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 
 PYTHON = """import os.path
 from shop import item_{k}
@@ -67,7 +67,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, template) in enumerate(kinds.items()):
         own = F.col("p_partkey") % 4 == i
         language, text = F.when(own, name).otherwise(language), F.when(own, _filled(template)).otherwise(text)
-    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_path"), language.alias("language"), text.alias("text"), "p_partkey", "p_size")
+    return read_spread(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_path"), language.alias("language"), text.alias("text"), "p_partkey", "p_size")
 
 
 def code_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,29 @@ def tree(tmp_path):
     return str(tmp_path / "src")
 
 
+def test_files_are_cut_in_their_task(spark):
+    """As by the operators on rows of chunks, but no text is shuffled or sorted (a task's memory grew with its share of the table)."""
+    long = "class Big:\n" + "\n".join(f"    def m{i}(self):\n        return {i} * {i}  # note" for i in range(40)) + "\n\n\nx = 1\n"
+    texts = [
+        ("a", "python", long), ("b", "python", "import os\n\n\ndef f():\n    return 1\n\n\nclass A:\n    def f(self):\n        return 1\n\n\nimport os\n"), ("c", "python", "def ("), ("d", "python", " \n\t\n"), ("e", "python", None),
+        ("f", "typescript", "export function a(b) {\n  return b;\n}\n// a\nclass C {\n  m() {\n    return 1;\n  }\n}"), ("g", "go", "func A() {\n}\nfunc B() {\n}\n"), ("h", "text", "x"), ("i", None, "x"), ("j", "python", "\n\nx = '" + "y" * 300 + "'\nz = 2\n"),
+    ]
+    sources = spark.createDataFrame(texts, "file_path string, language string, text string")
+    names = ["file_path", "symbol", "chunk_type", "language", "parent_header", "start_line", "end_line", "code"]
+    found = code.concepts(sources)
+    lines = sources.select("file_path", F.split("text", "\n").alias("_lines"))
+    own = found.join(lines, "file_path").withColumn("code", F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
+    own = own.withColumnsRenamed({"concept": "chunk_type", "parent": "parent_header"}).select(*names)
+    python = sources.filter("language = 'python'")
+    gaps = chunking.coverage_gaps(found.filter("language = 'python'"), python).selectExpr("file_path", "symbol", "'unknown' AS chunk_type", "'python' AS language", "CAST(NULL AS STRING) AS parent_header", "start_line", "end_line", "code")
+    for most in (1200, 100, 20):
+        want = chunking.deduplicate(chunking.split_oversized(chunking.not_blank(own.unionByName(gaps)), most)).select(*names)
+        got = code.chunk_files(sources, most=most, merge=False)
+        assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 def test_files_to_research(spark, tree):
     listed = files.list_files(spark, tree, patterns=["skip/"], content=True)
     assert {r.rel_path for r in listed.collect()} == set(CODE) - {"skip/b.py"}
