@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -314,6 +317,22 @@ def test_tokens_round_trip(spark, docs, texts):
         at += len(ids)
 
 
+def test_pieces_are_encoded_without_threads():
+    """The library's threads waited for each other: more than half of the CPU time of a task, which has one core."""
+    script = """
+import os, sys
+import pyarrow as pa
+from tarn.llm import token_store
+encoder = token_store.PieceEncoder(sys.argv[1])
+before = len(os.listdir("/proc/self/task"))
+encoder.encode_rows(pa.array([" ".join(f"w{chr(97 + i % 26)}x{i}" for i in range(9000))]), 2)
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.getcwd()}
+    run = subprocess.run([sys.executable, "-c", script, queries.tokenizer_path()], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert int(run.stdout) == 0
+
+
 def test_token_files_are_selective(spark, docs, tmp_path):
     import pyarrow.parquet as pq
 
