@@ -161,13 +161,25 @@ def repeated_windows(strings: list[bytes], shard_bytes: int = SHARD_BYTES, lengt
     group = span_hash(prefix_hash(data), np.arange(len(data) - symbol + 1), np.arange(symbol, len(data) + 1))
     names = pd.factorize(group)[0].astype(np.int32) + np.int32(1)
     del group
-    # symbol strings: (string, phase), each with the positions phase, phase + symbol, ...
-    which, phase = np.repeat(np.arange(len(strings)), symbol), np.tile(np.arange(symbol), len(strings))
-    count = np.maximum(0, (size[which] - phase) // symbol)
+    # a window with a group that starts nowhere else is no repeat: only runs of the other windows are sorted
+    lone = np.concatenate([[0], np.cumsum(np.bincount(names)[names] == 1)])
+    inside = np.zeros(len(data) + 1, np.int32)
+    inside[begin[size >= length]] = 1
+    inside[(begin + size)[size >= length] - length + 1] = -1
+    n_starts = len(data) - length + 1
+    maybe = (np.cumsum(inside[:n_starts]) > 0) & (lone[length - symbol + 1 :] == lone[:n_starts])
+    runs = np.array(_ranges(maybe), np.int64).reshape(-1, 2)
+    del lone, inside, maybe
+    if not len(runs):
+        return out
+    run, run_size = runs[:, 0], runs[:, 1] - runs[:, 0] + length - 1
+    # symbol strings: (run, phase), each with the positions phase, phase + symbol, ...
+    which, phase = np.repeat(np.arange(len(runs)), symbol), np.tile(np.arange(symbol), len(runs))
+    count = np.maximum(0, (run_size[which] - phase) // symbol)
     which, phase, count = which[count > 0], phase[count > 0], count[count > 0]
     stop = np.cumsum(count + 1)
     inner = np.arange(int(stop[-1]), dtype=np.int32) - np.repeat((stop - count - 1).astype(np.int32), count + 1)
-    place = np.repeat((begin[which] + phase).astype(np.int32), count + 1) + inner * np.int32(symbol)
+    place = np.repeat((run[which] + phase).astype(np.int32), count + 1) + inner * np.int32(symbol)
     del inner
     end = np.zeros(len(place), bool)
     end[stop - 1] = True

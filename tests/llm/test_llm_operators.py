@@ -220,6 +220,17 @@ def test_transform_merge_equals_counting():
             assert mark.tolist() == [count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)]
 
 
+def test_windows_with_a_group_of_their_own_are_not_sorted(monkeypatch):
+    """Two strings that share 60 bytes only, and two that share 300: of the first pair nothing is transformed."""
+    seen, plain = [], repeats.transform
+    monkeypatch.setattr(repeats, "transform", lambda symbols, *rest: seen.append(len(symbols)) or plain(symbols, *rest))
+    own = [random.randbytes(4000) for _ in range(4)]
+    near = [own[0] + own[3][:60] + own[1], own[1][::-1] + own[3][:60] + own[2]]
+    assert not any(m.any() for m in repeats.repeated_windows(near)) and not seen
+    marks = repeats.repeated_windows([own[0] + own[3][:300], own[2] + own[3][:300] + own[1]])
+    assert [np.flatnonzero(m).tolist() for m in marks] == [list(range(4000, 4101))] * 2 and sum(seen) < 1000
+
+
 def test_repeats_equal_brute_force(spark, docs, texts):
     periodic = spark.createDataFrame([(10**6, "ab" * 107), (10**6 + 1, "x" * 199), (10**6 + 2, "y" * 200)], "doc_id long, text string")
     table = docs.select("doc_id", "text").unionAll(periodic)
